@@ -6,10 +6,10 @@ shingles, so any `pick + k - 1` shared words select the same positions in either
 Heads that occur once are dropped after a pre-aggregated count. The rest are sorted globally by what
 follows the head (range-partitioned with the document as the last key, so one head may fill many
 partitions), neighbours from different documents are compared, and matches are extended to the right
-and to the left of the head; those of `length` words or more are repeats. A suffix that its neighbours
-don't settle, because another partner may match further left, is settled exactly: the few splits of
-left and right words that its best right extension allows are counted as keys. Overlapping matches
-of a document are united.
+and to the left of the head; those of `length` words or more are repeats. Another partner may still match further
+left than a neighbour in this order; the windows that a suffix's best right extension allows and its
+neighbours don't hold are settled exactly, as keys that are counted. Overlapping matches of a document
+are united.
 
 Texts that are equal word by word are one text in all this; its repeats hold for every copy, and a copied text of
 `length` words or more is a repeat as a whole.
@@ -185,17 +185,26 @@ def _groups(rows: dict, flush):
         yield flush({x: v[a:b] for x, v in rows.items()}, a == 0 or b == len(heads))
 
 
-def _splits(open_rows: DataFrame, params: Params) -> DataFrame:
-    """Matches of exactly `length` words by keys of (left words, head, right words)."""
-    size, most = params.head, params.pick - 1
-    n_left = (F.octet_length("left") / 2).cast("int")
-    low = F.lit(most) - F.least("best", (F.octet_length("right") / 2).cast("int"))
-    cut = open_rows.select("doc_id", "pos", "head", "left", "right", low.alias("lo"), F.least(n_left, F.lit(most)).alias("hi")).where("lo <= hi")
-    each = cut.select("doc_id", "pos", "head", "left", "right", F.explode(F.sequence("lo", "hi")).alias("j"))
+def _splits(compared: DataFrame, params: Params) -> DataFrame:
+    """Matches of exactly `length` words that no neighbour showed.
+
+    A window that starts j words left of a suffix is open if the suffix's best right extension allows
+    it and its neighbours' matches don't hold it. Of each head, every suffix makes keys
+    (left words, head, right words) for the j that are open in any of them; equal keys are matches.
+    """
+    most, length = params.pick - 1, params.length
+    lo = f"{most} - least(best, cast(octet_length(right) / 2 as int))"
+    hi = f"least(cast(octet_length(left) / 2 as int), {most})"
+    held_lo, held_hi = f"cast(greatest(0, pos + {length} - end) as int)", f"cast(least({most}, pos - start) as int)"
+    bits = lambda a, b: f"case when {a} <= {b} then shiftleft(1, {b} + 1) - shiftleft(1, {a}) else 0 end"
+    rows = compared.select("doc_id", "pos", "head", "left", "right", F.expr(f"cast({lo} as int)").alias("lo"), F.expr(f"cast({hi} as int)").alias("hi"), F.expr(held_lo).alias("a"), F.expr(held_hi).alias("b"), "start")
+    rows = rows.select("doc_id", "pos", "head", "left", "right", F.expr(bits("lo", "hi")).alias("may"), F.expr(f"case when start is null then 0 else {bits('a', 'b')} end").alias("held"))
+    open_ = rows.where("may & ~held != 0").groupBy("head").agg(F.bit_or(F.expr("may & ~held")).alias("open"))
+    each = rows.join(open_, "head").where("may & open != 0").select("doc_id", "pos", "head", "left", "right", F.explode(F.expr(f"filter(sequence(0, {most}), j -> (shiftright(may & open, j) & 1) = 1)")).alias("j"))
     key = F.xxhash64("j", "head", F.substring("left", F.lit(1), 2 * F.col("j")), F.substring("right", F.lit(1), 2 * (F.lit(most) - F.col("j"))))
     each = each.select("doc_id", (F.col("pos") - F.col("j")).cast("long").alias("start"), key.alias("key"))
     twice = each.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("key")
-    return each.join(twice, "key").select("doc_id", "start", (F.col("start") + params.length).alias("end"))
+    return each.join(twice, "key").select("doc_id", "start", (F.col("start") + length).alias("end"))
 
 
 def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -217,8 +226,7 @@ def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     found = scratch.write(_contexts(rows, params), "contexts")
     compared = scratch.write(_neighbours(found, params), "compared")
     scratch.drop("contexts")
-    unsettled = compared.where("start is null").select("head").distinct()
-    matches = compared.where("start is not null").select("doc_id", "start", "end").union(_splits(compared.join(unsettled, "head", "left_semi"), params))
+    matches = compared.where("start is not null").select("doc_id", "start", "end").union(_splits(compared, params))
     matches = scratch.write(matches, "matches")
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -26,6 +26,7 @@ from re import _parser as P
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from loomtext.llm.frames import column, slices
 from loomtext.runtime import ship_package
@@ -223,7 +224,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in find_all(column(part, "text"), rules or RULES)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
-    schema = docs.select("doc_id").schema.add("spans", "array<struct<`start`:bigint,`end`:bigint,`kind`:string>>")
+    span = T.StructType().add("start", "long").add("end", "long").add("kind", "string")
+    schema = docs.select("doc_id").schema.add("spans", T.ArrayType(span))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -101,19 +101,26 @@ class ByteLevel:
         self._known.update((c, x) for c, x in got.items() if len(c) <= LONGEST)
         return got
 
+    def _chunks(self, text: str) -> list[str]:
+        if _ODD.search(text):
+            return _CUT.split(text)
+        first, *rest = text.split(" ")
+        return ([first] if first else []) + [" " + x for x in rest]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        cut: list[list[str] | bytes] = []
-        for text in texts:
-            if any(s in text for s in self._special):
-                cut.append(np.array(self.plain(text), "<u4").tobytes())
-            elif len(text) > LONG_TEXT:
-                cut.append(b"".join(x for part in long_parts(text) for x in self.encode_all([part])))
-            elif _ODD.search(text):
-                cut.append(_CUT.split(text))
-            else:
-                first, *rest = text.split(" ")
-                cut.append(([first] if first else []) + [" " + x for x in rest])
+        if any(len(t) > LONG_TEXT for t in texts):
+            return [b"".join(x for part in self._parts(t) for x in self._encode([part])) for t in texts]
+        return self._encode(texts)
+
+    def _parts(self, text: str):
+        return [text] if len(text) <= LONG_TEXT or self._holds_special(text) else long_parts(text)
+
+    def _holds_special(self, text: str) -> bool:
+        return any(s in text for s in self._special)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [np.array(self.plain(t), "<u4").tobytes() if self._holds_special(t) else self._chunks(t) for t in texts]
         known = self._known
         unknown = {c for x in cut if not isinstance(x, bytes) for c in x if c not in known}
         if unknown:

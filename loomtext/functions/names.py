@@ -139,7 +139,7 @@ def expand_words(words: Column, abbreviations: dict | None = None) -> Column:
 def encode63(n: Column) -> Column:
     """Base-63 text of a number, most significant digit first; zero is the first letter."""
     digits = F.array(*map(F.lit, BASE63))
-    powers = F.array(*[F.floor(n.cast("decimal(20,0)") / F.lit(63**i).cast("decimal(20,0)")).cast("long") for i in range(10)])
+    powers = F.array(*[F.call_function("div", n.cast("long"), F.lit(63**i)) for i in range(11)])
     text = F.reverse(F.array_join(F.transform(powers, lambda p: F.element_at(digits, (p % 63 + 1).cast("int"))), ""))
     out = F.regexp_replace(text, "^A+", "")
     return F.when(out == "", "A").otherwise(out)

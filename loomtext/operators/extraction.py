@@ -274,7 +274,8 @@ def performance_of(content: str, language: str) -> list[dict]:
     for i, x in enumerate(lines):
         for m in _AWAIT.finditer(_code(x, language)):
             who = holder(found, i + 1)
-            if any(a < i <= b for a, b in loops):
+            bare = _code(x, language)
+            if any(a < i <= b or (a == i and _LOOP.search(bare).start() < bare.find("await")) for a, b in loops):
                 out.append({"source_no": who, "line": i + 1, "issue": "await_in_loop", "severity": "high"})
             waits.setdefault(who, []).append((i + 1, m["var"], m["args"]))
     for who, each in waits.items():

@@ -67,7 +67,9 @@ def literals(pattern: str, least: int = 3) -> list[str]:
     """Literals of which any match holds at least one; empty if there is no such set."""
 
     def runs(branch: str) -> list[str]:
-        bare = re.sub(r"\[[^\]]*\]|\\.|\(\?[:=!<]|[()^$.]|.[*?]|.\{0[^}]*\}", "\0", branch)
+        while re.search(r"\([^()]*\)(?:[*?]|\{0)", branch):  # optional groups hold nothing for sure
+            branch = re.sub(r"\([^()]*\)(?:[*?]|\{0[^}]*\})", ".", branch)
+        bare = re.sub(r"\[[^\]]*\][*?]?|\\.[*?]?|\(\?[:=!<]|.[*?]|.\{0[^}]*\}|[()^$.]", "\0", branch)
         return [r for r in re.split(r"[\0+|{}]|\{[^}]*\}", bare) if len(r) >= least]
 
     if "(" not in pattern and "|" in pattern:
@@ -147,7 +149,9 @@ def positions(rows: DataFrame, pattern: str, o: Options = Options()) -> DataFram
         gaps = F.split("text", rx, -1)
         each = rows.select("*", F.posexplode(gaps).alias("i", "piece"), gaps.alias("_g"))
         before = F.array_join(F.slice("_g", F.lit(1), F.col("i")), "")
-        each = each.where(F.col("piece").startswith(pattern) if not o.ignore_case else F.lower("piece").startswith(pattern.lower()))
+        # every piece but the first starts at a match; the first does if the text does
+        starts = F.col("text").startswith(pattern) if not o.ignore_case else F.lower("text").startswith(pattern.lower())
+        each = each.where((F.col("i") > 0) | starts)
     out = each.withColumn("before", before)
     size = F.char_length("z.hit") if o.regex or o.whole_word else F.lit(len(pattern))
     column = F.char_length("before")

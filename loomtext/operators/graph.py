@@ -111,6 +111,37 @@ def accumulate_labels(edges: DataFrame, labels: DataFrame, rounds: int = 3) -> D
     return state
 
 
+def dependency_weights(edges: DataFrame, seeds: DataFrame, mode: str = "linear", max_hops: int = 5, cut: float = 0.0) -> DataFrame:
+    """id, n_sources, total, best: seeds' hop-weighted influence on each node they reach; weights over `cut`.
+
+    total sums the weights, best is the largest, n_sources counts the seeds once each.
+    """
+    far = closure(edges, seeds, max_hops).where("depth > 0").withColumn("w", hop_weight(F.col("depth"), mode)).where(F.col("w") > cut)
+    return far.groupBy("id").agg(F.count_distinct("seed").alias("n_sources"), F.round(F.sum("w"), 6).alias("total"), F.round(F.max("w"), 6).alias("best"))
+
+
+def dependency_depth(edges: DataFrame, max_depth: int) -> DataFrame:
+    """id, depth: the longest shortest way from a node, within max_depth."""
+    nodes = edges.select(F.col("source").alias("id")).distinct()
+    return closure(edges, nodes, max_depth).groupBy(F.col("seed").alias("id")).agg(F.max("depth").alias("depth"))
+
+
+def critical(labelled: DataFrame, labels: list[str], least: float = 0.7) -> DataFrame:
+    """Nodes whose strength for a critical label is over the least; the hop-discounted confidence with it."""
+    rows = labelled.where(F.col("label").isin(labels) & (F.col("strength") > least))
+    return rows.withColumn("confidence", F.round(F.col("strength") * F.pow(F.lit(0.9), F.col("hops")), 6)).orderBy(F.desc("strength"), "id", "label")
+
+
+def through_implementations(calls: DataFrame, implements: DataFrame) -> DataFrame:
+    """source, target, confidence: calls of an interface, spread evenly over its implementations.
+
+    implements: interface, implementor.
+    """
+    n = implements.groupBy("interface").agg(F.count("*").alias("n"))
+    rows = calls.join(implements, F.col("target") == F.col("interface")).join(n, "interface")
+    return rows.select("source", F.col("implementor").alias("target"), F.round(1 / F.col("n"), 6).alias("confidence"))
+
+
 def hop_weight(hops, mode: str = "linear"):
     if mode == "exponential":
         return F.pow(F.lit(0.8), hops)

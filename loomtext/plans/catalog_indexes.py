@@ -36,7 +36,7 @@ def index_content_hash(spark, sf_dir):
     return C.hashes(C.files(spark, sf_dir)).select("file_id", "n_bytes", "sha256")
 
 
-@query(f"WITH {CORPUS}, low AS (SELECT file_id, lower(content) AS c FROM corpus), g AS (SELECT DISTINCT file_id, c[CAST(i AS INT):CAST(i AS INT) + 2] AS trigram FROM low, unnest(range(1, length(c) - 1)) AS r(i)) SELECT trigram, count(*) AS n_files FROM g WHERE regexp_matches(trigram, '[A-Za-z0-9_]') GROUP BY trigram")
+@query(f"WITH {CORPUS}, low AS (SELECT file_id, string_split(lower(content), '') AS c FROM corpus), g AS (SELECT file_id, unnest(list_distinct([c[i] || c[i + 1] || c[i + 2] for i in range(1, len(c) - 1)])) AS trigram FROM low) SELECT trigram, count(*) AS n_files FROM g WHERE regexp_matches(trigram, '[A-Za-z0-9_]') GROUP BY trigram")
 def index_trigrams(spark, sf_dir):
     return I.trigrams(C.files(spark, sf_dir)).groupBy("trigram").agg(F.count("*").alias("n_files"))
 

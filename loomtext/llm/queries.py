@@ -90,18 +90,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM summed GROUP BY conv_id
 """
 
-#: crc32 by its rule: 256 table entries from eight shifts each, then a fold over the bytes.
-_OP7 = """
-WITH step AS (
-  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
-  FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
-raw AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+
+
+def _crc32_table() -> list[int]:
+    """The byte table of crc32: eight shifts of each byte."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+_OP7 = f"""
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 hexed AS (SELECT r, doc_id, hex(encode(text)) AS h FROM raw),
 summed AS (
   SELECT r, doc_id, CAST(length(h) // 2 + 8 AS BIGINT) AS size,
-    CAST(xor(4294967295, list_reduce([4294967295] || [CAST(('0x' || h[2 * i + 1 : 2 * i + 2]) AS BIGINT) for i in range(length(h) // 2)],
-      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32
-  FROM hexed, step),
+    CAST(xor(4294967295, list_reduce([4294967295] || [CAST(('0x' || x) AS BIGINT) for x in regexp_extract_all(h, '..')],
+      lambda c, b: xor(c >> 8, ({_crc32_table()})[(xor(c, b) & 255) + 1]))) AS BIGINT) AS text_crc32
+  FROM hexed),
 bids AS (
   SELECT r, s, -1.0 / ln((CAST(('0x' || md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || s)[1:13]) AS BIGINT) + 0.5) / 4503599627370496.0) AS bid
   FROM raw, (SELECT CAST(range AS INTEGER) AS s FROM range(25))),

@@ -8,10 +8,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.runtime import ship_package
+
 
 def jaro(a: str, b: str) -> float:
     if a == b:
@@ -51,6 +53,7 @@ def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Similarity 0..1, with the usual prefix bonus above 0.7; null if either is null."""
+    ship_package(SparkSession.active())
     return _jaro_winkler(a, b)
 
 
@@ -159,6 +162,7 @@ def _stem(words: pd.Series) -> pd.Series:
 
 
 def stem(word: Column) -> Column:
+    ship_package(SparkSession.active())
     return _stem(word)
 
 
@@ -169,6 +173,7 @@ def _stems(words: pd.Series) -> pd.Series:
 
 def stems(words: Column) -> Column:
     """The stems of an array's words of three letters or more."""
+    ship_package(SparkSession.active())
     return _stems(words)
 
 
@@ -218,6 +223,7 @@ def phrase_score(query: list[str], target: list[str], table: dict[str, list[str]
 
 def phrase_matcher(query: list[str], table: dict[str, list[str]], domains: dict[str, list[str]]):
     """A UDF column function: words of a name -> its phrase score against the query's words."""
+    ship_package(SparkSession.active())
     synonyms = [set(v) for v in domains.values()]
 
     @F.pandas_udf(T.DoubleType())

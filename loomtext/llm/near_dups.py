@@ -7,9 +7,9 @@ bits make by chance. Candidates whose estimate is not clearly too low are confir
 
 Shape of the job. Texts with equal sets are one class from the start (a pre-aggregated group-by).
 Classes that share a band key are linked in rounds: each key's members are held against one member
-(the pivot), confirmed links merge components, and only keys that still span several components stay;
-after `pivot_rounds` what is left is paired member by member across components, inside the join's
-condition, so no pair that could join two components goes untested and large groups of near copies
+(the pivot, one that meets many), confirmed links merge components, and only keys that still span several components stay;
+after `pivot_rounds` what is left is compared block by block across components, and only survivors
+come out, so no pair that could join two components goes untested and large groups of near copies
 never become all pairs. Components come from large-star/small-star rounds over confirmed links. Every
 loop writes its tables to the shared checkpoint folder; nothing per document reaches the driver.
 
@@ -46,7 +46,9 @@ class Params:
     rows: int = 6
     bits: int = 4
     slack: float = 0.15
-    pivot_rounds: int = 3
+    pivot_rounds: int = 2
+    sketch: int = 512  # lowest set hashes that a block holds of each member
+    block: int = 64
     broadcast_ids: int = 2_000_000  # at most this many 8-byte ids are broadcast; more are joined by shuffle
 
 
@@ -157,6 +159,79 @@ def _semi(rows: DataFrame, ids: DataFrame, on: str, n: int, limit: int, how: str
     return rows.join(F.broadcast(ids) if n <= limit else ids, on, how)
 
 
+def _across(members: DataFrame, sigs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
+    """Pairs (a, b) of different components that share a key and may be linked.
+
+    A key's members are dealt into blocks of about `block`; blocks are paired, and a task compares two
+    blocks with numpy: sizes, bit estimate, the pair's first shared band being this key, and the lowest
+    hashes of both sets (exact for sets that fit). Only survivors come out.
+    """
+    n_blocks = F.ceil(F.col("n") / params.block).cast("int")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).select("key", n_blocks.alias("n_blocks"))
+    low = sets.select("id", F.slice("set", 1, params.sketch).alias("low"))
+    rows = members.join(sizes, "key").select("key", "id", "comp", F.pmod(F.xxhash64("id", F.lit("block")), F.col("n_blocks")).cast("int").alias("block")).join(sigs, "id").join(low, "id")
+    blocks = rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "n_shingles", "planes", "bands", "low")).alias("m"))
+    each = sizes.select("key", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("bx")).select("key", "bx", F.explode(F.sequence("bx", F.col("n_blocks") - 1)).alias("by"))
+    x, y = blocks.select("key", F.col("block").alias("bx"), F.col("m").alias("x")), blocks.select("key", F.col("block").alias("by"), F.col("m").alias("y"))
+    return each.join(x, ["key", "bx"]).join(y, ["key", "by"]).select("key", "bx", "by", "x", "y").mapInArrow(_comparer(params), "a long, b long").distinct()
+
+
+def _comparer(params: Params):
+    slots, words = params.bands * params.rows, -(-params.bands * params.rows // 64)
+    least, chance = params.percent / 100, 2.0**-params.bits
+
+    def unpack(block) -> dict:
+        m = block.values
+        out = {k: m.field(k).to_numpy(zero_copy_only=False) for k in ("id", "comp", "n_shingles")}
+        for k in ("planes", "bands"):
+            out[k] = m.field(k).flatten().to_numpy(zero_copy_only=False).reshape(len(m), -1)
+        return out | {"low": m.field("low")}
+
+    def run(batches):
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for i in range(batch.num_rows):
+                key, bx, by = (batch.column(k)[i].as_py() for k in range(3))
+                x, y = unpack(batch.column(3)[i]), unpack(batch.column(4)[i])
+                ok = x["comp"][:, None] != y["comp"][None, :]
+                if bx == by:
+                    ok &= np.triu(np.ones(ok.shape, np.bool_), 1)
+                nx, ny = x["n_shingles"][:, None], y["n_shingles"][None, :]
+                ok &= (nx * 100 >= ny * params.percent) & (ny * 100 >= nx * params.percent)
+                differ = np.zeros(ok.shape, np.int64)
+                for w in range(words):
+                    planes = np.zeros(ok.shape, np.int64)
+                    for j in range(params.bits):
+                        planes |= x["planes"][:, None, j * words + w] ^ y["planes"][None, :, j * words + w]
+                    differ += np.bitwise_count(planes.view(np.uint64))
+                ok &= ((slots - differ) / slots - chance) / (1 - chance) >= least - params.slack
+                p, q = np.nonzero(ok)
+                if not len(p):
+                    continue
+                same = x["bands"][p] == y["bands"][q]
+                here = x["bands"][p, same.argmax(axis=1)] == key
+                lows: dict[tuple[int, int], np.ndarray] = {}
+                for a, b in zip(p[here].tolist(), q[here].tolist(), strict=True):
+                    u = lows.setdefault((0, a), x["low"][a].values.to_numpy().view(np.uint64))
+                    v = lows.setdefault((1, b), y["low"][b].values.to_numpy().view(np.uint64))
+                    if max(x["n_shingles"][a], y["n_shingles"][b]) > params.sketch:
+                        # up to the smaller sketch's end both sets are known
+                        end = min(u[-1] if x["n_shingles"][a] > params.sketch else v[-1], v[-1] if y["n_shingles"][b] > params.sketch else u[-1])
+                        u, v = u[u <= end], v[v <= end]
+                        need = least - params.slack
+                    else:
+                        need = least
+                    at = np.searchsorted(v, u)
+                    both = int((v[np.minimum(at, len(v) - 1)] == u).sum()) if len(v) else 0
+                    if both >= need * (len(u) + len(v) - both) - 1e-9:
+                        one, two = int(x["id"][a]), int(y["id"][b])
+                        found.add((min(one, two), max(one, two)))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return run
+
+
 def link(docs: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(signed rows: doc_id, n_shingles, fp1, fp2; classes: fp1, fp2, rep, comp)."""
     ship_package(docs.sparkSession)
@@ -165,12 +240,16 @@ def link(docs: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame,
     classes = scratch.write(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "planes")
     keyed = scratch.write(reps.select("id", F.explode("bands").alias("key")), "keyed")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    members = scratch.write(keyed.join(shared, "key").distinct(), "members")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    met = scratch.write(keyed.join(shared, "key").distinct(), "met")
     scratch.drop("keyed")
-    ids = scratch.write(members.select("id").distinct(), "ids")
+    # how many members a class meets over all its keys: the middle of a group of near copies meets most
+    ids = scratch.write(met.groupBy("id").agg(F.sum("n").alias("central")), "ids")
+    members = scratch.write(met.select("key", "id").join(ids, "id"), "members")
+    scratch.drop("met")
+    ids = ids.select("id")
     n_ids = ids.count()
-    sigs = scratch.write(_semi(reps, ids, "id", n_ids, params.broadcast_ids, "left_semi").select("id", "n_shingles", "planes"), "sigs")
+    sigs = scratch.write(_semi(reps, ids, "id", n_ids, params.broadcast_ids, "left_semi").select("id", "n_shingles", "planes", "bands"), "sigs")
     sets = scratch.write(full_sets(_semi(docs.select("doc_id", "text"), ids.withColumnRenamed("id", "doc_id"), "doc_id", n_ids, params.broadcast_ids, "left_semi"), params), "sets")
 
     def near(x: str, y: str):
@@ -197,17 +276,16 @@ def link(docs: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame,
     else:
         labels = scratch.write(components(scratch, links, "comp-torn"), "labels-torn")
     for step in range(params.pivot_rounds + 1):
-        now = members.withColumn("comp", F.col("id")) if labels is None else members.join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        now = members.withColumn("comp", F.col("id")) if labels is None else members.join(labels, "id", "left").select("key", "id", "central", F.coalesce("comp", "id").alias("comp"))
         last = step == params.pivot_rounds
-        order = F.col("id") if step == 0 else F.xxhash64("id", F.lit(step))
-        pivot = F.min_by(F.struct("id", "comp"), order)
+        other = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1000)) / 5000 if step else F.lit(0.0)  # each round another central one
+        pivot = F.max_by(F.struct("id", "comp"), F.struct(F.col("central") * (1 - other), "id"))
         open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("p")).where("lo < hi").select("key", "p")
         open_keys = scratch.write(open_keys, f"open-{step}")
         if open_keys.isEmpty():
             break
         if last:
-            full = now.join(open_keys.select("key"), "key").join(sigs, "id")
-            pairs = full.alias("x").join(full.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & near("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+            pairs = _across(now.join(open_keys.select("key"), "key"), sigs, sets, params)
         else:
             pairs = now.join(open_keys, "key").where(F.col("comp") != F.col("p.comp")).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
             pairs = estimated(pairs)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import words as W
 from loomtext.llm.frames import column, slices
+from loomtext.llm.memory import claim
 from loomtext.runtime import ship_package
 
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal s sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles inch inches foot feet gram grams kilogram kilograms pound pounds liter liters litre litres dollar dollars cent cents euro euros eur usd gbp percent % degree degrees c f k w kw mw v a hz khz mhz ghz b kb mb gb tb".split())
@@ -87,6 +88,7 @@ class Canonical:
 
 
 def canonical(words: list[bytes], first: int = 0) -> Canonical:
+    claim("template words", _WORDS.clear)
     if len(_WORDS) > W.MEMORY:
         _WORDS.clear()
     rows = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))

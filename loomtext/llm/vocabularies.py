@@ -17,6 +17,8 @@ from functools import cache
 import numpy as np
 import xxhash
 
+from loomtext.llm.memory import claim
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks or words that a worker remembers before it starts anew; bounds its memory.
@@ -77,17 +79,19 @@ class ByteLevel:
             self._spaced = np.zeros(max(ranks.values()) + 1, np.bool_)
             self._spaced[[i for name, i in ranks.items() if name.startswith(b" ")]] = True
         self._known: dict[str, bytes] = {}
+        self._kind = f"chunks of {place}"
 
     def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, end of each word's ids) of words that start with a space and hold no other."""
         ids = np.array(self.plain("".join(words)), np.uint32)
         starts = np.flatnonzero(self._spaced[ids])
-        if len(starts) != len(words):
-            raise AssertionError("a chunk was not cut at a token boundary")
+        if len(starts) != len(words):  # some other space-led token: one by one
+            each = [self.plain(w) for w in words]
+            return np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
         return ids, np.append(starts[1:], len(ids))
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        got = {}
+    def _learn(self, chunks: set[str]) -> None:
+        got = self._known
         plain = [c for c in chunks if c[:1] == " " and c.find(" ", 1) < 0]
         for c in chunks.difference(plain):
             got[c] = np.array(self.plain(c), "<u4").tobytes()
@@ -98,8 +102,6 @@ class ByteLevel:
             for c, end in zip(some, ends.tolist(), strict=True):
                 got[c] = raw[4 * at : 4 * end]
                 at = end
-        self._known.update((c, x) for c, x in got.items() if len(c) <= LONGEST)
-        return got
 
     def _chunks(self, text: str) -> list[str]:
         if _ODD.search(text):
@@ -109,6 +111,7 @@ class ByteLevel:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
+        claim(self._kind, self._known.clear)
         if any(len(t) > LONG_TEXT for t in texts):
             return [b"".join(x for part in self._parts(t) for x in self._encode([part])) for t in texts]
         return self._encode(texts)
@@ -125,12 +128,15 @@ class ByteLevel:
         unknown = {c for x in cut if not isinstance(x, bytes) for c in x if c not in known}
         if unknown:
             if len(known) + len(unknown) > MEMORY:
-                known = self._known = {}
+                known.clear()
                 unknown = {c for x in cut if not isinstance(x, bytes) for c in x}
-            got = self._learn(unknown)
-            known = self._known if len(got) == len(self._known) or all(len(c) <= LONGEST for c in unknown) else {**self._known, **got}
+            self._learn(unknown)
         look = known.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(look, x)) for x in cut]
+        out = [x if isinstance(x, bytes) else b"".join(map(look, x)) for x in cut]
+        for c in unknown:
+            if len(c) > LONGEST:
+                del known[c]
+        return out
 
 
 @cache

@@ -8,6 +8,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from loomtext.llm.memory import claim
+
 #: Odd multipliers; any fixed odd values do.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 #: Distinct words that a worker remembers before it starts anew; bounds its memory.
@@ -43,6 +45,7 @@ def blocks(text: bytes, size: int = 1 << 20):
 
 def text_hashes(text: bytes) -> np.ndarray:
     """The hash of each word of a text."""
+    claim("word hashes", _HASHES.clear)
     got = [hashes(block) for block in blocks(text)]
     return got[0] if len(got) == 1 else np.concatenate(got) if got else np.zeros(0, np.uint64)
 

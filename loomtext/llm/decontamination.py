@@ -3,7 +3,9 @@
 Words lose outer punctuation and case; numbers, names and units become typed placeholders (`typed`
 view). A second view (`plain`) leaves names as they are, for copies whose capitals changed. Windows of
 k words are hashed in either view; a window with fewer than two literal words is hashed without
-placeholders. Document windows are looked up among the benchmark's; where they meet, the item's slot
+placeholders. A capitalised word that opens a sentence may be a name or not, so windows that touch such
+words are hashed in every reading of them (literal or name), in documents and items, and meet if any
+reading does. Document windows are looked up among the benchmark's; where they meet, the item's slot
 values must map to the document's consistently (one item value, one document value) within a stretch of
 the document, and the share of the item's windows found so must reach `share`.
 
@@ -80,10 +82,12 @@ _WORDS = _Words()
 
 @dataclass
 class Canonical:
-    """Kept words of a text: where each stood, its literal hash, and the hash and slot mask by view."""
+    """Kept words of a text: where each stood, its literal hash, if it may be a name or not, and the hash
+    and slot mask by view."""
 
     at: np.ndarray
     literal: np.ndarray
+    unsure: np.ndarray
     views: tuple[tuple[np.ndarray, np.ndarray], ...]
 
 
@@ -99,9 +103,10 @@ def canonical(words: list[bytes], first: int = 0) -> Canonical:
     hashes, flags, after_end = hashes[keep], flags[keep], after_end[keep]
     number = (flags & NUM) > 0
     unit = ((flags & UNIT) > 0) & np.concatenate(([False], number[:-1])) if len(flags) else number
-    name = ((flags & TITLE) > 0) & ~after_end & ~unit
+    title = ((flags & TITLE) > 0) & ~unit
+    name = title & ~after_end
     plain = np.where(number, _NUM, np.where(unit, _UNIT, hashes))
-    return Canonical(at + first, hashes, ((np.where(name, _NAME, plain), number | unit | name), (plain, number | unit)))
+    return Canonical(at + first, hashes, title & after_end, ((np.where(name, _NAME, plain), number | unit | name), (plain, number | unit)))
 
 
 def hashed(c: Canonical, view: int, params: Params) -> np.ndarray:
@@ -117,6 +122,36 @@ def hashed(c: Canonical, view: int, params: Params) -> np.ndarray:
     return got + np.uint64(view)
 
 
+def _bits(mask: np.ndarray, k: int) -> np.ndarray:
+    """For each window, which of its words are in the mask."""
+    n = len(mask) - k + 1
+    return sum(mask[j : j + n].astype(np.int64) << j for j in range(k))
+
+
+def readings(c: Canonical, view: int, params: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, hash and slot bits of each window: first as in `hashed`, then with every choice of its
+    unsure words as names."""
+    k, h = params.window, c.views[view][0]
+    base, slots = hashed(c, view, params), _bits(c.views[view][1], k)
+    parts = [(np.arange(len(base)), base, slots)]
+    unsure = _bits(c.unsure, k) if VIEWS[view] == "typed" else slots[:0]
+    at = np.flatnonzero(unsure)
+    every = named = unsure[at]
+    while len(at):
+        acc = np.zeros(len(at), np.uint64)
+        for j in range(k):
+            acc = acc * W.MULTIPLIERS[0] + np.where((named >> j) & 1, _NAME, h[at + j])
+        got, bits = W.mix(acc), slots[at] | named
+        few = np.flatnonzero(np.bitwise_count(bits) > k - params.literals)
+        if len(few):
+            got[few] = W.fast_windows(c.literal, k)[at[few]]
+        parts.append((at, got + np.uint64(view), bits))
+        named = (named - 1) & every  # the next smaller choice
+        left = named > 0
+        at, every, named = at[left], every[left], named[left]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 class Templates:
     """A block of benchmark items: where each window hash occurs, and the items' slot values."""
 
@@ -130,15 +165,15 @@ class Templates:
             if len(c.at) < params.window:
                 continue
             for view in range(len(VIEWS)):
-                got = hashed(c, view, params)
+                at, got, slots = readings(c, view, params)
                 hashes.append(got)
-                places += [(len(self.ids), view, q) for q in range(len(got))]
-                self.need.append(len(np.unique(got)))
+                places.append(np.stack([np.full(len(at), len(self.ids)), np.full(len(at), view), at, slots], 1))
+                self.need.append(len(np.unique(got[: len(c.at) - params.window + 1])))
             self.ids.append(item_id)
             self.items.append((c, [_core(words[i]) for i in c.at.tolist()]))
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.hashes, self.places = flat[order], [places[i] for i in order.tolist()]
+        self.hashes, self.places = flat[order], np.concatenate(places)[order] if places else np.zeros((0, 4), np.int64)
         self.sieve = np.zeros(1 << 20, np.bool_)
         self.sieve[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -153,7 +188,7 @@ class Templates:
     def search(self, text: str | None) -> list[tuple[object, str, float, int, int, int]]:
         """(item, view, share, first word, end word, slots) of the best stretch for each item that is met."""
         k, params = self.params.window, self.params
-        found: dict[tuple[int, int], list[tuple[int, int, int, tuple[bytes, ...]]]] = {}
+        found: dict[tuple[int, int], list[tuple[int, int, int, int, tuple[bytes, ...]]]] = {}
         tail: list[bytes] = []
         first = 0
         for block in W.blocks((text or "").encode("utf-8", "replace")):
@@ -161,16 +196,15 @@ class Templates:
             c = canonical(words, first)
             if len(c.at) >= k:
                 for view in range(len(VIEWS)):
-                    h = hashed(c, view, params)
-                    for p in self.meets(h):
+                    at, h, _ = readings(c, view, params)
+                    for row in self.meets(h):
+                        p = int(at[row])
                         where = c.at[p : p + k].tolist()
                         cores = tuple(_core(words[i - first]) for i in where)
-                        lo = np.searchsorted(self.hashes, h[p])
-                        while lo < len(self.hashes) and self.hashes[lo] == h[p]:
-                            item, its_view, q = self.places[lo]
-                            lo += 1
+                        lo, hi = np.searchsorted(self.hashes, h[row]), np.searchsorted(self.hashes, h[row], side="right")
+                        for item, its_view, q, slots in self.places[lo:hi].tolist():
                             if its_view == view:
-                                found.setdefault((item, view), []).append((where[0], where[-1] + 1, q, cores))
+                                found.setdefault((item, view), []).append((where[0], where[-1] + 1, q, slots, cores))
             held = min(len(words), 8 * k)
             first += len(words) - held
             tail = words[len(words) - held :]
@@ -183,7 +217,6 @@ class Templates:
 
     def _consistent(self, item: int, view: int, hits) -> tuple[float, int, int, int] | None:
         c, cores = self.items[item]
-        slot = c.views[view][1]
         h = hashed(c, view, self.params)
         reach = 2 * (int(c.at[-1]) - int(c.at[0]) + 1)
         best, at = None, 0
@@ -191,8 +224,8 @@ class Templates:
             start, means, seen, end, next_at = hits[at][0], {}, set(), hits[at][1], None
             i = at
             while i < len(hits) and hits[i][0] < start + reach:
-                a, b, q, own = hits[i]
-                pairs = {(cores[q + j], own[j]) for j in range(self.params.window) if slot[q + j]}
+                a, b, q, slots, own = hits[i]
+                pairs = {(cores[q + j], own[j]) for j in range(self.params.window) if slots >> j & 1}
                 if len({x for x, _ in pairs}) == len(pairs) and all(means.get(x, y) == y for x, y in pairs):
                     means.update(pairs)
                     seen.add(int(h[q]))

@@ -68,3 +68,21 @@ def test_odd_rows(spark, rows):
 def test_keep_clean_drops_leaks_only(spark):
     docs = documents(spark, [(1, ITEM), (2, SWAP), (3, FILL), (None, ITEM), (5, None)])
     assert sorted(r["doc_id"] for r in D.keep_clean(docs, bench(spark, [(10, ITEM)])).collect()) == [3, 5]
+
+
+OPENING = "Natalia sold 48 clips to each of her friends in the spring. Natalia then sold 9 clips on the market. Weng bakes for 12 hours every week. Natalia helps with all of it."
+
+
+def test_names_that_open_sentences_are_slots_too(spark):
+    swap = OPENING.replace("Natalia", "Tom").replace("Weng", "Ada").replace("48", "31")
+    broken = swap.replace("Tom then", "Zoe then").replace("Tom helps", "Kim helps")
+    docs = [(1, f"{FILL}. {swap} {FILL}"), (2, f"{FILL} {swap} {FILL}"), (3, OPENING), (4, broken), (5, FILL), (6, OPENING.lower())]
+    got = leaks(spark, docs, [(10, OPENING), (11, "Here is nothing of it. Nobody is sold anything in this text. It ends")])
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (6, 10)}
+    assert got[1, 10]["share"] == got[2, 10]["share"] == 1.0
+
+
+def test_every_reading_of_several_openings_is_tried():
+    item = "they all ran. Ann. Bob won the race today. Then it rained a lot"
+    swaps = [item, item.replace("Ann", "Eve"), item.replace("Bob", "Max"), item.replace("Ann.", "Eve").replace("Bob", "Max"), item.replace("Ann", "ann").replace("Bob", "Max")]
+    assert [[x[2] for x in D.Templates([(10, item)], D.Params(share=1.0)).search(t)] for t in swaps] == [[1.0]] * 5

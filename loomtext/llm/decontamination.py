@@ -7,7 +7,8 @@ placeholders. A capitalised word that opens a sentence may be a name or not, so
 words are hashed in every reading of them (literal or name), in documents and items, and meet if any
 reading does. Document windows are looked up among the benchmark's; where they meet, the item's slot
 values must map to the document's consistently (one item value, one document value) within a stretch of
-the document, and the share of the item's windows found so must reach `share`.
+the document, and the share of the item's windows found so must reach `share`. A stretch of twice the
+item's length starts at every place where they begin to meet.
 
 The benchmark goes to the executors in blocks of at most `block_chars` characters of text, each block
 broadcast on its own and held against all documents; how many blocks there are grows with it, their size
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -122,42 +124,58 @@ def hashed(c: Canonical, view: int, params: Params) -> np.ndarray:
     return got + np.uint64(view)
 
 
-def _bits(mask: np.ndarray, k: int) -> np.ndarray:
-    """For each window, which of its words are in the mask."""
-    n = len(mask) - k + 1
-    return sum(mask[j : j + n].astype(np.int64) << j for j in range(k))
-
-
-def readings(c: Canonical, view: int, params: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, hash and slot bits of each window: first as in `hashed`, then with every choice of its
-    unsure words as names."""
-    k, h = params.window, c.views[view][0]
-    base, slots = hashed(c, view, params), _bits(c.views[view][1], k)
-    parts = [(np.arange(len(base)), base, slots)]
-    unsure = _bits(c.unsure, k) if VIEWS[view] == "typed" else slots[:0]
-    at = np.flatnonzero(unsure)
-    every = named = unsure[at]
+def _bits(mask: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """For the windows at these places, which of their words are in the mask."""
+    return sum(mask[at + j].astype(np.int64) << j for j in range(k))
+
+
+def _hash(h: np.ndarray, at: np.ndarray, k: int, named: np.ndarray) -> np.ndarray:
+    """As `fast_windows`, of the windows at these places, with some of their words as names."""
+    acc = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        acc = acc * W.MULTIPLIERS[0] + np.where((named >> j) & 1, _NAME, h[at + j])
+    return W.mix(acc)
+
+
+def readings(c: Canonical, params: Params, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash and slot bits (`typed` view) of windows with unsure words, once for each choice of them
+    as names; the choice of none is in `hashed`. words: where given, windows with another word are left out."""
+    k, (h, slot) = params.window, c.views[0]
+    ones = np.ones(k, np.int64)
+    may = np.convolve(c.unsure, ones, "valid") > 0
+    if words is not None and may.any():
+        other = ~(words[_cell(h)] | words[_cell(c.literal)] | c.unsure)
+        may &= np.convolve(other, ones, "valid") == 0
+    at = np.flatnonzero(may)
+    parts = [(at[:0], h[:0], at[:0])]
+    if len(at):
+        slots, every = _bits(slot, at, k), _bits(c.unsure, at, k)
+        named = every
     while len(at):
-        acc = np.zeros(len(at), np.uint64)
-        for j in range(k):
-            acc = acc * W.MULTIPLIERS[0] + np.where((named >> j) & 1, _NAME, h[at + j])
-        got, bits = W.mix(acc), slots[at] | named
+        got, bits = _hash(h, at, k, named), slots | named
         few = np.flatnonzero(np.bitwise_count(bits) > k - params.literals)
         if len(few):
-            got[few] = W.fast_windows(c.literal, k)[at[few]]
-        parts.append((at, got + np.uint64(view), bits))
+            got[few] = _hash(c.literal, at[few], k, 0 * few)
+        parts.append((at, got + np.uint64(VIEWS.index("typed")), bits))
         named = (named - 1) & every  # the next smaller choice
         left = named > 0
-        at, every, named = at[left], every[left], named[left]
+        at, slots, every, named = at[left], slots[left], every[left], named[left]
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _cell(h: np.ndarray) -> np.ndarray:
+    """The cell of each hash in a sieve."""
+    return (h >> np.uint64(44)).astype(np.int64)
+
+
 class Templates:
     """A block of benchmark items: where each window hash occurs, and the items' slot values."""
 
     def __init__(self, items: list[tuple[object, str]], params: Params):
         self.params = params
-        self.ids, self.items, self.need = [], [], []
+        self.ids, self.items, self.need, self.same = [], [], [], []
+        self.words = np.zeros(1 << 20, np.bool_)
+        self.words[_cell(np.array([_NUM, _NAME, _UNIT]))] = True
         hashes, places = [], []
         for item_id, text in items:
             words = (text or "").encode("utf-8", "replace").split()
@@ -165,20 +183,28 @@ class Templates:
             if len(c.at) < params.window:
                 continue
             for view in range(len(VIEWS)):
-                at, got, slots = readings(c, view, params)
-                hashes.append(got)
-                places.append(np.stack([np.full(len(at), len(self.ids)), np.full(len(at), view), at, slots], 1))
-                self.need.append(len(np.unique(got[: len(c.at) - params.window + 1])))
+                got = hashed(c, view, params)
+                at = np.arange(len(got))
+                found = [(at, got, _bits(c.views[view][1], at, params.window))]
+                if VIEWS[view] == "typed":
+                    found.append(readings(c, params))
+                for at, h, slots in found:
+                    hashes.append(h)
+                    places.append(np.stack([np.full(len(at), len(self.ids)), np.full(len(at), view), at, slots], 1))
+                kinds, same = np.unique(got, return_inverse=True)
+                self.need.append(len(kinds))
+                self.same.append(same)
+            self.words[_cell(c.literal)] = True
             self.ids.append(item_id)
             self.items.append((c, [_core(words[i]) for i in c.at.tolist()]))
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hashes, self.places = flat[order], np.concatenate(places)[order] if places else np.zeros((0, 4), np.int64)
         self.sieve = np.zeros(1 << 20, np.bool_)
-        self.sieve[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.sieve[_cell(self.hashes)] = True
 
     def meets(self, h: np.ndarray) -> list[int]:
-        maybe = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)])
+        maybe = np.flatnonzero(self.sieve[_cell(h)])
         if not len(maybe):
             return []
         i = np.searchsorted(self.hashes, h[maybe])
@@ -188,7 +214,7 @@ class Templates:
     def search(self, text: str | None) -> list[tuple[object, str, float, int, int, int]]:
         """(item, view, share, first word, end word, slots) of the best stretch for each item that is met."""
         k, params = self.params.window, self.params
-        found: dict[tuple[int, int], list[tuple[int, int, int, int, tuple[bytes, ...]]]] = {}
+        found: dict[tuple[int, int], list[tuple[tuple[int, ...], int, int, tuple[bytes, ...]]]] = {}
         tail: list[bytes] = []
         first = 0
         for block in W.blocks((text or "").encode("utf-8", "replace")):
@@ -196,48 +222,72 @@ class Templates:
             c = canonical(words, first)
             if len(c.at) >= k:
                 for view in range(len(VIEWS)):
-                    at, h, _ = readings(c, view, params)
-                    for row in self.meets(h):
-                        p = int(at[row])
-                        where = c.at[p : p + k].tolist()
+                    h = hashed(c, view, params)
+                    met = [(p, h[p]) for p in self.meets(h)]
+                    if VIEWS[view] == "typed":
+                        at, h, _ = readings(c, params, self.words)
+                        met += [(int(at[i]), h[i]) for i in self.meets(h)]
+                    for p, key in met:
+                        where = tuple(c.at[p : p + k].tolist())
                         cores = tuple(_core(words[i - first]) for i in where)
-                        lo, hi = np.searchsorted(self.hashes, h[row]), np.searchsorted(self.hashes, h[row], side="right")
+                        lo, hi = np.searchsorted(self.hashes, key), np.searchsorted(self.hashes, key, side="right")
                         for item, its_view, q, slots in self.places[lo:hi].tolist():
                             if its_view == view:
-                                found.setdefault((item, view), []).append((where[0], where[-1] + 1, q, slots, cores))
+                                found.setdefault((item, view), []).append((where, q, slots, cores))
             held = min(len(words), 8 * k)
             first += len(words) - held
             tail = words[len(words) - held :]
         best: dict[int, tuple] = {}
         for (item, view), hits in found.items():
+            if len(hits) < params.share * self.need[2 * item + view]:
+                continue
             got = self._consistent(item, view, sorted(set(hits)))
             if got and got[0] >= params.share and (item not in best or got[0] > best[item][0]):
                 best[item] = (*got, view)
         return [(self.ids[i], VIEWS[v], share, a, b, n) for i, (share, a, b, n, v) in sorted(best.items())]
 
     def _consistent(self, item: int, view: int, hits) -> tuple[float, int, int, int] | None:
-        c, cores = self.items[item]
-        h = hashed(c, view, self.params)
+        """The best stretch: one starts at every hit that doesn't go on from one a word before it, and those
+        whose hits can't reach the best are left out."""
+        c, _ = self.items[item]
+        same, need = self.same[2 * item + view].tolist(), self.need[2 * item + view]
         reach = 2 * (int(c.at[-1]) - int(c.at[0]) + 1)
-        best, at = None, 0
-        while at < len(hits):
-            start, means, seen, end, next_at = hits[at][0], {}, set(), hits[at][1], None
-            i = at
-            while i < len(hits) and hits[i][0] < start + reach:
-                a, b, q, slots, own = hits[i]
-                pairs = {(cores[q + j], own[j]) for j in range(self.params.window) if slots >> j & 1}
-                if len({x for x, _ in pairs}) == len(pairs) and all(means.get(x, y) == y for x, y in pairs):
-                    means.update(pairs)
-                    seen.add(int(h[q]))
-                    end = max(end, b)
-                elif next_at is None:
-                    next_at = i
-                i += 1
-            got = (len(seen) / self.need[2 * item + view], start, end, len(means))
-            if best is None or got[0] > best[0]:
-                best = got
-            at = next_at if next_at is not None and next_at > at else i
-        return best
+        most, spans, inside, end = [], [], Counter(), 0
+        for i, (where, q, *_) in enumerate(hits):
+            while end < len(hits) and hits[end][0][0] < where[0] + reach:
+                inside[same[hits[end][1]]] += 1
+                end += 1
+            same_place = i and hits[i - 1][0][0] == where[0]
+            most.append(most[-1] if same_place else len(inside))
+            spans.append(spans[-1] if same_place else (i, end))
+            inside[same[q]] -= 1
+            if not inside[same[q]]:
+                del inside[same[q]]
+        best, follows = None, {((*where, where[0] + 1)[1], q + 1) for where, q, *_ in hits}
+        starts = [i for i, (where, q, *_) in enumerate(hits) if (where[0], q) not in follows]
+        for i in sorted(starts, key=lambda i: -most[i]):
+            if most[i] < self.params.share * need or (best and most[i] <= best[0]):
+                break
+            off, stretch = hits[i][0][0] - hits[i][1], hits[slice(*spans[i])]
+            for some in (stretch, sorted(stretch, key=lambda x: abs(x[0][0] - x[1] - off))):  # by place; nearest to the start's alignment first
+                got = self._taken(item, some, same)
+                if best is None or got[0] > best[0]:
+                    best = got
+                if got[0] == most[i]:
+                    break
+        return best and (best[0] / need, *best[1:])
+
+    def _taken(self, item: int, hits, same: list[int]) -> tuple[int, int, int, int]:
+        """(windows of the item, first word, end word, slots) of the hits, each taken if consistent with those before."""
+        cores = self.items[item][1]
+        means, seen, start, end = {}, set(), hits[0][0][0], hits[0][0][-1] + 1
+        for where, q, slots, own in hits:
+            pairs = {(cores[q + j], own[j]) for j in range(self.params.window) if slots >> j & 1}
+            if len({x for x, _ in pairs}) == len(pairs) and all(means.get(x, y) == y for x, y in pairs):
+                means.update(pairs)
+                seen.add(same[q])
+                start, end = min(start, where[0]), max(end, where[-1] + 1)
+        return len(seen), start, end, len(means)
 
 
 def _core(word: bytes) -> bytes:

@@ -86,3 +86,21 @@ def test_every_reading_of_several_openings_is_tried():
     item = "they all ran. Ann. Bob won the race today. Then it rained a lot"
     swaps = [item, item.replace("Ann", "Eve"), item.replace("Bob", "Max"), item.replace("Ann.", "Eve").replace("Bob", "Max"), item.replace("Ann", "ann").replace("Bob", "Max")]
     assert [[x[2] for x in D.Templates([(10, item)], D.Params(share=1.0)).search(t)] for t in swaps] == [[1.0]] * 5
+
+
+def test_a_stray_window_before_a_copy_hides_nothing():
+    plain = "one river bends past the old mill where nobody has ground any corn since the war ended and the miller left for good"
+    t, n = D.Templates([(10, plain)], D.Params()), len(plain.split())
+    stray = {"first": plain.split()[:5], "last": plain.split()[-5:]}
+    for words in stray.values():
+        for gap in range(0, 3 * n):
+            text = [*words, *[f"f{i}" for i in range(gap)], *plain.split(), *[f"g{i}" for i in range(gap)], *words]
+            found = t.search(" ".join(text))
+            assert [x[2] for x in found] == [1.0]
+
+
+def test_a_stray_value_before_a_swapped_question_hides_nothing():
+    t, n = D.Templates([(10, ITEM)], D.Params()), len(ITEM.split())
+    for gap in range(3 * n):
+        found = t.search(" ".join(["If Olga has 77 apples and gives 3 kg of flour", *[f"f{i}" for i in range(gap)], SWAP, "If Ivan has 5 apples and gives"]))
+        assert [x[2] for x in found] == [1.0], gap

@@ -58,14 +58,21 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: m.end() - m.start() >= 18),
     Rule("hex", r"[0-9a-f]{16,}"),  # runs are maximal: the same spans as [0-9a-f]+ of 16 or more
 )
+_BREAK = r"(?:\s|\\[nr])"  # line ends may be escaped, as in JSON
+#: To the matching END line; where that is missing, to the end of the header and base64 lines.
+_PRIVATE_KEY = (
+    r"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----(?:BEGIN |END \1PRIVATE KEY-----)))*+-----END \1PRIVATE KEY-----"
+    rf"|(?:{_BREAK}++[A-Z][A-Za-z0-9-]*+:\x20[^\n\\]*+)*+(?:{_BREAK}++[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_BREAK}++[A-Za-z0-9+/]++={{0,2}}(?=[\x20\t\r]*(?:\n|\\[nr]|[\"']|\Z)))?)"
+)
 ADDED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", _PRIVATE_KEY),
     Rule("code_host", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_api", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("payment", r"(?:sk|rk)_live_[0-9a-zA-Z]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"[a-z]{2,10}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("url_login", r"[a-z]{2,10}://[^\s:/@]*+:[^\s:/@]{3,}+@"),
 )
 RULES = BASE + ADDED
 

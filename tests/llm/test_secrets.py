@@ -66,3 +66,45 @@ def test_query_digests(spark, tmp_path):
         want = base(texts(60)[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in want).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for *_, k in want) for x in ("assign", "access", "hex"))
+
+
+def key_texts():
+    rnd = random.Random(7)
+    line = lambda n=64: "".join(rnd.choice("ABCDEFabcdef0189+/") for _ in range(n))
+    body = [line() for _ in range(25)] + [line(10) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011223344\n"
+    text = {
+        "whole": "\n".join([begin, *body, end]),
+        "escaped": "\\n".join([begin, *body, end]),
+        "headers": "\n".join([begin, head, *body, end]),
+        "cut": "\n".join([begin, *body]),
+        "cut with headers": "\n".join([begin, head, *body]),
+        "other end": "\n".join([begin, *body]),
+    }
+    after = {"other end": "\n-----END CERTIFICATE-----"}
+    return {k: (x, f"before {x}{after.get(k, '')}\nafter it goes on", f"before [private_key]{after.get(k, '')}\nafter it goes on") for k, x in text.items()}
+
+
+@pytest.mark.parametrize("name", key_texts())
+def test_private_keys_are_redacted_whole(name):
+    _, text, want = key_texts()[name]
+    assert S.mask(text, S.find_all([text])[0]) == want
+
+
+def test_keys_and_logins_in_the_redact_stage(spark):
+    token = "github_pat_" + "a1B2" * 30
+    urls = [f"https://user:{token}@host/x", "redis://:pass1234@host:6379", f"https://{token}:x-oauth@host"]
+    texts = [t for _, t, _ in key_texts().values()] + [f"see {u} here" for u in urls]
+    want = [w for *_, w in key_texts().values()] + ["see [url_login]host/x here", "see [url_login]host:6379 here", "see [url_login]host here"]
+    docs = documents(spark, list(enumerate(texts)))
+    assert [r["text"] for r in S.redact(docs).orderBy("doc_id").collect()] == want
+
+
+def test_two_keys_are_two_spans_and_a_bare_header_takes_no_prose():
+    _, text, _ = key_texts()["whole"]
+    cut = key_texts()["cut"][0]
+    assert [k for *_, k in S.find_all([f"{text}\n{text}"])[0]].count("private_key") == 2
+    assert S.mask(f"{cut}\n{text}", S.find_all([f"{cut}\n{text}"])[0]).count("[private_key]") == 2
+    bare = "a file that opens with -----BEGIN PRIVATE KEY----- holds a key"
+    assert S.mask(bare, S.find_all([bare])[0]) == "a file that opens with [private_key] holds a key"

@@ -13,10 +13,11 @@ from loomtext.runtime import table
 EDGES = "e AS (SELECT DISTINCT source, target FROM (SELECT user_id AS source, lead(user_id) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS target FROM events) WHERE target > source AND target - source < 40)"
 
 
-def up_edges(spark, sf_dir):
+def up_edges(spark, sf_dir, within=40):
+    """within: the difference of ids that edges stay below, as in EDGES; None: all edges."""
     w = Window.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.lead("user_id").over(w).alias("target"))
-    return rows.where("target > source and target - source < 40").distinct()
+    return rows.where("target > source" + (f" and target - source < {within}" if within else "")).distinct()
 
 
 def ring_edges(spark, sf_dir):
@@ -76,7 +77,7 @@ def propagate_effects(spark, sf_dir):
 
 @query()
 def propagate_pressure(spark, sf_dir):
-    edges = up_edges(spark, sf_dir)
+    edges = up_edges(spark, sf_dir, within=None)
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     return G.pressure(edges, nodes.select("id", (F.col("id") % 10 / 10).alias("base")))
 

@@ -67,3 +67,16 @@ def test_innermost_and_first(spark):
 
 def test_no_call_order(edges):
     assert {r["symbol"]: r["fan_out"] for r in J.fans(edges.withColumn("x", F.lit(1))).collect()}[1] == 1
+
+
+def test_pressure_covers_every_edge(spark):
+    from conftest import SF_MID
+
+    from loomtext.plans import catalog_graphs
+
+    rows = sorted((r["event_type"], r["ts"].date(), r["ts"], r["event_id"], r["user_id"]) for r in spark.read.parquet(f"{SF_MID}/events.parquet").collect())
+    pairs = {(a[-1], b[-1]) for a, b in zip(rows, rows[1:], strict=False) if a[:2] == b[:2] and b[-1] > a[-1]}
+    assert max(b - a for a, b in pairs) >= 40
+    got = {tuple(r) for r in catalog_graphs.up_edges(spark, SF_MID, within=None).collect()}
+    assert got == pairs
+    assert {r["id"] for r in catalog_graphs.propagate_pressure(spark, SF_MID).collect()} == {x for p in pairs for x in p}

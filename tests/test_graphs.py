@@ -70,7 +70,7 @@ def test_no_call_order(edges):
 
 
 def test_pressure_covers_every_edge(spark):
-    from conftest import SF_MID
+    from places import SF_MID
 
     from loomtext.plans import catalog_graphs
 

@@ -1,14 +1,8 @@
 """Every registered query against its SQL, on the smallest tables."""
 
-import os
-import sys
-
 import pytest
-from conftest import SF
-
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 from oracle import same
+from places import SF
 
 from loomtext import registry
 

@@ -1,7 +1,7 @@
 import subprocess
 import sys
 
-from conftest import ROOT
+from places import ROOT
 
 from loomtext.runtime import Scratch, shared_dir
 from loomtext.sources import config as G

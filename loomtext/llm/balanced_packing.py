@@ -6,17 +6,20 @@ the cheapest sequence that has room. As many sequences are opened as the rests n
 that fits none is cut over those with the most room, so a group of documents leaves less than one
 sequence of padding.
 
-Documents are packed by groups of `group` rows of a partition, so memory is bounded and nothing is
-shuffled. A sequence's id is its partition and a counter; a task that runs again gives the same ids.
+Pieces of full length leave at once. Rests, each shorter than a sequence, are held and packed by groups
+of `group` documents of a partition, so a task holds one document's ids and `group * length` more, and
+nothing is shuffled. A sequence's id is its partition and a counter; a task that runs again gives the same
+ids.
 
 Defined cases: null text is empty, and an empty text is its end token alone. Very long documents are
-encoded part by part. Repeated rows are packed as often as they occur; ties keep the rows' order. An
-empty table gives an empty result; other columns are ignored.
+encoded part by part. Repeated rows are packed as often as they occur; ties keep the rows' order. A
+doc_id of any type is passed on. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loomtext.llm.frames import column, slices
+from loomtext.llm.memory import claim
 from loomtext.llm.vocabularies import byte_level
 from loomtext.runtime import ship_package
 
+#: Pieces in a batch that leaves a task.
+BATCH = 1024
+
 
 @dataclass(frozen=True)
 class Params:
@@ -38,44 +45,77 @@ class Params:
     group: int = 4096
 
 
+class Sequences:
+    """Open sequences by room: a segment tree over 0..length, each leaf a heap of (cost, sequence) with
+    exactly that room, each inner node the cheapest below it."""
+
+    def __init__(self, n: int, length: int):
+        self.leaves = 1 << length.bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]
+        self.heaps[length] = [(0.0, s) for s in range(n)]
+        heapify(self.heaps[length])
+        self.best: list[tuple[float, int, int] | None] = [None] * (2 * self.leaves)
+        self._renew(length)
+
+    def _renew(self, room: int) -> None:
+        best, heap = self.best, self.heaps[room]
+        i = self.leaves + room
+        best[i] = (*heap[0], room) if heap else None
+        while i > 1:
+            a, b = best[i], best[i ^ 1]
+            i >>= 1
+            best[i] = b if a is None or (b is not None and b < a) else a
+
+    def cheapest(self, need: int) -> tuple[float, int, int] | None:
+        """(cost, sequence, room) of the cheapest with room for `need`; ties go to the lower number."""
+        i, got = self.leaves + need, None
+        if self.best[i]:
+            got = self.best[i]
+        while i > 1:
+            if not i & 1 and (b := self.best[i + 1]) and (got is None or b < got):
+                got = b
+            i >>= 1
+        return got
+
+    def roomiest(self) -> tuple[float, int, int]:
+        """(cost, sequence, room) with the most room; ties go to the lower number."""
+        i = 1
+        while i < self.leaves:
+            i = 2 * i + (self.best[2 * i + 1] is not None)
+        room = i - self.leaves
+        cost, s = min(self.heaps[room], key=lambda x: x[1])
+        return cost, s, room
+
+    def move(self, got: tuple[float, int, int], cost: float, took: int) -> None:
+        was, s, room = got
+        heap = self.heaps[room]
+        if heap[0] == (was, s):
+            heappop(heap)
+        else:
+            heap.remove((was, s))
+            heapify(heap)
+        self._renew(room)
+        if took < room:  # a full sequence takes nothing more
+            heappush(self.heaps[room - took], (cost, s))
+            self._renew(room - took)
+
+
 def balance(sizes: list[int], params: Params) -> list[tuple[int, int, int, int, int]]:
     """(item, start in it, length, sequence, offset) for items no longer than a sequence."""
-    n = -(-sum(sizes) // params.length)
-    room, cost = np.full(n, params.length, np.int64), np.zeros(n)
+    open_ = Sequences(-(-sum(sizes) // params.length), params.length)
     out = []
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         start, left = 0, sizes[i]
         while left:
-            bids = np.where(room >= left, cost, np.inf)
-            s = int(bids.argmin())
-            if np.isinf(bids[s]):
-                s = int(room.argmax())
-            took = min(left, int(room[s]))
-            out.append((i, start, took, s, params.length - int(room[s])))
-            room[s] -= took
-            cost[s] += params.linear * took + params.quadratic * took * took
+            got = open_.cheapest(left) or open_.roomiest()
+            cost, s, room = got
+            took = min(left, room)
+            out.append((i, start, took, s, params.length - room))
+            open_.move(got, cost + (params.linear * took + params.quadratic * took * took), took)
             start, left = start + took, left - took
     return out
 
 
-def _rows(doc_ids, tokens: list[bytes], first: int, params: Params):
-    """Piece rows of a group of documents, and how many sequences they took."""
-    rows, used, rests = [], first, []
-    for doc, ids in zip(doc_ids, tokens, strict=True):
-        n = len(ids) // 4
-        whole = n - n % params.length
-        for at in range(0, whole, params.length):
-            rows.append((doc, at, params.length, ids[4 * at : 4 * (at + params.length)], n, used, 0))
-            used += 1
-        if whole < n:
-            rests.append((doc, whole, ids, n))
-    for i, start, size, s, offset in balance([n - whole for _, whole, _, n in rests], params):
-        doc, whole, ids, n = rests[i]
-        at = whole + start
-        rows.append((doc, at, size, ids[4 * at : 4 * (at + size)], n, used + s, offset))
-    return rows, used + -(-sum(n - whole for _, whole, _, n in rests) // params.length)
-
-
 def pack(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset: one row a piece."""
     ship_package(docs.sparkSession)
@@ -84,27 +124,50 @@ def pack(docs: DataFrame, params: Params = Params()) -> DataFrame:
         schema = schema.add(name, kind)
 
     def run(batches):
-        vocabulary = byte_level(params.vocabulary)
+        claim("packing")
+        vocabulary, length = byte_level(params.vocabulary), params.length
         end = np.array([params.end_id], "<u4").tobytes()
         used = TaskContext.get().partitionId() << 36
-        doc_ids, tokens, type_of = [], [], None
-
-        def batch(rows):
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], type_of), *[pa.array(cols[k], pa.binary() if k == 3 else pa.int64()) for k in range(1, 7)]], names=schema.names)
-
+        rests: list[tuple[object, int, bytes, int]] = []
+
+        def batch(docs, pieces, type_of):
+            """Rows of (start, length, ids, doc_tokens, sequence_id, offset) with their documents."""
+            start, size, ids, n, s, offset = zip(*pieces, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(docs, type_of), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(offset, pa.int64())], names=schema.names)
+
+        def packed(type_of):
+            nonlocal used
+            sizes = [len(ids) // 4 for _, _, ids, _ in rests]
+            placed = balance(sizes, params)
+            for lo in range(0, len(placed), BATCH):
+                some = placed[lo : lo + BATCH]
+                held = [rests[i] for i, *_ in some]
+                yield batch([x[0] for x in held], [(x[1] + start, size, x[2][4 * start : 4 * (start + size)], x[3], used + s, offset) for x, (_, start, size, s, offset) in zip(held, some, strict=True)], type_of)
+            used += -(-sum(sizes) // length)
+            rests.clear()
+
+        type_of = None
         for part in slices(batches):
             type_of = part.schema.field(0).type
-            doc_ids += column(part, "doc_id")
-            tokens += [x + end for x in vocabulary.encode_all([t or "" for t in column(part, "text")])]
-            if len(doc_ids) >= params.group:
-                rows, used = _rows(doc_ids, tokens, used, params)
-                doc_ids, tokens = [], []
-                for lo in range(0, len(rows), 4096):
-                    yield batch(rows[lo : lo + 4096])
-        if doc_ids:
-            rows, used = _rows(doc_ids, tokens, used, params)
-            for lo in range(0, len(rows), 4096):
-                yield batch(rows[lo : lo + 4096])
+            docs, pieces = [], []
+            for doc, text in zip(column(part, "doc_id"), column(part, "text"), strict=True):
+                ids = vocabulary.encode(text or "") + end
+                n = len(ids) // 4
+                whole = n - n % length
+                for at in range(0, whole, length):
+                    docs.append(doc)
+                    pieces.append((at, length, ids[4 * at : 4 * (at + length)], n, used, 0))
+                    used += 1
+                    if len(docs) == BATCH:
+                        yield batch(docs, pieces, type_of)
+                        docs, pieces = [], []
+                if whole < n:
+                    rests.append((doc, whole, ids[4 * whole :], n))
+            if docs:
+                yield batch(docs, pieces, type_of)
+            if len(rests) >= params.group:
+                yield from packed(type_of)
+        if rests:
+            yield from packed(type_of)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -5,12 +5,13 @@ full rows and a rest. Rests, longest first, go into the open row with the least
 found by a segment tree over room sizes; else a new row opens. Rows are written as fixed-width id
 matrices (padded), with cumulative segment lengths and position ids that start anew at each segment.
 
-Groups of `group` rows of a partition are packed apart: memory is bounded, nothing is shuffled, and a
-task that runs again gives the same rows.
+Full rows leave at once. Rests, each shorter than a row, are held and packed by groups of `group` documents
+of a partition, so a task holds one document's ids and `group * width` more, nothing is shuffled, and a task
+that runs again gives the same rows.
 
 Defined cases: null text is empty, and an empty text is its end token alone. Very long documents are
-encoded part by part. Repeated rows are packed as often as they occur; ties keep the rows' order. An
-empty table gives an empty result; other columns are ignored.
+encoded part by part. Repeated rows are packed as often as they occur; ties keep the rows' order. A
+doc_id of any type is passed on. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from loomtext.llm.frames import column, slices
+from loomtext.llm.memory import claim
 from loomtext.llm.vocabularies import byte_level
 from loomtext.runtime import ship_package
 
@@ -86,39 +89,30 @@ def best_fit(sizes: list[int], width: int) -> list[list[int]]:
     return rows
 
 
-def _packed(doc_ids, tokens: list[bytes], params: Params):
-    """(segments) of each row of a group: segments are (doc_id, start, ids)."""
-    width, rests = params.width, []
-    for doc, ids in zip(doc_ids, tokens, strict=True):
-        n = len(ids) // 4
-        whole = n - n % width
-        for at in range(0, whole, width):
-            yield [(doc, at, ids[4 * at : 4 * (at + width)])]
-        if whole < n:
-            rests.append((doc, whole, ids[4 * whole :]))
-    for items in best_fit([len(x) // 4 for _, _, x in rests], width):
-        yield [rests[i] for i in items]
-
-
 def build(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """One matrix row each: sequence_id, n_tokens, doc_ids, starts, cu_seqlens, ids (binary, width
     little-endian uint32), position_ids (binary, width little-endian uint16, padding 0)."""
     ship_package(docs.sparkSession)
+    doc_id = docs.schema["doc_id"].dataType
+    schema = T.StructType().add("sequence_id", "long").add("n_tokens", "long").add("doc_ids", T.ArrayType(doc_id)).add("starts", T.ArrayType(T.LongType())).add("cu_seqlens", T.ArrayType(T.IntegerType())).add("ids", "binary").add("position_ids", "binary")
 
     def run(batches):
-        vocabulary = byte_level(params.vocabulary)
+        claim("packing")
+        vocabulary, width = byte_level(params.vocabulary), params.width
         end, pad = np.array([params.end_id], "<u4").tobytes(), np.array([params.pad_id], "<u4").tobytes()
-        count = np.arange(params.width, dtype="<u2").tobytes()
+        count = np.arange(width, dtype="<u2").tobytes()
         number = TaskContext.get().partitionId() << 36
-        doc_ids, tokens = [], []
+        rests: list[tuple[object, int, bytes]] = []
+        type_of = None
 
         def batches_of(rows):
+            """rows: the segments (doc_id, start, ids) of each."""
             nonlocal number
             held = []
             for segments in rows:
                 sizes = [len(x) // 4 for _, _, x in segments]
                 n = sum(sizes)
-                held.append((number, n, [d for d, _, _ in segments], [s for _, s, _ in segments], np.append(0, np.cumsum(sizes)).tolist(), b"".join([*[x for _, _, x in segments], pad * (params.width - n)]), b"".join([*[count[: 2 * k] for k in sizes], bytes(2 * (params.width - n))])))
+                held.append((number, n, [d for d, _, _ in segments], [s for _, s, _ in segments], np.append(0, np.cumsum(sizes)).tolist(), b"".join([*[x for _, _, x in segments], pad * (width - n)]), b"".join([*[count[: 2 * k] for k in sizes], bytes(2 * (width - n))])))
                 number += 1
                 if len(held) == 1024:
                     yield batch(held)
@@ -128,19 +122,33 @@ def build(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
         def batch(held):
             cols = list(zip(*held, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids", "position_ids"])
+            kinds = [pa.int64(), pa.int64(), pa.list_(type_of), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
+
+        def packed():
+            rows = best_fit([len(x) // 4 for _, _, x in rests], width)
+            yield from batches_of([rests[i] for i in items] for items in rows)
+            rests.clear()
+
+        def full(part):
+            """Full rows of the part's documents; what is left of each goes to the rests."""
+            for doc, text in zip(column(part, "doc_id"), column(part, "text"), strict=True):
+                ids = vocabulary.encode(text or "") + end
+                whole = len(ids) - len(ids) % (4 * width)
+                for at in range(0, whole, 4 * width):
+                    yield [(doc, at // 4, ids[at : at + 4 * width])]
+                if whole < len(ids):
+                    rests.append((doc, whole // 4, ids[whole:]))
 
         for part in slices(batches):
-            doc_ids += column(part, "doc_id")
-            tokens += [x + end for x in vocabulary.encode_all([t or "" for t in column(part, "text")])]
-            if len(doc_ids) >= params.group:
-                yield from batches_of(_packed(doc_ids, tokens, params))
-                doc_ids, tokens = [], []
-        if doc_ids:
-            yield from batches_of(_packed(doc_ids, tokens, params))
-
-    return docs.select("doc_id", "text").mapInArrow(run, "sequence_id long, n_tokens long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary")
+            type_of = part.schema.field(0).type
+            yield from batches_of(full(part))
+            if len(rests) >= params.group:
+                yield from packed()
+        if rests:
+            yield from packed()
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def write(packed: DataFrame, path: str) -> None:

@@ -1,18 +1,19 @@
-"""Public tokenizer vocabularies, opened by path in the worker, with what each chunk or word encodes to.
+"""Public tokenizer vocabularies, opened by path in the worker.
 
 The path is always a parameter; a bare file name is looked up with `public_tokenizers.path`.
 
-Byte-level vocabularies cut a text wherever a space follows a non-space: a space only ever opens a
-token or stands in a run of white space. So a text is encoded chunk by chunk (a word with its leading
-space), each chunk once while it is remembered, and unknown chunks together in one call.
+Byte-level files of either library hold the same thing, bytes with ranks, so both are run by the quicker
+one; texts that hold a special token's string go to the file's own library. Nothing is remembered between
+texts but the words of a `WordTable`, whose number is bounded.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import xxhash
@@ -21,14 +22,10 @@ from loomtext.llm.memory import claim
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Chunks or words that a worker remembers before it starts anew; bounds its memory.
-MEMORY = 800_000
-#: Longer ones are not remembered.
-LONGEST = 64
+#: Words that a worker's table remembers before it starts anew; some 300 bytes each.
+MEMORY = 150_000
+#: A space only ever opens a token or stands in a run of white space, so a text may be cut here.
 _CUT = re.compile(r"(?<=\S)(?= )")
-_ODD = re.compile(r"\s ")
-
-
 #: Longer texts are encoded part by part.
 LONG_TEXT = 2_000_000
 
@@ -51,92 +48,67 @@ def resolve(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-class ByteLevel:
-    """Ids of a byte-level BPE file (.json or .tiktoken), equal to its library's for whole texts.
+def _named_bytes() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary's names: itself if it prints, else one from 256 up."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    A text that holds the string of a special token goes to the library whole.
-    """
+
+class ByteLevel:
+    """Ids of a byte-level BPE file (.json or .tiktoken), equal to its own library's for whole texts."""
 
     def __init__(self, path: str):
-        place = resolve(path)
-        if place.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(place)
-            self.plain = lambda text: t.encode(text, add_special_tokens=False).ids
-            self._special = [x.content for x in t.get_added_tokens_decoder().values()]
-            names = t.get_vocab()
-            self._spaced = np.zeros(max(names.values()) + 1, np.bool_)
-            self._spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True
+        import public_tokenizers
+        import tiktoken
+
+        self._place = resolve(path)
+        self._special: list[str] = []
+        if self._place.endswith(".json"):
+            with open(self._place, encoding="utf-8") as f:
+                held = json.load(f)
+            of = _named_bytes()
+            names, merges = held["model"]["vocab"], held["model"]["merges"]
+            self._special = [x["content"] for x in held["added_tokens"]]
+            ranks = {bytes(map(of.__getitem__, name)): i for name, i in names.items() if name not in self._special}
+            if [names["".join(m if isinstance(m, list) else m.split(" "))] for m in merges] != list(range(256, 256 + len(merges))):
+                raise ValueError(f"{self._place}: ids don't follow the order of merges")
         else:
-            import public_tokenizers
-            import tiktoken
-
-            with open(place, "rb") as f:
+            with open(self._place, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.plain = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self._special = []
-            self._spaced = np.zeros(max(ranks.values()) + 1, np.bool_)
-            self._spaced[[i for name, i in ranks.items() if name.startswith(b" ")]] = True
-        self._known: dict[str, bytes] = {}
-        self._kind = f"chunks of {place}"
+        self._ordinary = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._spaced = np.zeros(max(ranks.values()) + 1, np.bool_)
+        self._spaced[[i for name, i in ranks.items() if name.startswith(b" ")]] = True
+
+    @cached_property
+    def plain(self):
+        """text -> ids, by the file's own library."""
+        if not self._place.endswith(".json"):
+            return self._ordinary
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self._place)
+        return lambda text: own.encode(text, add_special_tokens=False).ids
 
     def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, end of each word's ids) of words that start with a space and hold no other."""
-        ids = np.array(self.plain("".join(words)), np.uint32)
+        ids = np.array(self._ordinary("".join(words)), np.uint32)
         starts = np.flatnonzero(self._spaced[ids])
         if len(starts) != len(words):  # some other space-led token: one by one
-            each = [self.plain(w) for w in words]
+            each = [self._ordinary(w) for w in words]
             return np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
         return ids, np.append(starts[1:], len(ids))
 
-    def _learn(self, chunks: set[str]) -> None:
-        got = self._known
-        plain = [c for c in chunks if c[:1] == " " and c.find(" ", 1) < 0]
-        for c in chunks.difference(plain):
-            got[c] = np.array(self.plain(c), "<u4").tobytes()
-        for lo in range(0, len(plain), 5000):
-            some = plain[lo : lo + 5000]
-            ids, ends = self.together(some)
-            raw, at = ids.astype("<u4").tobytes(), 0
-            for c, end in zip(some, ends.tolist(), strict=True):
-                got[c] = raw[4 * at : 4 * end]
-                at = end
-
-    def _chunks(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian uint32."""
+        if any(x in text for x in self._special):
+            return np.array(self.plain(text), "<u4").tobytes()
+        if len(text) <= LONG_TEXT:
+            return np.array(self._ordinary(text), "<u4").tobytes()
+        return b"".join(np.array(self._ordinary(part), "<u4").tobytes() for part in long_parts(text))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32."""
-        claim(self._kind, self._known.clear)
-        if any(len(t) > LONG_TEXT for t in texts):
-            return [b"".join(x for part in self._parts(t) for x in self._encode([part])) for t in texts]
-        return self._encode(texts)
-
-    def _parts(self, text: str):
-        return [text] if len(text) <= LONG_TEXT or self._holds_special(text) else long_parts(text)
-
-    def _holds_special(self, text: str) -> bool:
-        return any(s in text for s in self._special)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [np.array(self.plain(t), "<u4").tobytes() if self._holds_special(t) else self._chunks(t) for t in texts]
-        known = self._known
-        unknown = {c for x in cut if not isinstance(x, bytes) for c in x if c not in known}
-        if unknown:
-            if len(known) + len(unknown) > MEMORY:
-                known.clear()
-                unknown = {c for x in cut if not isinstance(x, bytes) for c in x}
-            self._learn(unknown)
-        look = known.__getitem__
-        out = [x if isinstance(x, bytes) else b"".join(map(look, x)) for x in cut]
-        for c in unknown:
-            if len(c) > LONGEST:
-                del known[c]
-        return out
+        return [self.encode(t) for t in texts]
 
 
 @cache

@@ -11,22 +11,30 @@ from loomtext.llm.vocabularies import byte_level
 ODD = ["", "  a", "a  b", "a \n b", " a", "\n\n x y  z", "x  y   b 's don't  ", "<|endoftext|> a b", "日本 語 \t\tq", "a  b  c\u001c d", "é" * 300, "x" * 5000 + " y", "a.\n b.\n\n  c", "don't  's 're\r\n ok"]
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken"])
-def test_chunked_ids_equal_the_librarys(name, monkeypatch):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_ids_equal_the_librarys(name, monkeypatch):
     import pandas as pd
 
     from loomtext.llm import vocabularies
 
     v = byte_level(name)
     texts = ODD + pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.to_list()
-    for _ in range(2):
-        for t, e in zip(texts, v.encode_all(texts), strict=True):
-            assert np.frombuffer(e, "<u4").tolist() == v.plain(t)
+    for t, e in zip(texts, v.encode_all(texts), strict=True):
+        assert np.frombuffer(e, "<u4").tolist() == v.plain(t)
     monkeypatch.setattr(vocabularies, "LONG_TEXT", 50)
     for t, e in zip(texts, v.encode_all(texts), strict=True):
         assert np.frombuffer(e, "<u4").tolist() == v.plain(t)
 
 
+def test_every_code_point_is_cut_alike():
+    """Ids of the file's own library against the quick one, over every 7th code point."""
+    v = byte_level("byte_bpe_50k.json")
+    points = [c for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 500):
+        text = "".join(f"a{chr(c)}1{chr(c)}a {chr(c)}. {chr(c)}{chr(c)} b" for c in points[lo : lo + 500])
+        assert np.frombuffer(v.encode(text), "<u4").tolist() == v.plain(text)
+
+
 def test_tokenizers_gives_these_ids():
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -75,6 +83,41 @@ def test_costs_are_balanced():
     assert cost.std() / cost.mean() < 0.2
 
 
+def plain_balance(sizes, params):
+    """Longest first; every sequence is looked at for each rest."""
+    n = -(-sum(sizes) // params.length)
+    room, cost, out = [params.length] * n, [0.0] * n, []
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        start = 0
+        while start < sizes[i]:
+            left = sizes[i] - start
+            fits = [s for s in range(n) if room[s] >= left]
+            s = min(fits, key=lambda s: (cost[s], s)) if fits else max(range(n), key=lambda s: (room[s], -s))
+            took = min(left, room[s])
+            out.append((i, start, took, s, params.length - room[s]))
+            room[s] -= took
+            cost[s] += params.linear * took + params.quadratic * took * took
+            start += took
+    return out
+
+
+def test_balance_matches_a_plain_search():
+    rng = np.random.default_rng(5)
+    for length in (7, 64, 100, 1024):
+        for n in (1, 2, 30, 200):
+            p = B.Params(length=length)
+            sizes = rng.integers(1, length, n).tolist()
+            assert B.balance(sizes, p) == plain_balance(sizes, p)
+    p = B.Params(length=16)
+    assert B.balance([16, 16, 3, 3, 3], p) == plain_balance([16, 16, 3, 3, 3], p)
+
+
+def test_string_ids_and_small_groups(spark):
+    docs = spark.createDataFrame([(f"d{i}", "some words here " * (i * 37 % 200)) for i in range(40)], "doc_id string, text string")
+    for out in (B.pack(docs, B.Params(group=3)), M.build(docs, M.Params(group=3)).selectExpr("explode(doc_ids) as doc_id")):
+        assert {r["doc_id"] for r in out.collect()} == {f"d{i}" for i in range(40)}
+
+
 def test_best_fit_matches_a_plain_search():
     rng = np.random.default_rng(4)
     for _ in range(20):

@@ -20,11 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own limit of an Arrow batch, and ours: whole texts are rows, and each batch is held on both sides.
+_BATCH, BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"), str(4 << 20)
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't share the driver's PYTHONPATH.
+    """Make this package importable in Python workers that don't share the driver's PYTHONPATH, and Arrow
+    batches small, unless the session says how large they are.
 
     With a shared PYTHONPATH (or a working directory at the repository) nothing is sent.
     """
+    key, default = _BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, BATCH_BYTES)
     home = str(PACKAGE_ROOT.parent)
     places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext

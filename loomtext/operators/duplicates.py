@@ -72,6 +72,24 @@ def new_against_old(new: DataFrame, old: DataFrame, least: float = 0.8, k: int =
     return rows.select("new_id", "old_id", sim.alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "new_id", "old_id").limit(k)
 
 
+def cluster_similarity(texts: DataFrame, most: int = 64) -> DataFrame:
+    """hash, similarity: mean token Jaccard over the pairs of each group (id, text, hash).
+
+    Equal token sets are counted once with their numbers, and pairs are formed between them only; a group of
+    more than `most` different sets is compared with its first one instead, so that no group makes all its pairs.
+    """
+    sets = texts.select("hash", F.sort_array(tokens(F.col("text"))).alias("t")).groupBy("hash", "t").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("hash")
+    sets = sets.withColumn("k", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.hash("t"), "t")))
+    total = texts.groupBy("hash").agg(F.count("*").alias("all")).where("all > 1")
+    a = sets.where(F.col("r") <= F.when(F.col("k") > most, 1).otherwise(most))
+    b = sets.select("hash", F.col("t").alias("u"), F.col("n").alias("m"), F.col("r").alias("q"))
+    pairs = a.join(b, "hash").where("q > r").select("hash", (F.col("n") * F.col("m")).alias("n"), jaccard(F.col("t"), F.col("u")).alias("j"))
+    own = sets.where("n > 1").select("hash", (F.col("n") * (F.col("n") - 1) / 2).alias("n"), F.when(F.size("t") > 0, 1.0).otherwise(0.0).alias("j"))
+    rows = pairs.union(own).groupBy("hash").agg(F.round(F.sum(F.col("n") * F.col("j")) / F.sum("n"), 6).alias("similarity"))
+    return rows.join(total.select("hash"), "hash", "left_semi")
+
+
 def severity(similarity: Column, n_lines: Column) -> Column:
     return F.when((similarity >= 0.95) & (n_lines >= 20), "critical").when((similarity >= 0.9) | (n_lines >= 30), "warning").otherwise("info")
 

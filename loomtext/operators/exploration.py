@@ -10,7 +10,7 @@ from loomtext.functions import paths as P
 # Kinds and their other names, function flags.
 KINDS = {"function": ["func", "fn", "def"], "method": ["meth"], "class": ["cls"], "struct": [], "interface": ["iface", "protocol"], "type": ["typedef"], "constant": ["const"], "variable": ["var", "let"], "enum": [], "field": ["property", "prop"]}
 FLAGS = {"async": 1, "generator": 2, "method": 4, "variadic": 8}
-DEFAULT_MAX, MOST = 50, 500
+DEFAULT_MAX = 50
 
 
 def parse_kinds(text: str | None) -> list[str]:
@@ -40,7 +40,7 @@ def list_symbols(symbols: DataFrame, kind: str | None = None, file: str | None =
     if params:
         rows = rows.where(F.col("n_params").between(*params))
     order = {"name": [F.col("name")], "complexity": [F.desc("cc")], "refs": [F.desc("n_in")], "params": [F.desc("n_params")], "line": [F.col("path"), F.col("line")]}[sort]
-    return rows.orderBy(*order, "path", "line", "name").offset(offset).limit(min(limit, MOST))
+    return rows.orderBy(*order, "path", "line", "name").offset(offset).limit(limit)
 
 
 def browse_file(symbols: DataFrame, path: str) -> DataFrame:
@@ -126,6 +126,11 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
+def as_text(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """`key:` and its number, aligned, one line a row."""
+    return rows.select(F.concat(F.rpad(F.concat(F.col(key), F.lit(":")), 12, " "), F.lpad(F.col(value).cast("string"), 8, " ")).alias("value"))
+
+
 def as_dot(edges: DataFrame) -> DataFrame:
     """Rows of a DOT graph's edges."""
     return edges.select(F.format_string('  "%s" -> "%s";', F.col("source").cast("string"), F.col("target").cast("string")).alias("value"))

@@ -83,7 +83,7 @@ IMPORTS: dict[str, list[str]] = {
     "go": [r'^import\s+(?:(?P<alias>[\w.]+)\s+)?"(?P<path>[^"]+)"', r'^\s+(?:(?P<alias>[\w.]+)\s+)?"(?P<path>[^"]+)"\s*$'],
     "python": [r"^\s*from\s+(?P<path>[\w.]+)\s+import\s+(?P<names>.+)$", r"^\s*import\s+(?P<path>[\w.]+)(?:\s+as\s+(?P<alias>\w+))?"],
     "javascript": [r"^\s*import\s+(?P<names>.+?)\s+from\s+['\"](?P<path>[^'\"]+)['\"]", r"^\s*import\s+['\"](?P<path>[^'\"]+)['\"]", r"(?:const|let|var)\s+(?P<names>\{?[\w$,\s]+\}?)\s*=\s*require\(['\"](?P<path>[^'\"]+)['\"]\)", r"^\s*export\s+(?P<names>.+?)\s+from\s+['\"](?P<path>[^'\"]+)['\"]"],
-    "rust": [r"^\s*(?:pub\s+)?use\s+(?P<path>[\w:]+)(?:::\{(?P<names>[^}]+)\})?(?:\s+as\s+(?P<alias>\w+))?"],
+    "rust": [r"^\s*(?:pub\s+)?use\s+(?P<path>\w+(?:::\w+)*)(?:::\{(?P<names>[^}]+)\})?(?:\s+as\s+(?P<alias>\w+))?"],
     "java": [r"^\s*import\s+(?:static\s+)?(?P<path>[\w.*]+)\s*;"],
     "csharp": [r"^\s*using\s+(?:(?P<alias>\w+)\s*=\s*)?(?P<path>[\w.]+)\s*;"],
     "cpp": [r"^\s*#\s*include\s+[<\"](?P<path>[^>\"]+)[>\"]"],
@@ -98,7 +98,7 @@ _STRINGS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`")
 _LOOP = re.compile(r"\b(?:for|while|foreach|loop)\b")
 _AWAIT = re.compile(r"(?:(?:const|let|var)?\s*(?P<var>[\w$]+)\s*=\s*)?\bawait\s+(?P<call>[\w$.]+)\s*\((?P<args>[^)]*)")
 
-SYMBOLS = "file_id long, symbol_no int, name string, kind string, line int, end_line int, receiver string, n_params int, cc int, nesting int, n_lines int, exported boolean, doc string, signature string"
+SYMBOLS = "file_id long, symbol_no int, name string, kind string, line int, end_line int, receiver string, n_params int, cc int, cognitive int, nesting int, n_lines int, exported boolean, doc string, signature string"
 REFS = "file_id long, source_no int, name string, on string, line int, type string"
 IMPORT_ROWS = "file_id long, path string, name string, original string, line int, wildcard boolean"
 SCOPES = "file_id long, symbol_no int, parent_no int, depth int"
@@ -171,7 +171,7 @@ def symbols_of(content: str, language: str) -> list[dict]:
                 if not mark or lines[j].lstrip().startswith("#include"):
                     break
                 doc.insert(0, mark[1].strip())
-            out.append({"name": got["name"], "kind": kind, "line": i + 1, "end_line": end + 1, "receiver": got.get("recv"), "n_params": len(args), "cc": 1 + sum(len(_BRANCH.findall(b)) for b in body) if calls else None, "nesting": _nesting(body, language) if calls else None, "n_lines": end - i + 1, "exported": exported(language, got["name"]), "doc": "\n".join(doc).strip() or None, "signature": line.strip()})
+            out.append({"name": got["name"], "kind": kind, "line": i + 1, "end_line": end + 1, "receiver": got.get("recv"), "n_params": len(args), "cc": 1 + sum(len(_BRANCH.findall(b)) for b in body) if calls else None, "cognitive": _cognitive(body, language) if calls else None, "nesting": _nesting(body, language) if calls else None, "n_lines": end - i + 1, "exported": exported(language, got["name"]), "doc": "\n".join(doc).strip() or None, "signature": line.strip()})
             break
     classes = [s for s in out if s["kind"] in ("class", "interface", "struct", "impl", "trait")]
     for s in out:
@@ -195,6 +195,30 @@ def _nesting(body: list[str], language: str) -> int:
     return max(0, deepest - 1)
 
 
+_CONTROL = re.compile(r"\s*(?:\}\s*)?(else if|elif|else|elsif|if|unless|for|foreach|while|loop|until|switch|match|select|catch|except|rescue)\b")
+
+
+def _cognitive(body: list[str], language: str) -> int:
+    """One for each control statement and one more for each level it is nested; one for each other branch of it
+    and for each `&&`, `||`, `and` and `or`."""
+    score, depth, held = 0, 0, []
+    indented = language in ("python", "ruby")
+    for i, b in enumerate(body):
+        size = len(b) - len(b.lstrip())
+        if indented and b.strip():
+            while held and size <= held[-1]:
+                held.pop()
+        m = _CONTROL.match(b) if i else None
+        level = len(held) if indented else max(0, depth - 1 - (b.lstrip().startswith("}")))
+        if m:
+            score += 1 if m[1] in ("else", "else if", "elif", "elsif", "except", "rescue", "catch") else 1 + level
+            if indented:
+                held.append(size)
+        score += len(re.findall(r"&&|\|\||\band\b|\bor\b", b)) if language == "python" else len(re.findall(r"&&|\|\|", b))
+        depth += b.count("{") - b.count("}")
+    return score
+
+
 def holder(symbols: list[dict], line: int) -> int | None:
     """Number of the smallest function or method that holds a line."""
     inside = [(s["end_line"] - s["line"], i) for i, s in enumerate(symbols) if s["line"] <= line <= s["end_line"] and s["kind"] in ("function", "method")]
@@ -260,8 +284,19 @@ def scopes_of(content: str, language: str) -> list[dict]:
     return out
 
 
+#: Calls that are worth taking out of a loop, by language.
+EXPENSIVE = {
+    "go": r"regexp\.(?:Must)?Compile|json\.(?:Unm|M)arshal|(?:os|ioutil)\.ReadFile|sql\.Open|http\.(?:Get|Post)",
+    "javascript": r"JSON\.(?:parse|stringify)|new RegExp|readFileSync|querySelector(?:All)?|structuredClone",
+    "python": r"re\.compile|json\.(?:loads|dumps)|\bopen\(|requests\.\w+\(|read_csv",
+    "java": r"Pattern\.compile|\.getConnection\(|new ObjectMapper|String\.format",
+    "rust": r"Regex::new|fs::read|serde_json::",
+}
+EXPENSIVE |= {"typescript": EXPENSIVE["javascript"], "kotlin": EXPENSIVE["java"], "csharp": r"new Regex|JsonConvert\.|File\.ReadAll"}
+
+
 def performance_of(content: str, language: str) -> list[dict]:
-    """Loops inside loops, awaits inside loops, and awaits in a row that don't use one another."""
+    """Loops inside loops, awaits and expensive calls inside loops, and awaits in a row that don't use one another."""
     lines = content.split("\n")
     found = symbols_of(content, language)
     loops = [(i, _end(lines, i, language)) for i, x in enumerate(lines) if _LOOP.search(_code(x, language)) and not x.lstrip().startswith(("//", "#", "*"))]
@@ -270,6 +305,10 @@ def performance_of(content: str, language: str) -> list[dict]:
         depth = sum(c <= a and b <= d for c, d in loops)
         if depth >= 2:
             out.append({"source_no": holder(found, a + 1), "line": a + 1, "issue": "nested_loop", "severity": "high" if depth >= 3 else "medium"})
+    costly = EXPENSIVE.get(language)
+    for i, x in enumerate(lines) if costly else ():
+        if any(a < i <= b for a, b in loops) and re.search(costly, _code(x, language)):
+            out.append({"source_no": holder(found, i + 1), "line": i + 1, "issue": "expensive_call_in_loop", "severity": "medium"})
     waits: dict[int | None, list[tuple[int, str | None, str]]] = {}
     for i, x in enumerate(lines):
         for m in _AWAIT.finditer(_code(x, language)):

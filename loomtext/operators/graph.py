@@ -6,14 +6,17 @@ executors cost a stage and plans stay short; only one-row aggregates reach the d
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.runtime import Scratch
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """seed, id, depth: nodes reachable from each seed (id) in at most max_depth steps, first depth each.
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """seed, id, depth: nodes reachable from each seed (id) in at most max_depth steps (None: any number), first
+    depth each.
 
     Semi-naive: only the last frontier is joined; a reached pair is never joined again.
     """
@@ -21,7 +24,7 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     edges = scratch.write(edges.select("source", "target").distinct(), "edges")
     frontier = scratch.write(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("depth", F.lit(0)), "f0")
     reached = frontier
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = frontier.join(edges, F.col("id") == F.col("source")).select("seed", F.col("target").alias("id")).distinct()
         frontier = scratch.write(step.join(reached, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), f"f{depth}")
         if frontier.isEmpty():
@@ -39,40 +42,141 @@ def call_tree(edges: DataFrame, root: DataFrame, max_depth: int) -> DataFrame:
     return rows.groupBy("id", "depth").agg(F.min("parent").alias("parent"))
 
 
-def dependency_counts(edges: DataFrame, max_depth: int) -> DataFrame:
-    """id, n_direct, n_transitive (within max_depth, itself only if on a cycle is left out)."""
+def strong_components(edges: DataFrame) -> DataFrame:
+    """id, component: nodes of one component reach each other; component is its largest id.
+
+    Rounds of: trim nodes without both a way in and a way out (each is a component of its own, and left out
+    here unless it points at itself); let the largest id flow forward until it settles, which colours every
+    node by the largest id that reaches it; walk back from each colour's own node within its colour, which
+    gives that node's component; take these nodes out. State is one row a node, never pairs.
+    """
+    scratch = Scratch(edges.sparkSession, "strong")
+    edges = edges.select("source", "target").distinct()
+    done = edges.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component"))
+    left = scratch.write(edges.where("source != target"), "e0-0")
+    parts, turn = [], 0
+    while not left.isEmpty():
+        n, i = left.count(), 0
+        while True:
+            both = left.select(F.col("source").alias("id")).distinct().join(left.select(F.col("target").alias("id")).distinct(), "id", "left_semi")
+            kept = left.join(both.withColumnRenamed("id", "source"), "source", "left_semi").join(both.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
+            i += 1
+            left = scratch.write(kept, f"e{turn}-{i}")
+            now = left.count()
+            if now == n or not now:
+                break
+            n = now
+        if not now:
+            break
+        colour = scratch.write(left.select(F.col("source").alias("id")).distinct().withColumn("colour", F.col("id")), f"c{turn}-0")
+        i = 0
+        while True:
+            got = colour.join(left, F.col("id") == F.col("source")).groupBy(F.col("target").alias("id")).agg(F.max("colour").alias("more"))
+            i += 1
+            after = scratch.write(colour.join(got, "id", "left").select("id", F.greatest("colour", F.coalesce("more", "colour")).alias("colour"), (F.coalesce("more", "colour") > F.col("colour")).alias("moved")), f"c{turn}-{i}")
+            moved = after.where("moved").isEmpty()
+            scratch.drop(f"c{turn}-{i - 1}")
+            colour = after.select("id", "colour")
+            if moved:
+                break
+        a, b = colour.select(F.col("id").alias("source"), F.col("colour").alias("c1")), colour.select(F.col("id").alias("target"), F.col("colour").alias("c2"))
+        inner = scratch.write(left.join(a, "source").join(b, "target").where("c1 = c2").select("source", "target", "c1"), f"i{turn}")
+        found = frontier = scratch.write(colour.where("id = colour").select("id", F.col("colour").alias("component")), f"s{turn}-0")
+        i = 0
+        while True:
+            back = frontier.join(inner, F.col("id") == F.col("target")).select(F.col("source").alias("id"), F.col("c1").alias("component")).distinct()
+            i += 1
+            frontier = scratch.write(back.join(found, "id", "left_anti"), f"s{turn}-{i}")
+            if frontier.isEmpty():
+                break
+            found = found.union(frontier)
+        parts.append(found)
+        turn += 1
+        rest = left.join(found.select(F.col("id").alias("source")), "source", "left_anti").join(found.select(F.col("id").alias("target")), "target", "left_anti")
+        left = scratch.write(rest.select("source", "target"), f"e{turn}-0")
+    for part in parts:
+        done = done.join(part.select("id"), "id", "left_anti").union(part)
+    return done
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """id of nodes that lie on a cycle, however long."""
+    return cycles(edges).select("id").distinct()
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """cycle, id, size: the nodes of each tangle of cycles (a strong component of two nodes or more, or a node
+    that points at itself); cycle is the largest id of it."""
+    comps = strong_components(edges)
+    sizes = comps.groupBy("component").agg(F.count("*").alias("size"))
+    loops = edges.where("source = target").select(F.col("source").alias("id")).distinct().withColumn("loop", F.lit(True))
+    rows = comps.join(sizes, "component").join(loops, "id", "left").where("size > 1 or loop")
+    return rows.select(F.col("component").alias("cycle"), "id", "size")
+
+
+def dependency_counts(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """id, n_direct, n_transitive: nodes that each node reaches in at most max_depth steps (None: any number);
+    itself only counts if it is on a cycle.
+
+    Exact counts need each node's reached set, so state grows with the pairs; bound max_depth on large graphs.
+    """
     nodes = edges.select(F.col("source").alias("id")).distinct()
     far = closure(edges, nodes, max_depth).where("depth > 0").groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("n_transitive"), F.count_if(F.col("depth") == 1).alias("n_direct"))
-    return nodes.join(far, "id", "left").na.fill(0, ["n_transitive", "n_direct"]).select("id", "n_direct", "n_transitive")
+    own = on_cycle(edges).withColumn("again", F.lit(1)) if max_depth is None else nodes.limit(0).withColumn("again", F.lit(1))
+    return nodes.join(far, "id", "left").join(own, "id", "left").select("id", F.coalesce("n_direct", F.lit(0)).alias("n_direct"), (F.coalesce("n_transitive", F.lit(0)) + F.coalesce("again", F.lit(0))).alias("n_transitive"))
+
 
+def reached_files(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """source_file, n_files: other files that a file's symbols refer to. files: id, file_id."""
+    a, b = files.select(F.col("id").alias("source"), F.col("file_id").alias("source_file")), files.select(F.col("id").alias("target"), F.col("file_id").alias("target_file"))
+    rows = edges.select("source", "target").distinct().join(a, "source").join(b, "target").where("source_file != target_file")
+    return rows.groupBy("source_file").agg(F.count_distinct("target_file").alias("n_files"))
 
-def on_cycle(edges: DataFrame, max_depth: int) -> DataFrame:
-    """id of nodes that reach themselves in at most max_depth steps.
 
-    Nodes without both an incoming and an outgoing edge are trimmed first, round by round.
+def oriented(edges: DataFrame, direction: str = "downstream", types: list[str] | None = None, hierarchy: DataFrame | None = None) -> DataFrame:
+    """source, target: edges along a direction (downstream: to what is called, upstream: to callers, or
+    bidirectional), of some types, with type hierarchy edges where given."""
+    rows = edges.where(F.col("type").isin(types)).select("source", "target") if types else edges.select("source", "target")
+    if hierarchy is not None:
+        rows = rows.union(hierarchy.select("source", "target"))
+    back = rows.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return {"downstream": lambda: rows, "upstream": lambda: back, "bidirectional": lambda: rows.union(back)}[direction]().distinct()
+
+
+# Name tests of boost conditions.
+BOOSTS = {"public": r"^\p{Lu}", "critical": r"(?i)critical|urgent|emergency", "payment": r"(?i)payment|billing|charge", "security": r"(?i)auth|security|permission"}
+
+
+def propagate_configured(edges: DataFrame, labels: DataFrame, names: DataFrame, rules: DataFrame) -> DataFrame:
+    """id, label, strength, hops: labels spread by a table of rules, one a label (config.rules_table).
+
+    names: id, name. reachability and decay: strength falls by `decay` a hop; max: it stays; accumulation:
+    arriving strengths are summed, 1 at most. Where a name meets `boost_on`, strength is raised by `boost`, 1 at
+    most. The best of each node is kept; a label stops at its max_hops, or below its min_strength. All labels
+    run together; each round is one join.
     """
-    scratch = Scratch(edges.sparkSession, "cycle")
-    left = scratch.write(edges.select("source", "target").distinct(), "e0")
-    n = left.count()
-    for i in range(1, max_depth + 1):
-        kept = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target")
-        left = scratch.write(kept, f"e{i}")
-        now = left.count()
-        if now == n:
-            break
-        n = now
-    loops = left.where("source = target").select(F.col("source").alias("id"))
-    rest = left.where("source != target")
-    starts = rest.select(F.col("source").alias("id")).distinct()
-    first = rest.select(F.col("source").alias("seed"), F.col("target").alias("id")).distinct()
-    seen = frontier = scratch.write(first, "r1")
-    for depth in range(2, max_depth + 1):
-        step = frontier.join(rest, F.col("id") == F.col("source")).select("seed", F.col("target").alias("id")).distinct()
-        frontier = scratch.write(step.join(seen, ["seed", "id"], "left_anti"), f"r{depth}")
+    scratch = Scratch(edges.sparkSession, "rules")
+    rules = F.broadcast(scratch.write(rules, "rules"))  # one row a label
+    ways = scratch.write(oriented(edges, "downstream").withColumn("way", F.lit("downstream")).union(oriented(edges, "upstream").withColumn("way", F.lit("upstream"))).withColumn("both", F.lit("bidirectional")), "edges")
+    of_names = scratch.write(names.select("id", "name"), "names")
+    most = rules.agg(F.max("max_hops")).first()[0] or 0
+    state = scratch.write(labels.select("id", "label").distinct().join(rules.select("label"), "label").select("id", "label", F.lit(1.0).alias("strength"), F.lit(0).alias("hops")), "s0")
+    frontier = state
+    for hop in range(1, most + 1):
+        sent = frontier.join(rules, "label").where(F.col("max_hops") >= hop)
+        sent = sent.join(ways, (F.col("id") == F.col("source")) & ((F.col("direction") == F.col("way")) | (F.col("direction") == F.col("both"))))
+        sent = sent.withColumn("strength", F.when(F.col("mode") == "max", F.col("strength")).otherwise(F.col("strength") * F.col("decay")))
+        sums = F.when(F.first("mode") == "accumulation", F.least(F.lit(1.0), F.sum("strength"))).otherwise(F.max("strength"))
+        sent = sent.groupBy(F.col("target").alias("id"), "label").agg(sums.alias("strength"), *[F.first(x).alias(x) for x in ("min_strength", "boost", "boost_on")]).join(of_names, "id", "left")
+        meets = F.coalesce(*[F.when(F.col("boost_on") == k, F.col("name").rlike(p)) for k, p in BOOSTS.items()], F.lit(False))
+        raised = F.when(meets, F.least(F.lit(1.0), F.col("strength") * F.col("boost"))).otherwise(F.col("strength"))
+        sent = sent.withColumn("strength", F.round(raised, 9)).where("strength >= min_strength").select("id", "label", "strength")
+        before = state.select("id", "label", F.col("strength").alias("was"))
+        frontier = scratch.write(sent.join(before, ["id", "label"], "left").where("was is null or strength > was").select("id", "label", "strength", F.lit(hop).alias("hops")), f"f{hop}")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
-    return seen.where("seed = id").select("id").union(loops).distinct().join(starts.union(loops).distinct(), "id", "left_semi")
+        state = scratch.write(state.join(frontier.select("id", "label"), ["id", "label"], "left_anti").union(frontier), f"s{hop}")
+    return state.withColumn("strength", F.round("strength", 6))
 
 
 def propagate_labels(edges: DataFrame, labels: DataFrame, decay: float = 0.8, max_hops: int = 10, cut: float = 0.001) -> DataFrame:

@@ -14,7 +14,7 @@ from loomtext.functions import paths as P
 WINDOWS = {"7d": 7, "week": 7, "30d": 30, "month": 30, "90d": 90, "quarter": 90, "1y": 365, "year": 365}
 DEFAULT_WINDOW = "30d"
 #: Files that churn without being worked on.
-EXCLUDED_NAMES = ("package-lock.json", "yarn.lock", "go.sum", "Cargo.lock", "poetry.lock", "pnpm-lock.yaml")
+EXCLUDED_NAMES = ("package-lock.json", "yarn.lock", "go.sum", "Cargo.lock", "poetry.lock", "pnpm-lock.yaml", "composer.lock", "Gemfile.lock", "CHANGELOG.md")
 EXCLUDED_GLOBS = ("*.min.js", "*.min.css", "*.map", "*.lock", "vendor/**", "node_modules/**", "dist/**")
 
 
@@ -102,7 +102,8 @@ ENUMS = (r"case \w+ = ", r"= iota", r"enum \w+", r"[A-Z_]{3,} = \d+", r"const [A
 
 
 def anti_patterns(files: DataFrame, least: int = 10, god_lines: int = 1500) -> DataFrame:
-    """path, pattern, n, severity: registrations, enums, god objects, barrels, configuration files."""
+    """path, pattern, n, severity: registrations, enums, god objects, barrels, configuration files, and switches
+    with many cases (`case` and `when` labels between one `switch` or `match` and the next)."""
     text = F.col("content")
     registered = F.greatest(*[F.regexp_count(text, F.lit(p)) for p in REGISTRATIONS])
     enums = sum((F.regexp_count(text, F.lit(p)) for p in ENUMS), F.lit(0))
@@ -112,11 +113,14 @@ def anti_patterns(files: DataFrame, least: int = 10, god_lines: int = 1500) -> D
     graded = lambda n, most: F.when(n >= 2 * most, "critical").when(n >= 1.5 * most, "warning").otherwise("info")
     barrel = F.lower(P.base(F.col("path"))).rlike(r"^(index|mod|__init__)\.")
     config = F.lower("path").rlike("config|settings|options")
+    after = F.slice(F.split(text, r"\b(?:switch|match)\b[^{\n]*\{"), F.lit(2), F.greatest(F.size(F.split(text, r"\b(?:switch|match)\b[^{\n]*\{")) - 1, F.lit(0)))
+    cases = F.coalesce(F.array_max(F.transform(after, lambda x: F.regexp_count(x, F.lit(r"(?m)^\s*(?:case|when)\b")))), F.lit(0))
     rules = F.array(
         F.when(registered >= least, F.struct(F.lit("registration").alias("pattern"), registered.alias("n"), graded(registered, least).alias("severity"))),
         F.when(enums >= least, F.struct(F.lit("enum").alias("pattern"), enums.alias("n"), graded(enums, least).alias("severity"))),
         F.when(n_lines >= god_lines, F.struct(F.lit("god_object").alias("pattern"), n_lines.alias("n"), graded(n_lines, god_lines).alias("severity"))),
         F.when(barrel & (exports >= least), F.struct(F.lit("barrel").alias("pattern"), exports.alias("n"), graded(exports, least).alias("severity"))),
+        F.when(cases >= least, F.struct(F.lit("switch_factory").alias("pattern"), cases.alias("n"), graded(cases, least).alias("severity"))),
         F.when(config & (fields >= least), F.struct(F.lit("config").alias("pattern"), fields.alias("n"), graded(fields, least).alias("severity"))),
     )
     return files.select("path", F.explode(F.array_compact(rules)).alias("r")).select("path", "r.pattern", "r.n", "r.severity")
@@ -132,10 +136,10 @@ def metric_issues(before: DataFrame, after: DataFrame, cc: int = 10, lines: int
     return rows.select("id", F.explode(F.array_compact(each)).alias("e")).select("id", "e.issue", "e.severity")
 
 
-def report_risk(findings: DataFrame) -> DataFrame:
-    """The sum of weights by severity (.3 critical, .1 warning, .02 info), 1 at most."""
+def report_risk(findings: DataFrame, *by: str) -> DataFrame:
+    """The sum of weights by severity (.3 critical, .1 warning, .02 info), 1 at most; one for each `by`."""
     w = F.when(F.col("severity") == "critical", 0.3).when(F.col("severity") == "warning", 0.1).otherwise(0.02)
-    return findings.agg(F.round(F.least(F.lit(1.0), F.coalesce(F.sum(w), F.lit(0.0))), 6).alias("risk"))
+    return findings.groupBy(*by).agg(F.round(F.least(F.lit(1.0), F.coalesce(F.sum(w), F.lit(0.0))), 6).alias("risk"))
 
 
 def dominant_styles(symbols: DataFrame, style: Column, least: int = 3) -> DataFrame:
@@ -143,3 +147,33 @@ def dominant_styles(symbols: DataFrame, style: Column, least: int = 3) -> DataFr
     per = symbols.groupBy("kind", style.alias("style")).agg(F.count("*").alias("n")).where("style != 'unknown'")
     w = Window.partitionBy("kind").orderBy(F.desc("n"), "style")
     return per.withColumn("r", F.row_number().over(w)).where((F.col("r") == 1) & (F.col("n") >= least)).drop("r")
+
+
+def frequency_report(changes: DataFrame, as_of: str, window: str = DEFAULT_WINDOW, focus: str = "all", k: int = 20) -> DataFrame:
+    """section, key, value: hotspots (volatility by path), collisions (score), ownership (owner's share by module)
+    and contributors (changes by author), each the k largest; focus: one of them, or all."""
+    author = F.col("author").cast("string")
+    parts = {
+        "hotspots": lambda: frequency(changes, as_of, window).select(F.col("path").alias("key"), F.col("volatility").alias("value")),
+        "collisions": lambda: collisions(changes, as_of, window).select(F.col("path").alias("key"), F.col("score").alias("value")),
+        "ownership": lambda: ownership(changes, as_of, window).select(F.col("module").alias("key"), F.col("owner_share").alias("value")),
+        "contributors": lambda: in_window(changes, as_of, window).groupBy(author.alias("key")).agg(F.count("*").cast("double").alias("value")),
+    }
+    out = None
+    for name in list(parts) if focus == "all" else [focus]:
+        got = parts[name]().orderBy(F.desc("value"), "key").limit(k).select(F.lit(name).alias("section"), "key", F.col("value").cast("double").alias("value"))
+        out = got if out is None else out.union(got)
+    return out
+
+
+def analyse_change(before: DataFrame, after: DataFrame, copies: DataFrame, style: Column) -> DataFrame:
+    """finding, n, severity counts of a change set: metric issues of changed functions, new copies of old texts,
+    and names whose style isn't their kind's usual one.
+
+    before, after: functions (id, name, kind, cc, n_lines, nesting, purity); copies: new_id, old_id, similarity.
+    """
+    metric = metric_issues(before, after).select(F.col("issue").alias("finding"), "severity")
+    doubled = copies.select(F.lit("duplicate").alias("finding"), F.when(F.col("similarity") >= 0.95, "critical").otherwise("warning").alias("severity"))
+    usual = dominant_styles(before, style).select("kind", F.col("style").alias("usual"))
+    odd = after.select("id", "kind", style.alias("style")).join(usual, "kind").where("style != usual and style != 'unknown'").select(F.lit("naming").alias("finding"), F.lit("info").alias("severity"))
+    return metric.union(doubled).union(odd).groupBy("finding", "severity").agg(F.count("*").alias("n"))

@@ -6,19 +6,66 @@ pattern up to the threshold, and are always verified afterwards.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
+from loomtext.runtime import ship_package
+
+
+#: Code points of a text that are looked at at once.
+PIECE = 1 << 20
 
 
 def trigrams(corpus: DataFrame) -> DataFrame:
     """trigram, file_id: distinct; those without a letter, digit or underscore are skipped."""
-    # characters are cut once per file: a substring per position would rescan the text from its start
-    chars = corpus.select("file_id", F.split(F.lower("content"), "").alias("c")).where("size(c) > 2")
-    each = F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda i: F.concat(F.element_at("c", i), F.element_at("c", i + 1), F.element_at("c", i + 2)))
-    rows = chars.select("file_id", F.explode(F.array_distinct(each)).alias("trigram"))
-    return rows.where(F.col("trigram").rlike("[A-Za-z0-9_]")).select("trigram", "file_id")
+    ship_package(corpus.sparkSession)
+    schema = corpus.select("file_id").schema.add("trigram", "string")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):  # one file's trigrams leave at a time
+                codes = distinct_trigrams(batch.column(1)[i].as_py() or "")
+                if len(codes):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(codes), i))), strings(codes)], names=schema.names)
+
+    return corpus.select("file_id", F.lower("content")).mapInArrow(run, schema).select("trigram", "file_id")
+
+
+def distinct_trigrams(text: str) -> np.ndarray:
+    """Rows of three code points each, in order."""
+    word = np.zeros(128, np.bool_)
+    word[[c for c in range(128) if chr(c).isalnum() or c == 95]] = True
+    found = []
+    for at in range(0, max(len(text) - 2, 0), PIECE):
+        c = np.frombuffer(text[at : at + PIECE + 2].encode("utf-32-le", "surrogatepass"), np.uint32)
+        w = (c < 128) & word[np.minimum(c, 127)]
+        keep = w[:-2] | w[1:-1] | w[2:]
+        c = c.astype(np.uint64)
+        found.append(np.unique(((c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:])[keep]))
+    codes = np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.uint64)
+    mask = np.uint64((1 << 21) - 1)
+    return np.stack([codes >> np.uint64(42), (codes >> np.uint64(21)) & mask, codes & mask], 1).astype(np.uint32)
+
+
+def strings(codes: np.ndarray) -> pa.Array:
+    """Rows of code points as a column of strings."""
+    size = 1 + (codes > 0x7F).astype(np.int32) + (codes > 0x7FF) + (codes > 0xFFFF)
+    ends = np.concatenate(([0], np.cumsum(size.sum(axis=1)))).astype(np.int32)
+    data = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(ends), pa.py_buffer(data))
+
+
+def read_trigrams(spark, path: str, pattern: str, buckets: int = 64) -> DataFrame:
+    """The rows of a written table that a pattern's trigrams can be in: only their buckets are read."""
+    rows = spark.read.parquet(path)
+    grams = pattern_trigrams(pattern)
+    if not grams:
+        return rows.select("trigram", "file_id")
+    hashed = spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int")).distinct().collect()
+    return rows.where(F.col("bucket").isin([r[0] for r in hashed]) & F.col("trigram").isin(grams)).select("trigram", "file_id")
 
 
 def write_trigrams(rows: DataFrame, path: str, buckets: int = 64) -> None:

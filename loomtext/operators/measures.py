@@ -5,9 +5,11 @@ Inputs are rows of functions or symbols with plain numeric columns; every rule i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.operators.prefix import running_sum
+
 # Thresholds.
 LOW, MEDIUM, DEBT = 10, 20, 15
 
@@ -17,10 +19,10 @@ def complexity_band(cc: Column) -> Column:
 
 
 def complexity_metrics(functions: DataFrame) -> DataFrame:
-    """One row: n, avg, median, p75 and p90 (of the average), and the bands' counts; cc is 1 at least."""
+    """One row: n, avg, median, 75th and 90th percentile, and the bands' counts; cc is 1 at least."""
     cc = F.greatest("cc", F.lit(1))
     band = complexity_band(cc)
-    return functions.agg(F.count("*").alias("n"), F.round(F.avg(cc), 6).alias("avg_cc"), F.median(cc).alias("median_cc"), F.round(F.avg(cc) * 1.2, 6).alias("p75_cc"), F.round(F.avg(cc) * 1.5, 6).alias("p90_cc"), F.count_if(band == "low").alias("n_low"), F.count_if(band == "medium").alias("n_medium"), F.count_if(band == "high").alias("n_high"))
+    return functions.agg(F.count("*").alias("n"), F.round(F.avg(cc), 6).alias("avg_cc"), F.median(cc).alias("median_cc"), F.round(F.percentile(cc, F.lit(0.75)), 6).alias("p75_cc"), F.round(F.percentile(cc, F.lit(0.9)), 6).alias("p90_cc"), F.count_if(band == "low").alias("n_low"), F.count_if(band == "medium").alias("n_medium"), F.count_if(band == "high").alias("n_high"))
 
 
 def health_score(metrics: DataFrame) -> DataFrame:
@@ -96,8 +98,8 @@ def rating(score: Column) -> Column:
 def percentiles(rows: DataFrame, score: str) -> DataFrame:
     """Adds percentile (share of scores <= own, in %) and severity; distinct scores are ranked, then joined."""
     counts = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(score)
-    ranked = counts.select(score, (F.sum("_n").over(w) * 100.0 / F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("percentile"))
+    all_ = F.broadcast(counts.agg(F.sum("_n").alias("_all")))
+    ranked = running_sum(counts, [score], "_n", "_upto").crossJoin(all_).select(score, (F.col("_upto") * 100.0 / F.col("_all")).alias("percentile"))
     return rows.join(ranked, score).withColumn("percentile", F.round("percentile", 6)).withColumn("severity", severity(F.col("percentile")))
 
 

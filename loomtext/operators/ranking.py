@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
+from loomtext.operators.prefix import running_sum
+from loomtext.operators.relations import at_position
 from loomtext.operators.search import quoted
 
 # Ranking weights.
@@ -95,6 +97,20 @@ def context_lines(lines: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     return lines.join(near, ["file_id", "line"])
 
 
+def block_context(lines: DataFrame, hits: DataFrame, symbols: DataFrame, k: int = 2) -> DataFrame:
+    """file_id, path, line, symbol, start_line, end_line, text: the innermost function or type around each hit,
+    and where there is none the k lines on either side.
+
+    symbols: file_id, symbol_no, name, line, end_line.
+    """
+    at = hits.select("file_id", "path", "line").distinct()
+    ranges = symbols.select("file_id", F.col("symbol_no").alias("range_id"), F.col("line").cast("long").alias("start"), F.col("end_line").cast("long").alias("end"))
+    held = at_position(at, ranges, "file_id", "line").join(symbols.select("file_id", F.col("symbol_no").alias("range_id"), F.col("name").alias("symbol"), F.col("line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line")), ["file_id", "range_id"]).drop("range_id", "path")
+    blocks = at.join(held, ["file_id", "line"], "left").withColumns({"start_line": F.coalesce("start_line", F.greatest(F.col("line") - k, F.lit(1))), "end_line": F.coalesce("end_line", F.col("line") + k)})
+    each = blocks.select("*", F.explode(F.sequence("start_line", "end_line")).alias("no")).join(lines.select("file_id", F.col("line").alias("no"), "text"), ["file_id", "no"])
+    return each.groupBy("file_id", "path", "line", "symbol", "start_line", "end_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
 def merged_ranges(hits: DataFrame, k: int) -> DataFrame:
     """Ranges of hits +- k lines, touching ones united (gaps and islands)."""
     rows = hits.select("file_id", "path", F.greatest(F.col("line") - k, F.lit(1)).alias("a"), (F.col("line") + k).alias("b"))
@@ -110,7 +126,7 @@ def token_estimate(text: Column, chars_per_token: int = 4) -> Column:
 
 def within_budget(rows: DataFrame, tokens: str, order: list[str], budget: int) -> DataFrame:
     """The first rows, in order, whose tokens sum to the budget at most."""
-    return rows.withColumn("so_far", F.sum(tokens).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).cast("long")).where(F.col("so_far") <= budget)
+    return running_sum(rows, order, tokens, "so_far").withColumn("so_far", F.col("so_far").cast("long")).where(F.col("so_far") <= budget)
 
 
 def page(rows: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:

@@ -96,9 +96,9 @@ def export_dot(spark, sf_dir):
     return E.as_dot(edges(spark, sf_dir).where("type = 'import'").select("source", "target").distinct())
 
 
-@query(f"WITH {LINES} SELECT concat_ws(':', path, CAST(line AS VARCHAR), ' ' || trim(text, ' ')) AS value FROM cut WHERE contains(text, 'thion')")
+@query(f"WITH {LINES} SELECT concat_ws(':', path, CAST(line AS VARCHAR), ' ' || trim(text, ' ')) AS value FROM cut WHERE contains(text, 'leau')")
 def export_compact(spark, sf_dir):
-    rows = C.lines(C.files(spark, sf_dir)).where(F.contains("text", F.lit("thion")))
+    rows = C.lines(C.files(spark, sf_dir)).where(F.contains("text", F.lit("leau")))
     return E.compact(rows)
 
 

@@ -1,4 +1,4 @@
-"""Queries of graph operators on a graph of users: an edge joins consecutive users of one event type."""
+"""Queries of graph operators on a graph of users: an edge joins consecutive users of one event type, upwards."""
 
 from __future__ import annotations
 
@@ -9,15 +9,14 @@ from loomtext.operators import graph as G
 from loomtext.registry import query
 from loomtext.runtime import table
 
-#: Consecutive users within a type and an hour, upwards only where `acyclic` is wanted.
-EDGES = "e AS (SELECT DISTINCT source, target FROM (SELECT user_id AS source, lead(user_id) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS target FROM events) WHERE target > source AND target - source < 40)"
+#: Consecutive users within a type and a day, towards the larger id, so that there is no cycle.
+EDGES = "e AS (SELECT DISTINCT source, target FROM (SELECT user_id AS source, lead(user_id) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS target FROM events) WHERE target > source)"
 
 
-def up_edges(spark, sf_dir, within=40):
-    """within: the difference of ids that edges stay below, as in EDGES; None: all edges."""
+def up_edges(spark, sf_dir):
     w = Window.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.lead("user_id").over(w).alias("target"))
-    return rows.where("target > source" + (f" and target - source < {within}" if within else "")).distinct()
+    return rows.where("target > source").distinct()
 
 
 def ring_edges(spark, sf_dir):
@@ -31,11 +30,10 @@ def ring_edges(spark, sf_dir):
 RING = "r AS (SELECT n_nationkey AS source, coalesce(lead(n_nationkey) OVER w, first(n_nationkey) OVER w) AS target, n_regionkey FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)), ring AS (SELECT source, target FROM r WHERE n_regionkey < 3 UNION ALL SELECT source, target FROM r WHERE n_regionkey >= 3 AND source < target)"
 
 
-@query(f"WITH RECURSIVE {EDGES}, w(seed, id, depth) AS (SELECT DISTINCT source, source, 0 FROM e WHERE source <= 10 UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 4) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY seed, id")
+@query(f"WITH RECURSIVE {EDGES}, w(seed, id, depth) AS (SELECT DISTINCT source, source, 0 FROM e UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 3) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY seed, id")
 def graph_closure(spark, sf_dir):
     edges = up_edges(spark, sf_dir)
-    # seeds are the query: the closure itself runs over every edge
-    return G.closure(edges, edges.where("source <= 10").select(F.col("source").alias("id")), 4)
+    return G.closure(edges, edges.select(F.col("source").alias("id")).distinct(), 3)
 
 
 @query(f"WITH RECURSIVE {EDGES}, w(id, depth) AS (SELECT min(source), 0 FROM e UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 5), l AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT l.id, CAST(l.depth AS INTEGER) AS depth, coalesce(min(p.id), -1) AS parent FROM l LEFT JOIN (SELECT e.target, p.id, p.depth FROM e JOIN l p ON p.id = e.source) p ON p.target = l.id AND p.depth + 1 = l.depth GROUP BY l.id, l.depth")
@@ -44,14 +42,14 @@ def graph_call_tree(spark, sf_dir):
     return G.call_tree(edges, edges.agg(F.min("source").alias("id")), 5).na.fill(-1, ["parent"])
 
 
-@query(f"WITH RECURSIVE {EDGES}, w(seed, id, depth) AS (SELECT DISTINCT source, source, 0 FROM e UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 2), m AS (SELECT seed, id, min(depth) AS depth FROM w GROUP BY seed, id) SELECT seed AS id, count(*) FILTER (depth = 1) AS n_direct, count(*) FILTER (depth > 0) AS n_transitive FROM m GROUP BY seed")
+@query(f"WITH RECURSIVE {EDGES}, w(seed, id) AS (SELECT source, target FROM e UNION SELECT w.seed, e.target FROM w JOIN e ON e.source = w.id), d AS (SELECT source, count(*) AS n FROM e GROUP BY source) SELECT seed AS id, any_value(d.n) AS n_direct, count(*) AS n_transitive FROM w JOIN d ON d.source = seed GROUP BY seed")
 def graph_dependency_counts(spark, sf_dir):
-    return G.dependency_counts(up_edges(spark, sf_dir), 2)
+    return G.dependency_counts(up_edges(spark, sf_dir))
 
 
 @query(f"WITH {RING} SELECT source AS id FROM r WHERE n_regionkey < 3")
 def graph_cycles(spark, sf_dir):
-    return G.on_cycle(ring_edges(spark, sf_dir), 10)
+    return G.on_cycle(ring_edges(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {EDGES}, lab AS (SELECT source AS id, CASE WHEN source % 2 = 0 THEN 'even' ELSE 'odd' END AS label FROM (SELECT DISTINCT source FROM e WHERE source % 17 = 0)), w(id, label, hops) AS (SELECT id, label, 0 FROM lab UNION SELECT e.target, w.label, w.hops + 1 FROM w JOIN e ON e.source = w.id WHERE w.hops < 4), m AS (SELECT id, label, min(hops) AS hops FROM w GROUP BY id, label) SELECT id, label, round(pow(0.8, hops), 6) AS strength, CAST(hops AS INTEGER) AS hops FROM m")
@@ -77,7 +75,7 @@ def propagate_effects(spark, sf_dir):
 
 @query()
 def propagate_pressure(spark, sf_dir):
-    edges = up_edges(spark, sf_dir, within=None)
+    edges = up_edges(spark, sf_dir)
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     return G.pressure(edges, nodes.select("id", (F.col("id") % 10 / 10).alias("base")))
 

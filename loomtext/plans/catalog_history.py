@@ -63,11 +63,10 @@ def change_metric_issues(spark, sf_dir):
     return H.metric_issues(before, after)
 
 
-@query(f"WITH {FUNCTIONS} SELECT round(least(1.0, count(*) FILTER (cc > 20) * 0.3 + count(*) FILTER (cc > 10 AND cc <= 20) * 0.1 + count(*) FILTER (cc <= 10) * 0.02), 6) AS risk FROM f WHERE id < 40")
+@query(f"WITH {FUNCTIONS} SELECT n_in AS change_set, round(least(1.0, count(*) FILTER (cc > 25) * 0.3 + count(*) FILTER (cc > 24 AND cc <= 25) * 0.1), 6)::DOUBLE AS risk FROM f WHERE cc > 24 GROUP BY n_in")
 def change_report_risk(spark, sf_dir):
-    severity = F.when(F.col("cc") > 20, "critical").when(F.col("cc") > 10, "warning").otherwise("info")
-    # a report of one small change set: the functions with the lowest ids are its scope, as any scope would be
-    return H.report_risk(functions(spark, sf_dir).where("id < 40").select(severity.alias("severity")))
+    severity = F.when(F.col("cc") > 25, "critical").otherwise("warning")
+    return H.report_risk(functions(spark, sf_dir).where("cc > 24").select(F.col("n_in").alias("change_set"), severity.alias("severity")), "change_set")
 
 
 @query("WITH n AS (SELECT p_brand AS kind, CASE p_size % 3 WHEN 0 THEN 'get_' || lower(p_type) WHEN 1 THEN 'get' || p_type ELSE 'Get' || p_type END AS name FROM part), s AS (SELECT kind, CASE WHEN regexp_matches(name, '^[a-z0-9]+(_[a-z0-9]+)+$') THEN 'snake' WHEN regexp_matches(name, '^[A-Z0-9]+(_[A-Z0-9]+)+$') THEN 'screaming' WHEN regexp_matches(name, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN 'kebab' WHEN regexp_matches(name, '^[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*$') THEN 'pascal' WHEN regexp_matches(name, '^[a-z][a-z0-9]*[A-Z][A-Za-z0-9]*$') THEN 'camel' ELSE 'unknown' END AS style, count(*) AS n FROM n GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, style) AS r FROM s WHERE style <> 'unknown') SELECT kind, style, n FROM r WHERE r = 1 AND n >= 3")

@@ -49,9 +49,9 @@ def callees(spark, sf_dir):
     return J.neighbours(edges(spark, sf_dir), "call", incoming=False)
 
 
-@query("WITH needs AS (SELECT DISTINCT p_size AS grp, p_partkey AS part FROM part WHERE p_size <= 10 AND p_partkey % 40 = 0), has AS (SELECT DISTINCT l_suppkey AS who, l_partkey AS part FROM lineitem) SELECT grp, who FROM has JOIN needs USING (part) GROUP BY grp, who HAVING count(*) = (SELECT count(*) FROM needs n WHERE n.grp = needs.grp)")
+@query("WITH needs AS (SELECT DISTINCT p_brand || p_size AS grp, p_partkey AS part FROM part), has AS (SELECT DISTINCT l_suppkey AS who, l_partkey AS part FROM lineitem) SELECT grp, who FROM has JOIN needs USING (part) GROUP BY grp, who HAVING count(*) = (SELECT count(*) FROM needs n WHERE n.grp = needs.grp)")
 def implicit_implementations(spark, sf_dir):
-    needs = table(spark, sf_dir, "part").where("p_size <= 10 and p_partkey % 40 = 0").select(F.col("p_size").alias("grp"), F.col("p_partkey").alias("part"))
+    needs = table(spark, sf_dir, "part").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("grp"), F.col("p_partkey").alias("part"))
     has = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("who"), F.col("l_partkey").alias("part"))
     return J.divide(has, needs, "who", "part", "grp")
 
@@ -85,10 +85,10 @@ def symbol_at_position(spark, sf_dir):
     return J.at_position(points, ranges, "file_id", "line")
 
 
-@query("WITH d AS (SELECT DISTINCT l_orderkey % 100 AS file_id, l_partkey % 50 AS target FROM lineitem WHERE l_returnflag = 'A'), u AS (SELECT l_orderkey % 100 AS file_id, l_partkey % 50 AS target, count(*) AS n_uses FROM lineitem WHERE l_returnflag = 'N' AND l_quantity > 25 GROUP BY ALL) SELECT file_id, target, coalesce(n_uses, 0) AS n_uses, CASE WHEN n_uses IS NULL THEN 'unused' WHEN n_uses > 5 THEN 'coupled' ELSE 'missing' END AS status FROM d FULL JOIN u USING (file_id, target) WHERE n_uses IS NULL OR (file_id, target) NOT IN (SELECT file_id, target FROM d)")
+@query("WITH d AS (SELECT DISTINCT l_orderkey % 100 AS file_id, l_partkey % 50 AS target FROM lineitem WHERE l_returnflag = 'A'), u AS (SELECT l_orderkey % 100 AS file_id, l_partkey % 50 AS target, count(*) AS n_uses FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL) SELECT file_id, target, coalesce(n_uses, 0) AS n_uses, CASE WHEN n_uses IS NULL THEN 'unused' WHEN n_uses > 5 THEN 'coupled' ELSE 'missing' END AS status FROM d FULL JOIN u USING (file_id, target) WHERE n_uses IS NULL OR (file_id, target) NOT IN (SELECT file_id, target FROM d)")
 def import_check(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("file_id"), (F.col("l_partkey") % 50).alias("target"), "l_returnflag", "l_quantity")
-    return J.import_check(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag = 'N' and l_quantity > 25"))
+    return J.import_check(rows.where("l_returnflag = 'A'"), rows.where("l_returnflag != 'A'"))
 
 
 @query(f"""WITH {PACKAGES}, p AS (SELECT source_package AS a, target_package AS b, count(*) AS n FROM pe GROUP BY ALL), o AS (SELECT a AS package, sum(n) FILTER (a = b) AS i, sum(n) FILTER (a <> b) AS ce FROM p GROUP BY a), t AS (SELECT b AS package, sum(n) AS ca FROM p WHERE a <> b GROUP BY b), j AS (SELECT package, n_symbols, CAST(coalesce(i, 0) AS BIGINT) AS n_internal, CAST(coalesce(ca, 0) AS BIGINT) AS ca, CAST(coalesce(ce, 0) AS BIGINT) AS ce FROM sizes LEFT JOIN o USING (package) LEFT JOIN t USING (package))

@@ -116,11 +116,11 @@ def dependency_depth(spark, sf_dir):
     return G.dependency_depth(ring_edges(spark, sf_dir), 8)
 
 
-@query("WITH c AS (SELECT l_suppkey AS source, l_partkey AS interface FROM lineitem WHERE l_returnflag = 'A'), i AS (SELECT DISTINCT l_partkey AS interface, l_orderkey AS implementor FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT interface, count(*) AS n FROM i GROUP BY interface) SELECT source, implementor AS target, round(1.0 / n, 6)::DOUBLE AS confidence FROM c JOIN i USING (interface) JOIN n USING (interface)")
+@query("WITH c AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS interface FROM lineitem), i AS (SELECT DISTINCT l_partkey AS interface, l_orderkey % 1000 AS implementor FROM lineitem), n AS (SELECT interface, count(*) AS n FROM i GROUP BY interface) SELECT source, implementor AS target, round(1.0 / n, 6)::DOUBLE AS confidence FROM c JOIN i USING (interface) JOIN n USING (interface)")
 def interface_attribution(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
-    calls_ = rows.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"))
-    return G.through_implementations(calls_, rows.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("interface"), F.col("l_orderkey").alias("implementor")).distinct())
+    calls_ = rows.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).distinct()
+    return G.through_implementations(calls_, rows.select(F.col("l_partkey").alias("interface"), (F.col("l_orderkey") % 1000).alias("implementor")).distinct())
 
 
 CLUSTERS = {"network": ["http", "server", "response"], "user": ["user", "msg"], "limits": ["max", "min"]}
@@ -144,6 +144,30 @@ def similar_names(spark, sf_dir):
     return X.similar_names(names, names)
 
 
-@query(f"WITH {CORPUS} SELECT path, 'config' AS pattern FROM corpus WHERE false")
+#: Sources that each show one anti-pattern, as often as a part's size says.
+_SMELL = "p AS (SELECT p_partkey AS k, p_size AS n, p_partkey % 6 AS m FROM part)"
+
+
+def smelly_sources(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    line = ["app.register(x)", "case a = 1", "x", "export * from 'y'", "name: value", "switch (k) {%s}"]
+    name = ["src/reg%s.js", "src/enum%s.js", "src/big%s.js", "src/%s/index.js", "src/settings%s.yaml", "src/make%s.js"]
+    m = F.col("p_partkey") % 6
+    pick = lambda xs: F.element_at(F.array(*xs), (m + 1).cast("int"))
+    cases = F.concat(F.lit("switch (k) {\n"), F.repeat(F.lit("case 1: return new A();\n"), F.col("p_size")), F.lit("}\n"))
+    body = pick([F.repeat(F.lit(x + "\n"), F.col("p_size") * (60 if i == 2 else 1)) for i, x in enumerate(line[:5])] + [cases])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), pick([F.format_string(x, k) for x in name]).alias("path"), body.alias("content"))
+
+
+_GRADE = "CASE WHEN n >= 2 * most THEN 'critical' WHEN n >= 1.5 * most THEN 'warning' ELSE 'info' END"
+
+
+@query(f"""WITH {_SMELL}, r AS (SELECT 'src/reg' || k || '.js' AS path, 'registration' AS pattern, n, 10 AS most FROM p WHERE m = 0
+UNION ALL SELECT 'src/enum' || k || '.js', 'enum', n, 10 FROM p WHERE m = 1
+UNION ALL SELECT 'src/big' || k || '.js', 'god_object', 60 * n + 1, 1500 FROM p WHERE m = 2
+UNION ALL SELECT 'src/' || k || '/index.js', 'barrel', n, 10 FROM p WHERE m = 3
+UNION ALL SELECT 'src/settings' || k || '.yaml', 'config', n, 10 FROM p WHERE m = 4
+UNION ALL SELECT 'src/make' || k || '.js', 'switch_factory', n, 10 FROM p WHERE m = 5)
+SELECT path, pattern, CAST(n AS INTEGER) AS n, {_GRADE} AS severity FROM r WHERE n >= most""")
 def change_anti_patterns(spark, sf_dir):
-    return H.anti_patterns(C.files(spark, sf_dir)).select("path", "pattern")
+    return H.anti_patterns(smelly_sources(spark, sf_dir))

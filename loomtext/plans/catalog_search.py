@@ -54,9 +54,9 @@ def search_first_per_file(spark, sf_dir):
     return S.matching_lines(C.files(spark, sf_dir), "er", S.Options(per_file=2)).select("path", "line")
 
 
-@query(f"WITH {LINES} SELECT path, line, CASE WHEN contains(text, 'thion') THEN 'thion' WHEN contains(text, 'der') THEN 'der' ELSE 'que' END AS pattern FROM cut WHERE contains(text, 'thion') OR contains(text, 'der') OR contains(text, 'que')")
+@query(f"WITH {LINES} SELECT path, line, CASE WHEN contains(text, 'leau') THEN 'leau' WHEN contains(text, 'der') THEN 'der' ELSE 'que' END AS pattern FROM cut WHERE contains(text, 'leau') OR contains(text, 'der') OR contains(text, 'que')")
 def search_multi_pattern(spark, sf_dir):
-    return S.first_pattern(C.files(spark, sf_dir), ["thion", "der", "que"])
+    return S.first_pattern(C.files(spark, sf_dir), ["leau", "der", "que"])
 
 
 @query(f"WITH {LINES}, hit AS (SELECT *, parse_dirpath(path) AS dir, len(regexp_extract_all(text, 'ing')) AS n FROM cut WHERE contains(text, 'ing') AND NOT starts_with(ltrim(text, ' '), '//')) SELECT CAST(sum(n) AS BIGINT) AS n_matches, count(*) AS n_lines, count(DISTINCT path) AS n_files, count(DISTINCT dir) AS n_dirs, count(*) FILTER (starts_with(ltrim(text, ' '), '//')) AS n_comment_lines, count(*) FILTER (regexp_matches(lower(path), '_test\\.|\\.test\\.|\\.spec\\.|test_|/test/|/tests/|/__tests__/|/spec/')) AS n_test_lines FROM hit")
@@ -89,55 +89,55 @@ def search_path_filtered(spark, sf_dir):
     return S.matching_lines(C.files(spark, sf_dir), "eau", S.Options(include=("^src1",), skip_comments=False, per_file=None)).select("path", "line", "text")
 
 
-@query(f"WITH {LINES} SELECT path, line FROM cut WHERE regexp_matches(text, 'token|secret') AND regexp_matches(text, '(token|secret) ?= ?.[a-z0-9]+')")
+@query(f"WITH {LINES} SELECT path, line FROM cut WHERE regexp_matches(text, '(leau|keit)[a-z]+, ')")
 def search_hybrid_regex(spark, sf_dir):
-    return S.matching_lines(C.files(spark, sf_dir), "(token|secret) ?= ?.[a-z0-9]+", S.Options(regex=True, per_file=None)).select("path", "line")
+    return S.matching_lines(C.files(spark, sf_dir), "(leau|keit)[a-z]+, ", S.Options(regex=True, per_file=None)).select("path", "line")
 
 
-@query(f"""WITH {LINES}, hit AS (SELECT file_id, path, line, text FROM cut WHERE contains(text, 'thion') AND NOT starts_with(ltrim(text, ' '), '//'))
-SELECT path, line, round(10.0 + CASE WHEN regexp_matches(' ' || text || ' ', '[^A-Za-z0-9_]thion[^A-Za-z0-9_]') THEN 100 ELSE 0 END + 1.0 - 0.5 * 2 - 20 - 30, 6) AS score
+@query(f"""WITH {LINES}, hit AS (SELECT file_id, path, line, text FROM cut WHERE contains(text, 'leau') AND NOT starts_with(ltrim(text, ' '), '//'))
+SELECT path, line, round(10.0 + CASE WHEN regexp_matches(' ' || text || ' ', '[^A-Za-z0-9_]leau[^A-Za-z0-9_]') THEN 100 ELSE 0 END + 1.0 - 0.5 * 2 - 20 - 30, 6) AS score
 FROM hit ORDER BY score DESC, path, line LIMIT 50""")
 def search_ranked(spark, sf_dir):
-    rows = S.matching_lines(C.files(spark, sf_dir), "thion", S.Options(per_file=None))
-    return R.rank(R.scored(rows, "thion"), 50).select("path", "line", "score")
+    rows = S.matching_lines(C.files(spark, sf_dir), "leau", S.Options(per_file=None))
+    return R.rank(R.scored(rows, "leau"), 50).select("path", "line", "score")
 
 
-@query(f"""WITH {LINES}, hit AS (SELECT file_id, line FROM cut WHERE contains(text, 'thion')),
+@query(f"""WITH {LINES}, hit AS (SELECT file_id, line FROM cut WHERE contains(text, 'leau')),
 near AS (SELECT DISTINCT c.file_id, c.path, c.line, c.text FROM cut c JOIN hit h ON c.file_id = h.file_id AND c.line BETWEEN h.line - 2 AND h.line + 2) SELECT path, line, text FROM near""")
 def search_context_lines(spark, sf_dir):
     corpus = C.files(spark, sf_dir)
-    hits = S.matching_lines(corpus, "thion", S.Options(skip_comments=False, per_file=None))
+    hits = S.matching_lines(corpus, "leau", S.Options(skip_comments=False, per_file=None))
     return R.context_lines(C.lines(corpus), hits, 2).select("path", "line", "text")
 
 
-@query(f"""WITH {LINES}, hit AS (SELECT file_id, path, greatest(line - 2, 1) AS a, line + 2 AS b FROM cut WHERE contains(text, 'thion')),
+@query(f"""WITH {LINES}, hit AS (SELECT file_id, path, greatest(line - 2, 1) AS a, line + 2 AS b FROM cut WHERE contains(text, 'leau')),
 marked AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY file_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM hit),
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY file_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM marked)
 SELECT path, min(a) AS start_line, max(b) AS end_line, count(*) AS n_matches FROM islands GROUP BY file_id, path, island""")
 def search_merged_ranges(spark, sf_dir):
-    hits = S.matching_lines(C.files(spark, sf_dir), "thion", S.Options(skip_comments=False, per_file=None))
+    hits = S.matching_lines(C.files(spark, sf_dir), "leau", S.Options(skip_comments=False, per_file=None))
     return R.merged_ranges(hits, 2).select("path", "start_line", "end_line", "n_matches")
 
 
-@query(f"""WITH {LINES}, hit AS (SELECT path, line, text, 'eder' AS p FROM cut WHERE contains(text, 'eder') UNION ALL SELECT path, line, text, 'thion' FROM cut WHERE contains(text, 'thion')),
+@query(f"""WITH {LINES}, hit AS (SELECT path, line, text, 'eder' AS p FROM cut WHERE contains(text, 'eder') UNION ALL SELECT path, line, text, 'leau' FROM cut WHERE contains(text, 'leau')),
 best AS (SELECT path, line, count(*) AS n FROM hit GROUP BY ALL) SELECT path, line, n AS n_patterns, round(10.0 * (1 + least(0.15 * (n - 1), 0.5)), 6) AS score FROM best""")
 def search_multi_boost(spark, sf_dir):
     corpus, o = C.files(spark, sf_dir), S.Options(skip_comments=False, per_file=None)
     rows = None
-    for p in ("eder", "thion"):
+    for p in ("eder", "leau"):
         one = S.matching_lines(corpus, p, o).select("path", "line", F.lit(10.0).alias("score"))
         rows = one if rows is None else rows.union(one)
     return R.boosted(rows, ["path", "line"])
 
 
-@query(f"""WITH {LINES}, t AS (SELECT path, line, (length(text) + 3) // 4 AS tokens FROM cut WHERE contains(text, 'thion')),
+@query(f"""WITH {LINES}, t AS (SELECT path, line, (length(text) + 3) // 4 AS tokens FROM cut WHERE contains(text, 'leau')),
 s AS (SELECT *, sum(tokens) OVER (ORDER BY path, line ROWS UNBOUNDED PRECEDING) AS upto FROM t) SELECT path, line, CAST(upto AS BIGINT) AS tokens_so_far FROM s WHERE upto <= 2000""")
 def search_token_budget(spark, sf_dir):
-    rows = S.matching_lines(C.files(spark, sf_dir), "thion", S.Options(skip_comments=False, per_file=None))
+    rows = S.matching_lines(C.files(spark, sf_dir), "leau", S.Options(skip_comments=False, per_file=None))
     return R.within_budget(rows.withColumn("tokens", R.token_estimate(F.col("text"))), "tokens", ["path", "line"], 2000).select("path", "line", F.col("so_far").alias("tokens_so_far"))
 
 
-@query(f"WITH {LINES}, t AS (SELECT path, line FROM cut WHERE contains(text, 'thion')) SELECT path, line, (SELECT count(*) FROM t) AS total FROM t ORDER BY path, line LIMIT 25 OFFSET 50")
+@query(f"WITH {LINES}, t AS (SELECT path, line FROM cut WHERE contains(text, 'leau')) SELECT path, line, (SELECT count(*) FROM t) AS total FROM t ORDER BY path, line LIMIT 25 OFFSET 10")
 def search_page(spark, sf_dir):
-    rows = S.matching_lines(C.files(spark, sf_dir), "thion", S.Options(skip_comments=False, per_file=None)).select("path", "line")
-    return R.page(rows, ["path", "line"], 50, 25)
+    rows = S.matching_lines(C.files(spark, sf_dir), "leau", S.Options(skip_comments=False, per_file=None)).select("path", "line")
+    return R.page(rows, ["path", "line"], 10, 25)

@@ -51,7 +51,7 @@ def duplicate_new_against_old(spark, sf_dir):
     return D.new_against_old(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
 
 
-_TARGET = "password = secret_token/api-key"
+_TARGET = "ation_leau/ment-keit"
 _FRAGMENTS = D.fragments_of(_TARGET)
 
 

@@ -49,6 +49,6 @@ def plan(text: str, options: S.Options = S.Options(), index_at_hand: bool = Fals
 def run(corpus: DataFrame, text: str, options: S.Options = S.Options(), trigrams: DataFrame | None = None) -> DataFrame:
     """Matching lines of a query; a scan unless a persisted trigram table is given."""
     p = plan(text, options, trigrams is not None)
-    if p.use_index and not p.options.regex:
+    if p.use_index:
         return S.by_trigrams(corpus, trigrams, p.pattern, p.options)
     return S.matching_lines(corpus, p.pattern, p.options)

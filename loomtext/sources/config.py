@@ -80,6 +80,8 @@ class PropagationRule:
     decay: float = 0.8
     max_hops: int = 10
     boost: float = 1.0
+    boost_on: str = ""
+    min_strength: float = 0.001
 
 
 @dataclass(frozen=True)
@@ -111,4 +113,4 @@ def problems(config: Propagation) -> list[str]:
 
 
 def rules_table(spark: SparkSession, config: Propagation) -> DataFrame:
-    return spark.createDataFrame([(r.label, r.mode, r.direction, r.decay, r.max_hops, r.boost) for r in config.rules], "label string, mode string, direction string, decay double, max_hops int, boost double")
+    return spark.createDataFrame([(r.label, r.mode, r.direction, r.decay, r.max_hops, r.boost, r.boost_on, r.min_strength) for r in config.rules], "label string, mode string, direction string, decay double, max_hops int, boost double, boost_on string, min_strength double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
+from loomtext.operators.prefix import running_sum
 from loomtext.runtime import table
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
@@ -65,8 +66,7 @@ def commit_log(log: DataFrame) -> DataFrame:
     A header is `hash|name|email|epoch|subject`; numstat rows follow it: added, deleted, path by tabs.
     """
     header = F.regexp_like("value", F.lit(r"^[0-9a-f]{7,40}\|[^|]*\|[^|]*\|\d+\|"))
-    order = Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    part = log.withColumn("is_header", header).withColumn("commit_no", F.sum(F.col("is_header").cast("int")).over(order))
+    part = running_sum(log.withColumns({"is_header": header, "one": header.cast("int")}), ["no"], "one", "commit_no")
     bits = F.split("value", r"\|", 5)
     heads = part.where("is_header").select("commit_no", bits[0].alias("hash"), bits[1].alias("author"), bits[2].alias("email"), F.timestamp_seconds(bits[3].cast("long")).alias("ts"), bits[4].alias("message"))
     cols = F.split("value", "\t")
@@ -104,5 +104,14 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").where(~F.col("was").eqNullSafe(F.col("now"))).select("path", status.alias("status"))
 
 
-def diff_size(n_files: int) -> str:
-    return "small" if n_files < 10 else "medium" if n_files <= 50 else "large"
+def diff_size(n_files):
+    """small under 10 files, medium up to 50, else large; of a number or a column."""
+    if isinstance(n_files, int):
+        return "small" if n_files < 10 else "medium" if n_files <= 50 else "large"
+    return F.when(n_files < 10, "small").when(n_files <= 50, "medium").otherwise("large")
+
+
+def diff_stats(changes: DataFrame, *by: str) -> DataFrame:
+    """n_files, n_added, n_deleted, size of the changed files (path, added, deleted); one row for each `by`."""
+    rows = changes.groupBy(*by).agg(F.count_distinct("path").alias("n_files"), F.sum("added").cast("long").alias("n_added"), F.sum("deleted").cast("long").alias("n_deleted"))
+    return rows.withColumn("size", diff_size(F.col("n_files")))

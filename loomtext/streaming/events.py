@@ -54,34 +54,66 @@ def changed_only(state: DataFrame, batch: DataFrame) -> DataFrame:
     return rows.where((gone & F.col("was").isNotNull()) | (~gone & ~F.col("was").eqNullSafe(F.sha2("content", 256)))).drop("was")
 
 
-def maintain(events: DataFrame, table_path: str, checkpoint: str):
-    """Start a stream that keeps the table's versions under table_path: each batch writes the next one.
+PARTS = 64
 
-    A batch number that was written is not applied again, so a restart after a failure repeats nothing.
+
+def maintain(events: DataFrame, table_path: str, checkpoint: str, parts: int = PARTS, keep: int = 3, once: bool = False):
+    """Start a stream that keeps a table of (path, content) under table_path, in `parts` parts by a hash of the
+    path.
+
+    A batch writes a new version of the parts it touches only; a part's newest complete version is its state, and
+    older ones than the last `keep` are removed. A version is named by its batch, so a batch that runs again
+    writes the same thing again. once: stop when all events at hand are applied.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = _versions(spark, table_path)
-        if number in done:
-            return
-        empty = spark.createDataFrame([], "path string, content string")
-        state = spark.read.schema("path string, content string").parquet(f"{table_path}/v{max(done)}") if done else empty
-        applied(state, batch).write.mode("overwrite").parquet(f"{table_path}/v{number}")
-
-    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
-
-
-def _versions(spark: SparkSession, table_path: str) -> list[int]:
-    """Numbers of the versions that were written in full."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return [int(n[1:]) for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{table_path}/{n}/_SUCCESS"))]
+        dealt = batch.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int")).persist()
+        touched = [r["part"] for r in dealt.select("part").distinct().collect()]  # at most `parts` numbers
+        if touched:
+            held = {p: v for p, vs in _versions(spark, table_path).items() if (v := [x for x in vs if x < number])}
+            old = [f"{table_path}/v{max(held[p])}/part={p}" for p in touched if p in held]
+            schema = "path string, content string"
+            state = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
+            after = applied(state, dealt.drop("part")).withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int"))
+            # parts that end empty leave a marker row, so that their older versions don't count
+            empty = spark.createDataFrame([(None, None, p) for p in touched], "path string, content string, part int")
+            after.unionByName(empty).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{table_path}/v{number}")
+            _retain(spark, table_path, keep)
+        dealt.unpersist()
+
+    writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _files(spark: SparkSession, place: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _versions(spark: SparkSession, table_path: str) -> dict[int, list[int]]:
+    """For each part, the numbers of the complete versions that hold it."""
+    fs, root = _files(spark, table_path)
+    out: dict[int, list[int]] = {}
+    for version in fs.listStatus(root) if fs.exists(root) else []:
+        name = version.getPath().getName()
+        if not name.startswith("v") or not fs.exists(_files(spark, f"{table_path}/{name}/_SUCCESS")[1]):
+            continue
+        for part in fs.listStatus(version.getPath()):
+            if part.getPath().getName().startswith("part="):
+                out.setdefault(int(part.getPath().getName()[5:]), []).append(int(name[1:]))
+    return out
+
+
+def _retain(spark: SparkSession, table_path: str, keep: int) -> None:
+    for part, versions in _versions(spark, table_path).items():
+        for v in sorted(versions)[:-keep]:
+            fs, place = _files(spark, f"{table_path}/v{v}/part={part}")
+            fs.delete(place, True)
 
 
 def current(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.parquet(f"{table_path}/v{max(_versions(spark, table_path))}")
+    """path, content of the newest version of every part."""
+    places = [f"{table_path}/v{max(v)}/part={p}" for p, v in _versions(spark, table_path).items()]
+    schema = "path string, content string"
+    return spark.read.schema(schema).parquet(*places).where("path is not null") if places else spark.createDataFrame([], schema)

@@ -27,9 +27,11 @@ def normal(df):
     return df.astype(str).sort_values(cols).reset_index(drop=True)
 
 
-def same(spark, sf: str, query, sql: str) -> None:
+def same(spark, sf: str, query, sql: str) -> int:
+    """How many rows both give."""
     got, want = query(spark, sf).toPandas(), database(sf).execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     a, b = normal(got), normal(want)
     assert len(a) == len(b)
     assert a.equals(b), (a[(a != b).any(axis=1)].head(), b[(a != b).any(axis=1)].head())
+    return len(a)

@@ -21,7 +21,7 @@ def test_closure(spark, edges):
 
 
 def test_cycles(edges):
-    assert sorted(r["id"] for r in G.on_cycle(edges, 10).collect()) == [7, 8, 9]
+    assert sorted(r["id"] for r in G.on_cycle(edges).collect()) == [7, 8, 9]
 
 
 def test_tree(spark, edges):
@@ -76,7 +76,6 @@ def test_pressure_covers_every_edge(spark):
 
     rows = sorted((r["event_type"], r["ts"].date(), r["ts"], r["event_id"], r["user_id"]) for r in spark.read.parquet(f"{SF_MID}/events.parquet").collect())
     pairs = {(a[-1], b[-1]) for a, b in zip(rows, rows[1:], strict=False) if a[:2] == b[:2] and b[-1] > a[-1]}
-    assert max(b - a for a, b in pairs) >= 40
-    got = {tuple(r) for r in catalog_graphs.up_edges(spark, SF_MID, within=None).collect()}
+    got = {tuple(r) for r in catalog_graphs.up_edges(spark, SF_MID).collect()}
     assert got == pairs
     assert {r["id"] for r in catalog_graphs.propagate_pressure(spark, SF_MID).collect()} == {x for p in pairs for x in p}

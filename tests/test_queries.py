@@ -11,12 +11,12 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, name):
-    same(spark, SF, QUERIES[name], SQL[name])
+    assert same(spark, SF, QUERIES[name], SQL[name]) > 0, "no rows: nothing is tested"
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_without_sql_runs(spark, name):
-    QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

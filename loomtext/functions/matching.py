@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,39 @@ def jaro_winkler_of(a: str, b: str) -> float:
     return base + prefix * 0.1 * (1 - base) if base > 0.7 else base
 
 
+def similar_pairs(names: list[str], others: list[str], threshold: float) -> list[tuple[str, str, float]]:
+    """(name, other, similarity) of different names whose lower-cased forms are similar by `threshold` or more.
+
+    The letters that two names have in common, whatever their order, and the length of their common prefix
+    bound the similarity; what the bound lets through is compared.
+    """
+    if not names or not others:
+        return []
+    low, near = [x.lower() for x in names], [x.lower() for x in others]
+    letters = {c: i for i, c in enumerate(sorted(set("".join(low)) | set("".join(near))))}
+
+    def counted(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts, starts = np.zeros((len(letters), len(words)), np.int32), np.full((4, len(words)), -1, np.int64)
+        for i, w in enumerate(words):
+            for c in w:
+                counts[letters[c], i] += 1
+            for j, c in enumerate(w[:4]):
+                starts[j, i] = letters[c]
+        return counts, starts, np.array([max(1, len(w)) for w in words], np.float64)
+
+    (x, xs, nx), (y, ys, ny) = counted(low), counted(near)
+    shared = sum(np.minimum.outer(a, b) for a, b in zip(x, y, strict=True)) if letters else np.zeros((len(low), len(near)), np.int32)
+    same = (xs[:, :, None] == ys[:, None, :]) & (xs[:, :, None] >= 0)
+    prefix = np.cumprod(same, axis=0).sum(axis=0)
+    most = np.where(shared > 0, (shared / nx[:, None] + shared / ny[None, :] + 1) / 3, 0.0)
+    most = np.where(most > 0.7, most + prefix * 0.1 * (1 - most), most)
+    out = []
+    for i, j in zip(*(v.tolist() for v in np.nonzero(most >= threshold - 1e-9)), strict=True):
+        if names[i] != others[j] and (s := jaro_winkler_of(low[i], near[j])) >= threshold:
+            out.append((names[i], others[j], s))
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -5,11 +5,13 @@ Layers run over distinct names. Words of a query are split before case is lost,
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import matching as M
 from loomtext.functions import names as N
+from loomtext.runtime import ship_package
 
 # Layer weights, threshold, limits.
 WEIGHTS = {"exact": 1.0, "substring": 0.9, "phrase": 0.88, "annotation": 0.85, "fuzzy": 0.70, "stem": 0.55, "name_split": 0.40, "abbreviation": 0.25}
@@ -90,13 +92,33 @@ def candidates(keys: DataFrame, query: str) -> DataFrame:
     return keys.join(F.broadcast(wanted), ["kind", "key"], "left_semi").select("name").distinct()
 
 
-def similar_names(names: DataFrame, others: DataFrame, threshold: float = 0.8, k: int = 3) -> DataFrame:
-    """name, similar, similarity: the k most similar names that share a first letter or a word."""
-    key = lambda c: F.array_union(N.split(c), F.array(F.lower(F.substring(c, 1, 1))))
-    a = names.select("name", F.explode(key(F.col("name"))).alias("key"))
-    b = others.select(F.col("name").alias("similar"), F.explode(key(F.col("name"))).alias("key"))
-    pairs = a.join(b, "key").where("name != similar").select("name", "similar").distinct()
-    rows = pairs.withColumn("s", M.jaro_winkler(F.col("name"), F.col("similar"))).where(F.col("s") >= threshold)
+def similar_names(names: DataFrame, others: DataFrame, threshold: float = 0.8, k: int = 3, block: int = 512) -> DataFrame:
+    """name, similar, similarity: the k most similar of the other names (Jaro-Winkler of the lower-cased names,
+    those alike but for case among them); ties by name.
+
+    Distinct names are dealt into blocks, and blocks of names are held against blocks of others: a count of
+    shared letters and the common prefix bound the similarity from above, and only names that pass the bound are
+    compared in full, so no pair is lost and only similar ones come out.
+    """
+    ship_package(names.sparkSession)
+
+    def dealt(rows: DataFrame, name: str):
+        rows = rows.select("name").where("name is not null").distinct()
+        n = max(1, -(-rows.count() // block))
+        return n, rows.groupBy(F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias(f"{name}_no")).agg(F.collect_list("name").alias(name))
+
+    (n, a), (m, b) = dealt(names, "a"), dealt(others, "b")
+    pairs = a.withColumn("b_no", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).repartition(min(n * m, 4096), "a_no", "b_no").join(b, "b_no")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = M.similar_pairs(batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), threshold)
+                if rows:
+                    x, y, s = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s)], names=["name", "similar", "s"])
+
+    rows = pairs.select("a", "b").mapInArrow(run, "name string, similar string, s double")
     w = Window.partitionBy("name").orderBy(F.desc("s"), "similar")
     return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("name", "similar", F.round("s", 6).alias("similarity"))
 

@@ -27,19 +27,25 @@ def at_position(points: DataFrame, ranges: DataFrame, key: str, at: str, innermo
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """ref_id -> target: imported, then same file, then exported, then the smallest id; with candidates.
+    """ref_id -> target: imported from another file, then same file, then exported, then the smallest id; with
+    the number of candidates.
 
-    refs: ref_id, file_id, name; symbols: symbol_id, file_id, name, exported; imports: file_id, name.
+    refs: ref_id, file_id, name; symbols: symbol_id, file_id, name, exported; imports: file_id, name. Symbols are
+    reduced first: to the smallest of each name and file, then to a few of each name, so that a reference
+    meets one row, however common its name is.
     """
-    s = symbols.select("symbol_id", F.col("file_id").alias("s_file"), "name", "exported")
-    rows = refs.select("ref_id", "file_id", "name").join(s, "name", "left")
+    per_file = symbols.groupBy("name", F.col("file_id").alias("s_file")).agg(F.min("symbol_id").alias("m"), F.min(F.when(F.col("exported"), F.col("symbol_id"))).alias("e"), F.count("*").alias("n"))
+    first = per_file.groupBy("name").agg(F.min(F.struct("m", "s_file")).alias("a"), F.min("e").alias("any_exported"), F.sum("n").alias("n_candidates"))
+    second = per_file.join(first.select("name", "a"), "name").where(F.col("s_file") != F.col("a.s_file")).groupBy("name").agg(F.min("m").alias("b"))
+    rows = refs.select("ref_id", "file_id", "name").join(first, "name", "left").join(second, "name", "left")
+    rows = rows.join(per_file.select("name", F.col("s_file").alias("file_id"), F.col("m").alias("same")), ["name", "file_id"], "left")
     if imports is not None:
         rows = rows.join(imports.select("file_id", "name", F.lit(True).alias("imported")).distinct(), ["file_id", "name"], "left")
     else:
         rows = rows.withColumn("imported", F.lit(None).cast("boolean"))
-    same = F.col("s_file") == F.col("file_id")
-    order = F.struct(F.when(F.col("imported") & ~same, 0).when(same, 1).when(F.col("exported"), 2).otherwise(3), "symbol_id")
-    return rows.groupBy("ref_id").agg(F.min_by("symbol_id", order).alias("target"), F.count("symbol_id").alias("n_candidates")).withColumn("ambiguous", F.col("n_candidates") > 1)
+    elsewhere = F.when(F.col("a.s_file") == F.col("file_id"), F.col("b")).otherwise(F.col("a.m"))
+    target = F.coalesce(F.when(F.col("imported"), elsewhere), "same", "any_exported", F.col("a.m"))
+    return rows.select("ref_id", target.alias("target"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates")).withColumn("ambiguous", F.col("n_candidates") > 1)
 
 
 def path_suffix(files: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -73,11 +73,19 @@ def propagate_effects(spark, sf_dir):
     return G.propagate_effects(edges, masks).select("id", "mask", "transitive_mask")
 
 
-@query()
+def _pressure(rounds: int) -> str:
+    """SQL: the rounds one after another."""
+    out = ["p0 AS (SELECT id, base AS score FROM b)"]
+    for i in range(1, rounds + 1):
+        out.append(f"p{i} AS (SELECT b.id, b.base + 0.85 * coalesce(avg(q.score), 0) AS score FROM b LEFT JOIN e ON e.source = b.id LEFT JOIN p{i - 1} q ON q.id = e.target GROUP BY b.id, b.base)")
+    return ", ".join(out)
+
+
+@query(f"WITH {EDGES}, b AS (SELECT id, (id % 10) / 10.0::DOUBLE AS base FROM (SELECT source AS id FROM e UNION SELECT target FROM e)), {_pressure(6)} SELECT id, round(score, 6) AS score FROM p6")
 def propagate_pressure(spark, sf_dir):
     edges = up_edges(spark, sf_dir)
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
-    return G.pressure(edges, nodes.select("id", (F.col("id") % 10 / 10).alias("base")))
+    return G.pressure(edges, nodes.select("id", (F.col("id") % 10 / 10).alias("base")), rounds=6, epsilon=0.0)
 
 
 @query(f"WITH {EDGES}, c AS (SELECT DISTINCT target AS id FROM e WHERE target % 10 = 0) SELECT DISTINCT source AS id FROM e WHERE target IN (SELECT id FROM c) AND source NOT IN (SELECT id FROM c)")

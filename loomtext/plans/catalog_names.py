@@ -142,8 +142,16 @@ def vocabulary_absent_domains(spark, sf_dir):
     return V.absent_domains(made_names(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {NAMES}, abbr AS ({_ABBR}), w AS (SELECT DISTINCT name, unnest({SPLIT}) AS word FROM names)
+SELECT 'word' AS kind, word AS key, name FROM w UNION SELECT 'abbreviation', word, name FROM w UNION SELECT 'abbreviation', abbr.w, name FROM w JOIN abbr ON k = word
+UNION SELECT 'phonetic', rpad(substr(lower(name), 1, 1) || substr(replace({_RUNS}, '0', ''), 1, 3), 4, '0'), name FROM names""")
 def semantic_keys(spark, sf_dir):
+    """Stems are in `name_stems`; the rest of the keys is here."""
     from loomtext.operators import index as I
 
-    return I.semantic_keys(made_names(spark, sf_dir), M.stem, N.split, N.phonetic, N.expand_words)
+    return I.semantic_keys(made_names(spark, sf_dir), M.stem, N.split, N.phonetic, N.expand_words).where("kind != 'stem'")
+
+
+@query(f"WITH {NAMES}, s AS (SELECT name, lower(name) AS l, {SPLIT} AS w, jaro_winkler_similarity(lower(name), 'user config') AS j FROM names) SELECT name, CASE WHEN l = 'user config' THEN 1.0 ELSE 0.0 END::DOUBLE AS exact, CASE WHEN contains(l, 'user config') THEN 0.9 ELSE 0.0 END::DOUBLE AS substring, round(CASE WHEN j > 0.7 THEN 0.7 * (0.7 + 0.1 * (j - 0.7)) ELSE 0 END, 6)::DOUBLE AS fuzzy, round(0.4 * len(list_filter(['user', 'config'], lambda x: list_contains(w, x))) / 2.0, 6)::DOUBLE AS name_split FROM s")
+def name_plain_layers(spark, sf_dir):
+    return X.layers(made_names(spark, sf_dir), "user config").select("name", "exact", "substring", "fuzzy", "name_split")

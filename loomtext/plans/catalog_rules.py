@@ -138,7 +138,7 @@ def term_domains(spark, sf_dir):
     return V.term_strength(made_names(spark, sf_dir).select(F.explode(V.N.terms(F.col("name"))).alias("term")), CLUSTERS)
 
 
-@query()
+@query(f"WITH {NAMES}, j AS (SELECT a.name, b.name AS other, jaro_winkler_similarity(lower(a.name), lower(b.name)) AS s FROM names a JOIN names b ON a.name <> b.name), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY s DESC, other) AS r FROM j WHERE s >= 0.8) SELECT name, other AS \"similar\", round(s, 6) AS similarity FROM r WHERE r <= 3")
 def similar_names(spark, sf_dir):
     names = made_names(spark, sf_dir)
     return X.similar_names(names, names)

@@ -27,9 +27,10 @@ def duplicate_normalised(spark, sf_dir):
     return D.clusters(texts(spark, sf_dir), F.md5(D.normalised(F.col("text"))))
 
 
-@query()
+@query("SELECT md5('func ID(ID) {' || chr(10) || 'return ID + ' || (p_partkey % 5) || chr(10) || '}') AS hash, count(*) AS n, min(p_partkey) AS first, count(DISTINCT p_size % 3) AS n_exact FROM part GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT p_size % 3) > 1")
 def duplicate_structural(spark, sf_dir):
-    return D.structural_only(texts(spark, sf_dir))
+    text = F.concat(F.lit("// note\n  func f(a"), (F.col("p_size") % 3).cast("string"), F.lit(") {\n\n\treturn b_"), (F.col("p_size") % 3).cast("string"), F.lit(" + "), (F.col("p_partkey") % 5).cast("string"), F.lit("\n}\n"))
+    return D.structural_only(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
 
 
 @query("WITH g AS (SELECT count(*) AS n FROM documents GROUP BY md5(trim(text, ' ')) HAVING count(*) > 1) SELECT count(*) AS n_groups, CAST(sum(n - 1) AS BIGINT) AS n_copies, round(1 / (1 + sum(n - 1) / 10.0), 6) AS maintainability FROM g")
@@ -44,7 +45,9 @@ def token_jaccard(spark, sf_dir):
     return rows.join(after, "a").select("a", "b", D.jaccard(F.col("ta"), F.col("tb")).alias("similarity"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, {_NORMAL} AS n FROM documents), w AS (SELECT doc_id, n, list_distinct(regexp_extract_all(n, '[A-Za-z0-9_]+')) AS t FROM t),
+p AS (SELECT a.doc_id AS new_id, b.doc_id AS old_id, a.n = b.n AS same, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS s FROM w a JOIN w b ON a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND len(a.t) * 1.0 >= 0.8 * len(b.t) AND len(b.t) * 1.0 >= 0.8 * len(a.t))
+SELECT new_id, old_id, CASE WHEN same THEN 1.0 ELSE round(i * 1.0 / greatest(1, s - i), 6) END::DOUBLE AS similarity FROM p WHERE same OR i * 1.0 / greatest(1, s - i) >= 0.8 ORDER BY similarity DESC, new_id, old_id LIMIT 20""")
 def duplicate_new_against_old(spark, sf_dir):
     rows = texts(spark, sf_dir)
     # even documents stand for the new snapshot, odd ones for the old: every document is in one of them

@@ -12,20 +12,161 @@ from pyspark.sql import functions as F
 # Default dictionary entries that results must agree on; more are a parameter.
 ABBREVIATIONS = {
     "auth": ["authenticate", "authorization", "authorized", "login", "signin"],
+    "auth0": ["authentication", "authorization"],
+    "oauth": ["oauth", "authorization", "framework"],
+    "jwt": ["json", "web", "token"],
+    "sso": ["single", "sign", "on"],
+    "mfa": ["multi", "factor", "authentication"],
+    "ldap": ["lightweight", "directory", "access", "protocol"],
+    "api": ["application", "programming", "interface"],
+    "rest": ["representational", "state", "transfer"],
+    "graphql": ["graphql", "query", "language"],
+    "grpc": ["grpc", "remote", "procedure", "call"],
+    "rpc": ["remote", "procedure", "call"],
+    "webhook": ["webhook", "callback"],
     "db": ["database", "databases"],
+    "sql": ["structured", "query", "language"],
+    "orm": ["object", "relational", "mapping"],
+    "dao": ["data", "access", "object"],
+    "dto": ["data", "transfer", "object"],
     "repo": ["repository", "repositories"],
+    "cache": ["caching", "cached"],
+    "redis": ["redis", "cache"],
+    "nosql": ["nosql", "database"],
+    "mongodb": ["mongodb", "document", "database"],
+    "io": ["input", "output"],
+    "fs": ["filesystem", "file", "system"],
+    "path": ["filepath", "pathname"],
     "dir": ["directory"],
     "tmp": ["temporary"],
+    "http": ["hypertext", "transfer", "protocol"],
+    "https": ["hypertext", "transfer", "protocol", "secure"],
+    "tcp": ["transmission", "control", "protocol"],
+    "udp": ["user", "datagram", "protocol"],
+    "dns": ["domain", "name", "system"],
+    "tls": ["transport", "layer", "security"],
+    "ssl": ["secure", "sockets", "layer"],
+    "cert": ["certificate"],
+    "pem": ["privacy", "enhanced", "mail"],
+    "ui": ["user", "interface"],
+    "ux": ["user", "experience"],
+    "html": ["hypertext", "markup", "language"],
+    "css": ["cascading", "style", "sheets"],
+    "dom": ["document", "object", "model"],
+    "spa": ["single", "page", "application"],
+    "ssr": ["server", "side", "rendering"],
+    "csr": ["client", "side", "rendering"],
+    "pwa": ["progressive", "web", "application"],
+    "ci": ["continuous", "integration"],
+    "cd": ["continuous", "deployment"],
+    "devops": ["devops", "development", "operations"],
+    "kubernetes": ["kubernetes", "container", "orchestration"],
+    "k8s": ["kubernetes"],
+    "docker": ["docker", "container"],
+    "container": ["container", "containerization"],
+    "vm": ["virtual", "machine"],
+    "vcs": ["version", "control", "system"],
+    "git": ["git", "version", "control"],
+    "svn": ["subversion", "version", "control"],
+    "test": ["testing", "unit", "test"],
+    "tst": ["test", "testing"],
+    "unit": ["unit", "test"],
+    "e2e": ["end", "to", "end"],
+    "bdd": ["behavior", "driven", "development"],
+    "tdd": ["test", "driven", "development"],
+    "crud": ["create", "read", "update", "delete"],
+    "lint": ["linting", "code", "quality"],
+    "coverage": ["code", "coverage", "test"],
+    "id": ["identifier", "identity"],
+    "uuid": ["universally", "unique", "identifier"],
+    "guid": ["globally", "unique", "identifier"],
+    "oid": ["object", "identifier"],
+    "cli": ["command", "line", "interface"],
+    "gui": ["graphical", "user", "interface"],
+    "url": ["uniform", "resource", "locator"],
+    "uri": ["uniform", "resource", "identifier"],
+    "mime": ["multipurpose", "internet", "mail", "extensions"],
+    "json": ["javascript", "object", "notation"],
+    "xml": ["extensible", "markup", "language"],
+    "yaml": ["yaml", "data", "serialization"],
+    "csv": ["comma", "separated", "values"],
+    "regex": ["regular", "expression"],
+    "utf": ["unicode", "transformation", "format"],
+    "ascii": ["american", "standard", "code", "information", "interchange"],
+    "base64": ["base64", "encoding"],
+    "hash": ["hashing", "hash", "function"],
+    "md5": ["md5", "hash"],
+    "sha": ["sha", "hash"],
+    "bcrypt": ["bcrypt", "password", "hashing"],
+    "log": ["logging", "log"],
+    "metric": ["metrics", "metric"],
+    "trace": ["tracing", "distributed", "trace"],
+    "profile": ["profiling", "performance"],
+    "benchmark": ["benchmark", "performance", "test"],
+    "timeout": ["timeout", "time", "limit"],
+    "retry": ["retry", "attempt"],
+    "queue": ["queue", "message", "queue"],
+    "stream": ["stream", "streaming"],
+    "event": ["event", "event", "driven"],
+    "listener": ["listener", "observer"],
+    "handler": ["handler", "callback"],
+    "middleware": ["middleware", "interceptor"],
+    "plugin": ["plugin", "extension"],
+    "lib": ["library", "libraries"],
+    "pkg": ["package"],
+    "mod": ["module"],
+    "vendor": ["vendor", "vendoring"],
+    "deps": ["dependencies", "dependency"],
+    "lock": ["lockfile", "dependency", "lock"],
+    "idx": ["index"],
+    "cnt": ["count"],
+    "len": ["length"],
+    "str": ["string"],
+    "num": ["number"],
+    "val": ["value"],
     "cfg": ["config", "configuration"],
-    "ctx": ["context"],
-    "mgr": ["manager"],
-    "svc": ["service"],
+    "prod": ["production"],
+    "dist": ["distribution", "distribute"],
+    "temp": ["temporary"],
+    "avg": ["average"],
+    "min": ["minimum"],
+    "max": ["maximum"],
+    "err": ["error"],
+    "msg": ["message"],
     "req": ["request"],
     "resp": ["response"],
-    "msg": ["message"],
-    "usr": ["user"],
-    "pwd": ["password"],
-    "cert": ["certificate"],
+    "res": ["response", "result", "resource"],
+    "async": ["asynchronous"],
+    "util": ["utility", "utilities"],
+    "app": ["application"],
+    "obj": ["object"],
+    "arr": ["array"],
+    "ptr": ["pointer"],
+    "ref": ["reference"],
+    "txn": ["transaction"],
+    "conn": ["connection"],
+    "mgr": ["manager"],
+    "svc": ["service"],
+    "ctx": ["context"],
+    "param": ["parameter"],
+    "arg": ["argument"],
+    "func": ["function"],
+    "var": ["variable"],
+    "const": ["constant"],
+    "env": ["environment"],
+    "dev": ["development"],
+    "impl": ["implementation"],
+    "i": ["index", "iterator"],
+    "j": ["index", "iterator"],
+    "k": ["index", "iterator", "key"],
+    "v": ["value"],
+    "n": ["number", "count"],
+    "x": ["value", "variable"],
+    "y": ["value", "variable"],
+    "z": ["value", "variable"],
+    "g": ["global"],
+    "s": ["static"],
+    "m": ["member"],
 }
 #: Abbreviations that also answer to their long form.
 REVERSIBLE = ("cfg", "ctx", "mgr", "svc", "req", "resp", "msg", "db", "auth")

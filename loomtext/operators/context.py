@@ -166,7 +166,7 @@ def child_methods(symbols: DataFrame) -> DataFrame:
     return hits.groupBy("symbol_id").agg(F.count("*").alias("n_methods"))
 
 
-# Keyword rules of module types, in order.
+#: Default keyword rules of module types, in order.
 MODULES = (("test", "test|spec"), ("api", "api|handler|route|controller"), ("data", "model|entity|store|repo|db"), ("service", "service|manager|core"), ("config", "config|setting"), ("util", "util|helper|common"), ("ui", "view|ui|component|page"))
 
 

@@ -14,7 +14,7 @@ from loomtext.functions import paths as P
 WINDOWS = {"7d": 7, "week": 7, "30d": 30, "month": 30, "90d": 90, "quarter": 90, "1y": 365, "year": 365}
 DEFAULT_WINDOW = "30d"
 #: Files that churn without being worked on.
-EXCLUDED_NAMES = ("package-lock.json", "yarn.lock", "go.sum", "Cargo.lock", "poetry.lock", "pnpm-lock.yaml", "composer.lock", "Gemfile.lock", "CHANGELOG.md")
+EXCLUDED_NAMES = ("CHANGELOG.md", "CHANGELOG", "HISTORY.md", "CHANGES.md", "NEWS.md", "RELEASES.md", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "poetry.lock", "composer.lock", "Gemfile.lock")
 EXCLUDED_GLOBS = ("*.min.js", "*.min.css", "*.map", "*.lock", "vendor/**", "node_modules/**", "dist/**")
 
 

@@ -41,10 +41,10 @@ def compliance(files: DataFrame, violations: DataFrame) -> DataFrame:
 
 # Intents by expressions with a confidence, and keywords.
 INTENTS = {
-    "size_management": ([(r"(?i)max.?(size|len)", 0.8), (r"(?i)limit", 0.6)], ["size", "limit", "capacity"]),
-    "event_handling": ([(r"(?i)on[A-Z]\w+|handler", 0.8), (r"(?i)event|listener", 0.7)], ["event", "handler", "listener"]),
-    "api_design": ([(r"(?i)\b(get|post|put|delete)\b", 0.5), (r"(?i)endpoint|route", 0.8)], ["api", "route", "endpoint"]),
-    "data_management": ([(r"(?i)\b(save|load|store|fetch)\w*", 0.7), (r"(?i)cache|repo", 0.6)], ["data", "store", "cache"]),
+    "size_management": ([(r"(?i)(height|width|size).*\s*[:=]", 0.8), (r"(?i)func.*(Render|View|Layout)", 0.8), (r"(?i)(SetSize|GetSize|Resize)", 0.8)], ["height", "width", "size", "dimensions", "layout", "render"]),
+    "event_handling": ([(r"(?i)func.*(Handle|Process|On)[A-Z]", 0.9), (r"(?i)(KeyPress|MouseClick|Input)", 0.9), (r"(?i)(Event|Handler|Listener)", 0.9)], ["event", "handler", "input", "key", "mouse", "click"]),
+    "data_transformation": ([(r"(?i)func.*(Transform|Convert|Parse|Format)", 0.85), (r"(?i)(Marshal|Unmarshal|Serialize)", 0.85), (r"(?i)(Encode|Decode|Map)", 0.85)], ["transform", "convert", "parse", "format", "map", "serialize"]),
+    "configuration": ([(r"(?i)(Config|Setting|Option)", 0.75), (r"(?i)func.*(Load|Save|Get|Set)Config", 0.75), (r"(?i)(Default|Override|Env)", 0.75)], ["config", "setting", "option", "default", "env", "load", "save"]),
 }
 
 
@@ -61,7 +61,7 @@ def intents(texts: DataFrame, table: dict | None = None) -> DataFrame:
     return texts.select("id", F.explode(F.array_compact(F.array(*each))).alias("i")).select("id", "i.intent", "i.confidence")
 
 
-# Component kinds by path and name keywords, in order of priority.
+#: Default component kinds by name keywords, in order of priority.
 COMPONENTS = (("controller", "controller|handler", 0.9), ("service", "service|manager", 0.85), ("repository", "repo|store|dao", 0.85), ("model", "model|entity|dto", 0.8), ("view", "view|page|template", 0.8), ("middleware", "middleware|filter", 0.8), ("util", "util|helper", 0.6), ("test", "test|spec", 0.7), ("config", "config|setting", 0.7))
 
 
@@ -73,7 +73,7 @@ def components(symbols: DataFrame, least: float = 0.5, k: int = 100) -> DataFram
     return rows.orderBy(F.desc("confidence"), "name").limit(k)
 
 
-# Weights of calls that allocate, of loops, and damping.
+#: Default weights of calls that allocate, and of loops and tests.
 CALL_WEIGHTS = {"make": 2.0, "append": 1.5, "new": 1.0, "copy": 1.0, "sprintf": 1.0, "concat": 1.5, "clone": 2.0, "map": 1.2, "filter": 1.2, "readall": 5.0}
 LOOP_WEIGHT, TEST_FACTOR = 10.0, 0.1
 

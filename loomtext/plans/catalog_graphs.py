@@ -30,10 +30,10 @@ def ring_edges(spark, sf_dir):
 RING = "r AS (SELECT n_nationkey AS source, coalesce(lead(n_nationkey) OVER w, first(n_nationkey) OVER w) AS target, n_regionkey FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)), ring AS (SELECT source, target FROM r WHERE n_regionkey < 3 UNION ALL SELECT source, target FROM r WHERE n_regionkey >= 3 AND source < target)"
 
 
-@query(f"WITH RECURSIVE {EDGES}, w(seed, id, depth) AS (SELECT DISTINCT source, source, 0 FROM e UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 3) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY seed, id")
+@query(f"WITH RECURSIVE {EDGES}, w(seed, id, depth) AS (SELECT DISTINCT source, source, 0 FROM e UNION SELECT w.seed, e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 2) SELECT seed, id, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY seed, id")
 def graph_closure(spark, sf_dir):
     edges = up_edges(spark, sf_dir)
-    return G.closure(edges, edges.select(F.col("source").alias("id")).distinct(), 3)
+    return G.closure(edges, edges.select(F.col("source").alias("id")).distinct(), 2)
 
 
 @query(f"WITH RECURSIVE {EDGES}, w(id, depth) AS (SELECT min(source), 0 FROM e UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 5), l AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT l.id, CAST(l.depth AS INTEGER) AS depth, coalesce(min(p.id), -1) AS parent FROM l LEFT JOIN (SELECT e.target, p.id, p.depth FROM e JOIN l p ON p.id = e.source) p ON p.target = l.id AND p.depth + 1 = l.depth GROUP BY l.id, l.depth")

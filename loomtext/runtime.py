@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -28,7 +29,7 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers that don't share the driver's PYTHONPATH, and Arrow
     batches small, unless the session says how large they are.
 
-    With a shared PYTHONPATH (or a working directory at the repository) nothing is sent.
+    On a local master with the repository on PYTHONPATH (or as working directory) nothing is sent.
     """
     key, default = _BATCH
     if spark.conf.get(key, default) == default:
@@ -36,7 +37,8 @@ def ship_package(spark: SparkSession) -> None:
     home = str(PACKAGE_ROOT.parent)
     places = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     sc = spark.sparkContext
-    if home in places or os.getcwd() == home or getattr(sc, "_loomtext_shipped", False):
+    at_hand = sc.master.startswith("local") and (home in places or os.getcwd() == home)
+    if at_hand or getattr(sc, "_loomtext_shipped", False):
         return
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as z:
@@ -49,11 +51,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder
+    of our own on a local master; on a cluster no folder of one machine would do, so that is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(sc, "_loomtext_dir", None)
     if own is None:
         own = sc._loomtext_dir = "file://" + tempfile.mkdtemp(prefix="loomtext-shared-")
@@ -70,16 +75,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomtext-{label}-{uuid.uuid4().hex}"
+        self.held: set[str] = set()
         atexit.register(self._remove, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         place = f"{self.root}/{name}"
+        self.held.add(name)
         df.write.mode("overwrite").parquet(place)
         return self.spark.read.schema(df.schema).parquet(place)
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(f"{self.root}/{name}")
+            self.held.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drop all other tables, once what is left to compute reads these only."""
+        self.drop(*(self.held - set(names)))
 
     def _remove(self, place: str) -> None:
         try:

@@ -17,7 +17,7 @@ Defined cases: null text, or text without words, has an empty set and is linked
 words than k give the whole sequence as the one shingle. Rows with the same doc_id are one document,
 linked to what any of its texts with words is; a null doc_id is linked with nothing and has a null component
 (and is kept). Repeated rows come out as often as they went in. An empty table gives an empty result.
-Other columns are ignored by `classes` and kept by `keep_first`.
+doc_id is an integer of any width. Other columns are ignored by `classes` and kept by `keep_first`.
 """
 
 from __future__ import annotations
@@ -32,24 +32,27 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import words as W
 from loomtext.llm.frames import column, slices
+from loomtext.llm.joins import join_hot
+from loomtext.llm.memory import claim
 from loomtext.runtime import Scratch, ship_package
 
 
 @dataclass(frozen=True)
 class Params:
-    """Two sets are linked if 100 * intersection >= percent * union. With 40 bands of 6 rows a pair at
-    0.8 shares no band with probability 5e-6; `slack` is over five deviations of the estimate."""
+    """Two sets are linked if 100 * intersection >= percent * union. With 32 bands of 5 rows a pair at
+    0.8 shares no band with probability 3e-6; `slack` is five deviations of the estimate."""
 
     shingle: int = 5
     percent: int = 80
-    bands: int = 40
-    rows: int = 6
+    bands: int = 32
+    rows: int = 5
     bits: int = 4
-    slack: float = 0.15
+    slack: float = 0.17
     pivot_rounds: int = 2
     sketch: int = 512  # lowest set hashes that a block holds of each member
     block: int = 64
     broadcast_ids: int = 2_000_000  # at most this many 8-byte ids are broadcast; more are joined by shuffle
+    hot: int = 50_000  # rows of one key that one task joins; more are salted
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -65,20 +68,22 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def minima(s: np.ndarray, a: np.ndarray) -> np.ndarray:
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    buffer = np.empty((min(len(s), 1024), len(a)), np.uint64)
+    """For each of the odd multipliers, the smallest product with a shingle's hash, in 32 bits."""
+    s, a = (s >> np.uint64(32)).astype(np.uint32), a.astype(np.uint32)
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    buffer = np.empty((min(len(s), 1024), len(a)), np.uint32)
     for at in range(0, len(s), 1024):
         part = s[at : at + 1024]
         got = np.multiply(part[:, None], a[None, :], out=buffer[: len(part)])
         np.minimum(low, got.min(axis=0), out=low)
-    return low
+    return low.astype(np.uint64)
 
 
 def pack(low: np.ndarray, bits: int) -> np.ndarray:
-    """Bit planes: word w of plane j has bit j of minima 64w.. ; slots beyond the last are zero."""
-    values = low >> np.uint64(32)
-    padded = np.zeros(-(-len(values) // 64) * 64, np.uint64)
-    padded[: len(values)] = values
+    """Bit planes of the mixed minima's low bits: word w of plane j has bit j of minima 64w.. ; slots beyond
+    the last are zero."""
+    padded = np.zeros(-(-len(low) // 64) * 64, np.uint64)
+    padded[: len(low)] = W.mix(low * W.MULTIPLIERS[3])
     planes = [np.packbits((padded >> np.uint64(j)).astype(np.uint8) & 1, bitorder="little").view("<u8") for j in range(bits)]
     return np.concatenate(planes).view(np.int64)
 
@@ -89,6 +94,7 @@ def sign(docs: DataFrame, params: Params) -> DataFrame:
     schema = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, planes array<long>"
 
     def run(batches):
+        claim("shingles")
         a, seeds = _multipliers(n), _multipliers(n + params.bands)[n:]
         for part in slices(batches):
             out = {x: [] for x in ("n", "fp1", "fp2", "bands", "planes")}
@@ -133,17 +139,17 @@ def estimate(a, b, params: Params):
     return (matched - F.lit(chance)) / F.lit(1 - chance)
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, name: str, hot: int = 50_000) -> DataFrame:
     """(id, comp) for every node of the edges (a, b): comp is the component's smallest id."""
     pairs = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}-0")
     step, seen = 0, None
     while True:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = join_hot(both.where("v > u"), least, "u", hot, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = scratch.write(large, f"{name}-large-{step}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        small = join_hot(large, low, "u", hot, "v").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         after = scratch.write(small, f"{name}-{step + 1}")
         scratch.drop(f"{name}-{step}", f"{name}-large-{step}")
         pairs, step = after, step + 1
@@ -159,21 +165,31 @@ def _semi(rows: DataFrame, ids: DataFrame, on: str, n: int, limit: int, how: str
     return rows.join(F.broadcast(ids) if n <= limit else ids, on, how)
 
 
-def _across(members: DataFrame, sigs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
+def _across(members: DataFrame, sigs: DataFrame, sets: DataFrame, params: Params, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different components that share a key and may be linked.
 
-    A key's members are dealt into blocks of about `block`; blocks are paired, and a task compares two
-    blocks with numpy: sizes, bit estimate, the pair's first shared band being this key, and the lowest
-    hashes of both sets (exact for sets that fit). Only survivors come out.
+    A key's members are dealt into blocks of about `block`: a component with that many members there fills blocks
+    of its own, the rest share some, whole components at a time. Blocks are paired unless both are of one
+    component, so a large group only meets what is not in it yet, and a task compares two blocks with numpy:
+    sizes, bit estimate, the pair's first shared band being this key, and the lowest hashes of both sets (exact
+    for sets that fit). Only survivors come out.
     """
-    n_blocks = F.ceil(F.col("n") / params.block).cast("int")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).select("key", n_blocks.alias("n_blocks"))
+    per = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    few = per.where(F.col("n") < params.block).groupBy("key").agg(F.ceil(F.sum("n") / params.block).alias("shared"))
+    per = scratch.write(per.join(few, "key", "left"), "per-component")
+    of = members.select("key", "id", "comp").join(per, ["key", "comp"])
+    large = F.col("n") >= params.block
+    number = F.pmod(F.when(large, F.xxhash64("id", F.lit("block"))).otherwise(F.xxhash64("comp", F.lit("block"))), F.when(large, F.ceil(F.col("n") / params.block)).otherwise(F.col("shared")))
+    label = F.concat(F.when(large, F.col("comp").cast("string")).otherwise("shared"), F.lit(":"), number.cast("string"))
+    placed = scratch.write(of.select("key", "id", "comp", label.alias("block"), F.when(large, F.col("comp")).alias("own")), "placed")
     low = sets.select("id", F.slice("set", 1, params.sketch).alias("low"))
-    rows = members.join(sizes, "key").select("key", "id", "comp", F.pmod(F.xxhash64("id", F.lit("block")), F.col("n_blocks")).cast("int").alias("block")).join(sigs, "id").join(low, "id")
+    rows = placed.join(sigs, "id").join(low, "id")
     blocks = rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "comp", "n_shingles", "planes", "bands", "low")).alias("m"))
-    each = sizes.select("key", "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("bx")).select("key", "bx", F.explode(F.sequence("bx", F.col("n_blocks") - 1)).alias("by"))
+    blocks = scratch.write(blocks, "blocks")
+    names = placed.select("key", "block", "own").distinct()
+    each = names.select("key", F.col("block").alias("bx"), F.col("own").alias("ox")).join(names.select("key", F.col("block").alias("by"), F.col("own").alias("oy")), "key").where("bx <= by and (ox is null or oy is null or ox != oy)")
     x, y = blocks.select("key", F.col("block").alias("bx"), F.col("m").alias("x")), blocks.select("key", F.col("block").alias("by"), F.col("m").alias("y"))
-    return each.join(x, ["key", "bx"]).join(y, ["key", "by"]).select("key", "bx", "by", "x", "y").mapInArrow(_comparer(params), "a long, b long").distinct()
+    return each.select("key", "bx", "by").join(x, ["key", "bx"]).join(y, ["key", "by"]).select("key", "bx", "by", "x", "y").mapInArrow(_comparer(params), "a long, b long").distinct()
 
 
 def _comparer(params: Params):
@@ -237,11 +253,12 @@ def link(docs: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame,
     ship_package(docs.sparkSession)
     signed = scratch.write(sign(docs, params), "signed")
     some = signed.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.write(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "bands", "planes")
+    one = F.min_by(F.struct("n_shingles", "bands", "planes"), "doc_id")
+    made = scratch.write(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), one.alias("s")), "classes")
+    classes, reps = made.select("fp1", "fp2", "rep"), made.select(F.col("rep").alias("id"), "s.*")
     keyed = scratch.write(reps.select("id", F.explode("bands").alias("key")), "keyed")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    met = scratch.write(keyed.join(shared, "key").distinct(), "met")
+    met = scratch.write(join_hot(keyed, shared, "key", params.hot, "id"), "met")
     scratch.drop("keyed")
     # how many members a class meets over all its keys: the middle of a group of near copies meets most
     ids = scratch.write(met.groupBy("id").agg(F.sum("n").alias("central")), "ids")
@@ -260,12 +277,12 @@ def link(docs: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame,
         """Links among pairs (a, b): a is the side that many pairs share."""
         a, b = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        good = pairs.join(b, "b").join(a, "a").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * params.percent)
+        good = join_hot(pairs.join(b, "b"), a, "a", params.hot, "b", pairs).where(both * 100 >= (F.size("sa") + F.size("sb") - both) * params.percent)
         return scratch.write(good.select("a", "b").distinct(), f"links-{step}")
 
     def estimated(pairs: DataFrame) -> DataFrame:
-        x, y = sigs.alias("x"), sigs.alias("y")
-        return pairs.join(y, F.col("b") == F.col("y.id")).join(x, F.col("a") == F.col("x.id")).where(near("x", "y")).select("a", "b")
+        side = lambda k: sigs.select(F.col("id").alias(k), F.struct("n_shingles", "planes").alias("x" if k == "a" else "y"))
+        return join_hot(pairs.join(side("b"), "b"), side("a"), "a", params.hot, "b", pairs).where(near("x", "y")).select("a", "b").distinct()
 
     # a doc_id whose rows have different sets stands for all of them
     torn = some.groupBy("doc_id").agg(F.min("fp1").alias("lo"), F.max("fp1").alias("hi")).where("lo < hi").select("doc_id")
@@ -274,7 +291,7 @@ def link(docs: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame,
     if links.isEmpty():
         links = None
     else:
-        labels = scratch.write(components(scratch, links, "comp-torn"), "labels-torn")
+        labels = scratch.write(components(scratch, links, "comp-torn", params.hot), "labels-torn")
     for step in range(params.pivot_rounds + 1):
         now = members.withColumn("comp", F.col("id")) if labels is None else members.join(labels, "id", "left").select("key", "id", "central", F.coalesce("comp", "id").alias("comp"))
         last = step == params.pivot_rounds
@@ -285,28 +302,30 @@ def link(docs: DataFrame, params: Params, scratch: Scratch) -> tuple[DataFrame,
         if open_keys.isEmpty():
             break
         if last:
-            pairs = _across(now.join(open_keys.select("key"), "key"), sigs, sets, params)
+            pairs = _across(scratch.write(join_hot(now, open_keys.select("key"), "key", params.hot, "id"), "still-open"), sigs, sets, params, scratch)
         else:
-            pairs = now.join(open_keys, "key").where(F.col("comp") != F.col("p.comp")).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
-            pairs = estimated(pairs)
+            pairs = join_hot(now, open_keys, "key", params.hot, "id").where(F.col("comp") != F.col("p.comp")).select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct()
+            pairs = estimated(scratch.write(pairs, f"candidates-{step}"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         pairs = scratch.write(pairs, f"pairs-{step}")
+        scratch.drop(f"candidates-{step}", f"open-{step}")
         tested = pairs if tested is None else tested.union(pairs)
         found = confirm(pairs, step)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
-            merged = components(scratch, links, f"comp-{step}")
+            merged = components(scratch, links, f"comp-{step}", params.hot)
             labels = scratch.write(merged, f"labels-{step}")
             links = labels.select(F.col("id").alias("a"), F.col("comp").alias("b"))
-    if labels is None:
-        return signed, classes.withColumn("comp", F.col("rep"))
-    return signed, classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "rep", F.coalesce("comp", "rep").alias("comp"))
+    final = classes.withColumn("comp", F.col("rep")) if labels is None else classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "rep", F.coalesce("comp", "rep").alias("comp"))
+    of = scratch.write(final, "of")
+    scratch.keep("signed", "of")
+    return signed, of
 
 
-def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
+def classes(docs: DataFrame, params: Params = Params(), scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
     signed, of = link(docs, params, scratch)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     rows = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(of.select("fp1", "fp2", "comp"), ["fp1", "fp2"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
@@ -316,7 +335,8 @@ def classes(docs: DataFrame, params: Params = Params()) -> DataFrame:
 def keep_first(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """The rows of each component's smallest doc_id, once, with all their columns."""
     scratch = Scratch(docs.sparkSession, "near-keep")
-    judged = scratch.write(classes(docs, params), "judged")
+    judged = scratch.write(classes(docs, params, scratch), "judged")
+    scratch.keep("judged")
     gone = scratch.write(judged.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     many = scratch.write(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "many")
     rest = _semi(docs, gone, "doc_id", gone.count(), params.broadcast_ids, "left_anti")

@@ -72,6 +72,7 @@ def test_chains_and_groups_against_brute_force(spark):
     rnd.shuffle(rows)
     check(spark, rows, N.Params(shingle=4))
     check(spark, rows, N.Params(shingle=5, pivot_rounds=1))
+    check(spark, rows, N.Params(shingle=4, pivot_rounds=0, hot=5, block=4))
 
 
 def test_the_estimate_follows_the_similarity(spark):

@@ -44,7 +44,7 @@ def examples(conversations: DataFrame) -> DataFrame:
     text = escape(F.coalesce("text", F.lit("")))
     role = F.coalesce("role", F.lit(""))
     head = F.concat(F.lit(OPEN), escape(role, role=True), F.lit(AFTER_ROLE))
-    turn = F.struct("turn", role.alias("role"), F.concat(head, text, F.lit(CLOSE)).alias("line"), F.char_length(head).alias("before"), F.char_length(text).alias("size"))
+    turn = F.struct("turn", role.alias("role"), F.coalesce("text", F.lit("")).alias("plain"), F.concat(head, text, F.lit(CLOSE)).alias("line"), F.char_length(head).alias("before"), F.char_length(text).alias("size"))
     turns = conversations.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     n = F.size("turns")
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: (F.element_at("turns", i)["role"] == ASSISTANT) | (i == n))

@@ -8,8 +8,9 @@ Scoring takes the sparse (document, bucket) rows of a batch and sums matrix colu
 sums are of integers, so they don't depend on how rows are batched.
 
 Defined cases: null text or a text without letters gives `und` and score 0; so does every text when
-nothing was learned. A null or empty `lang` is not learned from. Repeated rows are scored and learned
-once for each row. An empty table gives an empty result. Other columns are ignored.
+nothing was learned. A null `lang` is not learned from; an empty one is a language like any other. Repeated rows are scored and learned
+once for each row. Texts are cut into pieces of bounded size that overlap by one n-gram less a letter, so that
+no n-gram is lost or counted twice. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from loomtext.llm.frames import column, slices
 from loomtext.runtime import ship_package
 
 UNDETERMINED = "und"
-#: Code points handled at once; longer texts are cut at a non-letter, which loses no n-gram.
+#: Code points handled at once, about.
 PIECE = 400_000
 SEPARATOR = 32
 SCALE = 1 << 16
@@ -58,23 +59,27 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.bool_, 0x110000)
 
 
-def _pieces(text: str):
-    """The text's code points, in pieces cut at non-letters."""
+def _pieces(text: str, orders: tuple[int, ...]):
+    """(code points, how many of them the piece before has): cut at a non-letter where there is one, else within a
+    run of letters, with an overlap of the longest order less one."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    held = 0
     while len(points) > PIECE:
-        gaps = np.flatnonzero(~_letters()[points[:PIECE]])
-        cut = int(gaps[-1]) if len(gaps) and gaps[-1] else PIECE
-        yield points[:cut]
-        points = points[cut:]
-    yield points
+        gaps = np.flatnonzero(~_letters()[points[max(held, 1) : PIECE]])
+        cut = int(gaps[-1]) + max(held, 1) if len(gaps) else PIECE
+        yield points[:cut], held
+        held = 0 if len(gaps) else max(orders) - 1
+        points = points[cut - held :]
+    yield points, held
 
 
 def grams(texts: list[str | None], orders: tuple[int, ...], bits: int):
     """Yields (rows, buckets) of bounded size: which text each n-gram is of, and its bucket."""
     held, rows, size = [], [], 0
     for i, text in enumerate(texts):
-        for piece in _pieces(text) if text else ():
-            held.append(piece)
+        pieces = list(_pieces(text, orders)) if text else []
+        for k, (piece, again) in enumerate(pieces):
+            held.append((piece, again, k + 1 < len(pieces) and pieces[k + 1][1] > 0))
             rows.append(i)
             size += len(piece) + 2
             if size > PIECE:
@@ -85,14 +90,30 @@ def grams(texts: list[str | None], orders: tuple[int, ...], bits: int):
 
 
 def _hashed(pieces, rows, orders, bits):
+    """n-grams of pieces (code points, how many at its start stood at the end of the one before, whether its run
+    goes on in the next): a separator is put at each end but where a run of letters was cut, and n-grams that lie
+    within the overlap are left out, as the piece before has them."""
     gap = np.array([SEPARATOR], np.uint32)
-    points = np.concatenate([x for p in pieces for x in (gap, p, gap)])
-    of = np.repeat(np.array(rows, np.int32), [len(p) + 2 for p in pieces])
+    points = np.concatenate([x for p, again, on in pieces for x in (gap, p, gap)])
+    size = [len(p) + 2 for p, _, _ in pieces]
+    of = np.repeat(np.array(rows, np.int32), size)
+    # 0: whole; 1: the place of a cut, no n-gram may hold it; 2: overlap, no n-gram may end in it
+    mark = np.zeros(len(points), np.int8)
+    at = 0
+    for (p, again, on), n in zip(pieces, size, strict=True):
+        if again:
+            mark[at] = 1
+            mark[at + 1 : at + 1 + again] = 2
+        if on:
+            mark[at + n - 1] = 1
+        at += n
     letter = _letters()[points]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first separator of each run
     keep[0] = True
-    c, of, letter = np.where(letter, points, SEPARATOR)[keep].astype(np.uint64), of[keep], letter[keep]
+    keep |= mark == 1
+    c, of, mark, letter = np.where(letter, points, SEPARATOR)[keep].astype(np.uint64), of[keep], mark[keep], letter[keep]
+    cut = np.concatenate(([0], np.cumsum(mark == 1)))
     out_rows, out = [], []
     for n in orders:
         m = len(c) - n + 1
@@ -107,6 +128,7 @@ def _hashed(pieces, rows, orders, bits):
             good &= letter[j : j + m]
         if n == 2:
             good &= letter[:m] | letter[1 : 1 + m]
+        good &= (cut[n : n + m] == cut[:m]) & (mark[n - 1 : n - 1 + m] != 2)
         row = np.where(letter[:m], of[:m], of[min(1, n - 1) : min(1, n - 1) + m])
         out_rows.append(row[good])
         out.append((h[good] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits))
@@ -116,7 +138,7 @@ def _hashed(pieces, rows, orders, bits):
 def fit(labelled: DataFrame, params: Params = Params()) -> Model:
     """Learn from rows (key, text, lang); the key only chooses the bounded sample."""
     ship_package(labelled.sparkSession)
-    rows = labelled.select("key", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != ""))
+    rows = labelled.select("key", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = tuple(sorted(sizes))
     if not langs:

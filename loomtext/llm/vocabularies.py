@@ -18,8 +18,6 @@ from functools import cache, cached_property
 import numpy as np
 import xxhash
 
-from loomtext.llm.memory import claim
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that a worker's table remembers before it starts anew; some 300 bytes each.

@@ -71,3 +71,22 @@ def test_scores_are_bayes(spark):
         (lang, sure), = L.score(model, [text])
         assert lang == ("x" if x > y else "y")
         assert sure == pytest.approx(1 / (1 + math.exp(-abs(x - y))), abs=1e-4)
+
+
+def test_long_runs_of_letters_lose_no_gram(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 105, n))) for n in (100, 49, 50, 51, 52, 53, 99, 149, 151)] + ["ab " + "x" * 120 + " cd", "日" * 130 + "!" + "é" * 70]
+
+    def counts():
+        total = np.zeros((len(texts), 1 << 12), np.int64)
+        for rows, buckets in L.grams(texts, (1, 2, 3), 12):
+            np.add.at(total, (rows, buckets), 1)
+        return total
+
+    whole = counts()
+    assert whole[0].sum() == 100 + 101 + 100
+    for piece in (50, 7, 51):
+        monkeypatch.setattr(L, "PIECE", piece)
+        assert (counts() == whole).all()

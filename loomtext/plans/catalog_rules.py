@@ -116,11 +116,11 @@ def dependency_depth(spark, sf_dir):
     return G.dependency_depth(ring_edges(spark, sf_dir), 8)
 
 
-@query("WITH c AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS interface FROM lineitem), i AS (SELECT DISTINCT l_partkey AS interface, l_orderkey % 1000 AS implementor FROM lineitem), n AS (SELECT interface, count(*) AS n FROM i GROUP BY interface) SELECT source, implementor AS target, round(1.0 / n, 6)::DOUBLE AS confidence FROM c JOIN i USING (interface) JOIN n USING (interface)")
+@query("WITH c AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS interface FROM lineitem), i AS (SELECT DISTINCT l_partkey AS interface, l_linenumber AS implementor FROM lineitem), n AS (SELECT interface, count(*) AS n FROM i GROUP BY interface) SELECT source, implementor AS target, round(1.0 / n, 6)::DOUBLE AS confidence FROM c JOIN i USING (interface) JOIN n USING (interface)")
 def interface_attribution(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     calls_ = rows.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).distinct()
-    return G.through_implementations(calls_, rows.select(F.col("l_partkey").alias("interface"), (F.col("l_orderkey") % 1000).alias("implementor")).distinct())
+    return G.through_implementations(calls_, rows.select(F.col("l_partkey").alias("interface"), F.col("l_linenumber").alias("implementor")).distinct())
 
 
 CLUSTERS = {"network": ["http", "server", "response"], "user": ["user", "msg"], "limits": ["max", "min"]}

@@ -16,7 +16,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality.measure(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

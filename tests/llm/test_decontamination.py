@@ -1,5 +1,6 @@
 import re
 from collections import defaultdict
+from functools import cache
 from itertools import product
 
 import pytest
@@ -79,6 +80,7 @@ def test_ids_of_any_type_and_repeats(spark):
     assert [tuple(r) for r in D.keep_clean(docs, items).collect()] == [("a", FILL)]
 
 
+@cache
 def kept_words(text):
     """(place, core, number, unit, title, opens) of the words with a core, by plain expressions."""
     out, before = [], "."
@@ -96,9 +98,10 @@ def kept_words(text):
     return out
 
 
-def brute_windows(words, view, k=5):
+@cache
+def brute_windows(text, view, k=5):
     """[(place in words, {(tokens, slots)}, own tokens)]: every reading of each window."""
-    out = []
+    words, out = kept_words(text), []
     for p in range(len(words) - k + 1):
         choices = []
         for _, low, number, unit, title, opens in words[p : p + k]:
@@ -121,13 +124,13 @@ def brute(text, item):
     a, b, best = kept_words(text), kept_words(item), 0.0
     reach = 2 * (b[-1][0] - b[0][0] + 1)
     for view in ("typed", "plain"):
-        items = brute_windows(b, view)
+        items = brute_windows(item, view)
         need = len({own for _, _, own in items})
         where = defaultdict(list)
         for q, made, own in items:
             for tokens, slots in made:
                 where[tokens].append((q, own, slots))
-        hits = sorted({(p, q, own, slots) for p, made, _ in brute_windows(a, view) for tokens, _ in made for q, own, slots in where[tokens]})
+        hits = sorted({(p, q, own, slots) for p, made, _ in brute_windows(text, view) for tokens, _ in made for q, own, slots in where[tokens]})
         met = {(p, q) for p, q, *_ in hits}
         for p0, q0 in {(p, q) for p, q in met if (p - 1, q - 1) not in met}:
             some = [h for h in hits if a[p0][0] <= a[h[0]][0] < a[p0][0] + reach]

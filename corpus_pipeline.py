@@ -1,4 +1,11 @@
-"""documents -> quality rules -> MinHash near-dedup -> benchmark decontamination -> secret scan -> packing."""
+"""documents -> quality rules -> MinHash near-dedup -> benchmark decontamination -> secret scan -> packing.
+
+Defined cases: rows with null, empty or very short text fail the quality rules; copies of a text, near or exact,
+leave their smallest doc_id; rows with a null doc_id are linked with nothing and stay; repeated rows of one doc_id
+leave one. Texts are read whole at every stage. Columns of documents, any others too, come through to the last
+stage but one. An empty table gives an empty result. Each stage's table is written to the shared folder and the one
+before it removed, so lost executors cost a stage at most.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +17,7 @@ from loomtext.runtime import Scratch, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +45,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep(name)
     return docs
 
 

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Spark's own limit of an Arrow batch, and ours: whole texts are rows, and each batch is held on both sides.
-_BATCH, BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"), str(4 << 20)
+_BATCH, BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"), str(2 << 20)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -15,13 +15,12 @@ _held: dict[str, Callable[[], None]] = {}
 
 
 def claim(kind: str, release: Callable[[], None] = lambda: None) -> None:
-    """Free everything of other kinds; `release` will free this kind when another one claims."""
-    others = [k for k in _held if k != kind]
-    for other in others:
+    """Free everything of other kinds, and pages that earlier tasks left; `release` will free this kind when
+    another one claims. Called at the start of a task."""
+    for other in [k for k in _held if k != kind]:
         _held.pop(other)()
     _held[kind] = release
-    if others:
-        give_back()
+    give_back()
 
 
 def give_back() -> None:

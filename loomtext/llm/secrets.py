@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from loomtext.llm.frames import column, slices
+from loomtext.llm.memory import claim
 from loomtext.runtime import ship_package
 
 #: Bytes of text in a block of the index, about.
@@ -226,6 +227,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches):
+        claim("secrets")
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for part in slices(batches):
             found = [[{"start": a, "end": b, "kind": k} for a, b, k in x] for x in find_all(column(part, "text"), rules or RULES)]
@@ -257,6 +259,7 @@ def redact(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches):
+        claim("secrets")
         for part in slices(batches):
             texts = column(part, "text")
             found = find_all(texts)

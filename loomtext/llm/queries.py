@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, and the SQL of those that SQL can express."""
+"""The registered queries of the thirteen operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import balanced_packing, chat, decontamination, language_id, near_dups, quality, repeats, secrets, sharding, token_matrix
+from loomtext.llm import alignment, balanced_packing, chat, decontamination, language_id, near_dups, paragraphs, quality, repeats, secrets, sharding, token_matrix, whitening
 from loomtext.runtime import table
 
 SHARDS = 24
@@ -68,7 +68,19 @@ def op10_cost_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_tokenizer_fertility, op3_bbit_minhash, op4_prefix_targets, op5_token_matrix, op6_template_leaks, op7_rendezvous, op8_trigram_secrets, op9_sparse_suffixes, op10_cost_balanced)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents")).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def op12_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_tokenizer_fertility, op3_bbit_minhash, op4_prefix_targets, op5_token_matrix, op6_template_leaks, op7_rendezvous, op8_trigram_secrets, op9_sparse_suffixes, op10_cost_balanced, op11_token_alignment, op12_paragraph_sketch, op13_embedding_whitening)}
 
 #: Roles hold no mark or colon in the tables, so their escaping is left out here.
 _OP4 = r"""
@@ -118,4 +130,29 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM summed JOIN won USING (r)
 """
 
-ORACLE_SQL = {"op4_prefix_targets": _OP4, "op7_rendezvous": _OP7}
+#: Peeling recovers differences whole, so likeness is that of the sets of digests.
+_OP12 = rf"""
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+paired AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM raw),
+edits AS (SELECT *, length(text) AS n, left(text, CAST(length(text) - length(text) // 2 AS BIGINT)) || left(next, CAST(length(text) // 2 AS BIGINT)) AS edited FROM paired),
+pieces AS (
+  SELECT doc_id, n, edited, list_distinct(regexp_extract_all(text, '{paragraphs.PATTERN}')) AS a,
+    list_distinct(regexp_extract_all(edited, '{paragraphs.PATTERN}')) AS b, list_distinct(regexp_extract_all(next, '{paragraphs.PATTERN}')) AS c FROM edits),
+keyed AS (
+  SELECT doc_id, n, edited, [CAST(('0x' || md5(p)[1:15]) AS BIGINT) FOR p IN a] AS a,
+    [CAST(('0x' || md5(p)[1:15]) AS BIGINT) FOR p IN b] AS b, [CAST(('0x' || md5(p)[1:15]) AS BIGINT) FOR p IN c] AS c FROM pieces),
+side AS (SELECT doc_id, 'a' AS side, unnest(a) AS d FROM keyed UNION ALL SELECT doc_id, 'b', unnest(b) FROM keyed),
+hits AS (SELECT doc_id, side, d, ((d >> (4 * p)) & 15) + 16 * p AS cell FROM side, (SELECT unnest([0, 1, 2]) AS p)),
+filled AS (SELECT doc_id, side, cell, count(*) AS m, bit_xor(d) AS k, bit_xor(d % {paragraphs.CHECK}) AS c FROM hits GROUP BY ALL),
+places AS (SELECT doc_id, side, cell FROM keyed, (SELECT unnest(['a', 'b']) AS side), (SELECT unnest(range(48)) AS cell)),
+marks AS (
+  SELECT doc_id, side, to_base64(unhex(string_agg(printf('%08x%016x%08x', coalesce(m, 0), coalesce(k, 0), coalesce(c, 0)), '' ORDER BY cell))) AS mark
+  FROM places LEFT JOIN filled USING (doc_id, side, cell) GROUP BY doc_id, side)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, x.mark AS fingerprint, y.mark AS edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) END AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, c))::DOUBLE / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next,
+  CAST(len(a) AS BIGINT) AS n_paragraphs
+FROM keyed JOIN marks x USING (doc_id) JOIN marks y USING (doc_id) WHERE x.side = 'a' AND y.side = 'b'
+"""
+
+ORACLE_SQL = {"op4_prefix_targets": _OP4, "op7_rendezvous": _OP7, "op12_paragraph_sketch": _OP12}

@@ -74,6 +74,7 @@ class ByteLevel:
         else:
             with open(self._place, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self._ranks = ranks
         self._ordinary = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._spaced = np.zeros(max(ranks.values()) + 1, np.bool_)
         self._spaced[[i for name, i in ranks.items() if name.startswith(b" ")]] = True
@@ -105,6 +106,18 @@ class ByteLevel:
             return np.array(self._ordinary(text), "<u4").tobytes()
         return b"".join(np.array(self._ordinary(part), "<u4").tobytes() for part in long_parts(text))
 
+    def tokens(self) -> list[bytes]:
+        """The bytes of each id; ids of special tokens have none."""
+        out = [b""] * (max(self._ranks.values()) + 1)
+        for name, i in self._ranks.items():
+            out[i] = name
+        return out
+
+    def encode_plain(self, text: str) -> bytes:
+        """As `encode`, but special tokens' strings are ordinary text."""
+        parts = [text] if len(text) <= LONG_TEXT else long_parts(text)
+        return b"".join(np.array(self._ordinary(part), "<u4").tobytes() for part in parts)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]
 

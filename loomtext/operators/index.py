@@ -17,6 +17,8 @@ from loomtext.runtime import ship_package
 
 #: Code points of a text that are looked at at once.
 PIECE = 1 << 20
+#: Trigrams of small files that leave together.
+ROWS = 1 << 16
 
 
 def trigrams(corpus: DataFrame) -> DataFrame:
@@ -26,10 +28,16 @@ def trigrams(corpus: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):  # one file's trigrams leave at a time
+            held, rows = [], 0
+            for i in range(batch.num_rows):
                 codes = distinct_trigrams(batch.column(1)[i].as_py() or "")
-                if len(codes):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(codes), i))), strings(codes)], names=schema.names)
+                held.append((i, codes))
+                rows += len(codes)
+                if rows >= ROWS or i == batch.num_rows - 1:
+                    which = np.repeat([i for i, _ in held], [len(c) for _, c in held]).astype(np.int64)
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), strings(np.concatenate([c for _, c in held]))], names=schema.names)
+                    held, rows = [], 0
 
     return corpus.select("file_id", F.lower("content")).mapInArrow(run, schema).select("trigram", "file_id")
 
@@ -60,10 +68,13 @@ def strings(codes: np.ndarray) -> pa.Array:
 
 def read_trigrams(spark, path: str, pattern: str, buckets: int = 64) -> DataFrame:
     """The rows of a written table that a pattern's trigrams can be in: only their buckets are read."""
-    rows = spark.read.parquet(path)
     grams = pattern_trigrams(pattern)
-    if not grams:
-        return rows.select("trigram", "file_id")
+    return read_grams(spark, path, grams, buckets) if grams else spark.read.parquet(path).select("trigram", "file_id")
+
+
+def read_grams(spark, path: str, grams: list[str], buckets: int = 64) -> DataFrame:
+    """The rows of a written table with one of these trigrams; only their buckets are read."""
+    rows = spark.read.parquet(path)
     hashed = spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int")).distinct().collect()
     return rows.where(F.col("bucket").isin([r[0] for r in hashed]) & F.col("trigram").isin(grams)).select("trigram", "file_id")
 

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
-from loomtext.operators import index as I
+from loomtext.operators import regexplan as R
 from loomtext.operators import relations as J
 from loomtext.sources import corpus as C
 
+
 @dataclass(frozen=True)
 class Options:
     regex: bool = False
@@ -37,45 +37,48 @@ def quoted(literal: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", literal) if literal else ""
 
 
+#: What makes a pattern more than a literal, what looks like a regex, and what a simple one may not hold.
+_META = r"[.^$*+?()\[\]{}|\\]"
+_LOOKS = r"\||\[[^\]]+\]|\([^)]*\)|^\^|\$$|\\[bBdDwWsS.]|[^\s][*+?](?:$|[^\w])|\{\d+(?:,\d*)?\}|\.[*+]"
+_HARD = r"\(\?[=!<imsx]|\\[1-9]"
+#: Alternatives and nesting of a simple pattern.
+MOST_BARS, DEEPEST = 10, 5
+
+
 def is_literal(pattern: str) -> bool:
     """A regex without metacharacters is searched as a literal."""
-    return not re.search(r"[.^$*+?()\[\]{}|\\]", pattern)
+    return not re.search(_META, pattern)
+
+
+def literal_pattern(pattern: Column) -> Column:
+    """is_literal for a column of patterns."""
+    return ~pattern.rlike(_META)
 
 
-def looks_like_regex(pattern: str) -> bool:
-    return bool(re.search(r"\||\[[^\]]+\]|\([^)]*\)|^\^|\$$|\\[bBdDwWsS.]|[^\s][*+?](?:$|[^\w])|\{\d+(?:,\d*)?\}|\.[*+]", pattern))
+def regex_like(pattern: Column) -> Column:
+    """Whether patterns look like regexes."""
+    return pattern.rlike(_LOOKS)
 
 
-def is_simple(pattern: str) -> bool:
+def simple_pattern(pattern: Column) -> Column:
     """Balanced, at most five deep, no look-around, back-references or inline flags, no alternation of more
     than ten parts."""
-    if re.search(r"\(\?[=!<imsx]|\\[1-9]", pattern) or pattern.count("|") > 10:
-        return False
-    depth = deepest = 0
-    for i, c in enumerate(pattern):
-        if i and pattern[i - 1] == "\\":
-            continue
-        depth += (c == "(") - (c == ")")
-        deepest = max(deepest, depth)
-        if depth < 0:
-            return False
-    return depth == 0 and deepest <= 5
-
-
-def literals(pattern: str, least: int = 3) -> list[str]:
-    """Literals of which any match holds at least one; empty if there is no such set."""
-
-    def runs(branch: str) -> list[str]:
-        while re.search(r"\([^()]*\)(?:[*?]|\{0)", branch):  # optional groups hold nothing for sure
-            branch = re.sub(r"\([^()]*\)(?:[*?]|\{0[^}]*\})", ".", branch)
-        bare = re.sub(r"\[[^\]]*\][*?]?|\\.[*?]?|\(\?[:=!<]|.[*?]|.\{0[^}]*\}|[()^$.]", "\0", branch)
-        return [r for r in re.split(r"[\0+|{}]|\{[^}]*\}", bare) if len(r) >= least]
-
-    if "(" not in pattern and "|" in pattern:
-        parts = [runs(b) for b in pattern.split("|")]
-        return [max(p, key=len) for p in parts] if all(parts) else []
-    found = runs(pattern) if "|" not in pattern else []
-    return [max(found, key=len)] if found else []
+    brackets = F.split(F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"[^()]", ""), "")
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"), F.lit(0).alias("lowest"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.greatest(s["deepest"], depth).alias("deepest"), F.least(s["lowest"], depth).alias("lowest"))
+
+    nested = F.aggregate(brackets, zero, step, lambda s: (s["depth"] == 0) & (s["lowest"] == 0) & (s["deepest"] <= DEEPEST))
+    return ~pattern.rlike(_HARD) & (F.regexp_count(pattern, F.lit(r"\|")) <= MOST_BARS) & nested
+
+
+def needed(pattern: str, o: Options) -> R.Condition:
+    """What a text must hold for the pattern to match in it."""
+    if o.regex:
+        return R.condition(pattern, o.ignore_case)
+    return R.literal(pattern, o.ignore_case)
 
 
 def java_regex(pattern: str, o: Options) -> str:
@@ -105,16 +108,9 @@ def path_filtered(corpus: DataFrame, o: Options) -> DataFrame:
 
 
 def prefilter(corpus: DataFrame, pattern: str, o: Options) -> DataFrame:
-    """Files that can match: the literal, or one of a regex's literals, before lines are cut."""
-    if o.invert or o.ignore_case:
-        return corpus
-    needles = [pattern] if not o.regex else literals(pattern)
-    if not needles:
-        return corpus
-    some = F.lit(False)
-    for n in needles:
-        some = some | F.contains("content", F.lit(n))
-    return corpus.where(some)
+    """Files that can match, by the literals that any match holds, before lines are cut."""
+    test = None if o.invert else R.in_text(needed(pattern, o), F.col("content"))
+    return corpus if test is None else corpus.where(test)
 
 
 def matching_lines(corpus: DataFrame, pattern: str, o: Options = Options()) -> DataFrame:
@@ -205,13 +201,8 @@ def files_with_all(corpus: DataFrame, patterns: list[str], o: Options = Options(
 
 
 def index_candidates(trigrams: DataFrame, pattern: str, o: Options = Options()) -> DataFrame | None:
-    """file_id of files that can match by a trigram table: those that hold the literal, or any of a regex's
-    literals; None if the table can't tell."""
-    needles = [pattern] if not o.regex else literals(pattern)
-    if o.invert or not needles or not all(I.pattern_trigrams(n) for n in needles):
-        return None
-    found = [I.candidates(trigrams, n) for n in needles]
-    return found[0] if len(found) == 1 else reduce(DataFrame.union, found).distinct()
+    """file_id of files that can match by a trigram table; None if the table can't tell."""
+    return None if o.invert else R.candidates(trigrams, needed(pattern, o))
 
 
 def by_trigrams(corpus: DataFrame, trigrams: DataFrame, pattern: str, o: Options = Options()) -> DataFrame:

@@ -45,13 +45,26 @@ def plan_index(spark, sf_dir):
     return planner.run(corpus, "leau", trigrams=kept_trigrams(spark, corpus, "leau")).select("path", "line")
 
 
+def _indexed(spark, sf_dir, pattern, **options):
+    """A regex search that reads the buckets of the pattern's trigrams from a written table."""
+    corpus, place = C.files(spark, sf_dir), f"{Scratch(spark, 'trigrams').root}/table"
+    I.write_trigrams(I.trigrams(corpus), place, 16)
+    return planner.run(corpus, pattern, S.Options(regex=True, **options), place, 16).select("path", "line")
+
+
 @query(f"WITH {LINES} SELECT path, line FROM cut WHERE regexp_matches(text, 'leau|keit[a-z]+')")
 def plan_index_regex(spark, sf_dir):
-    corpus = C.files(spark, sf_dir)
-    place = f"{Scratch(spark, 'trigrams').root}/table"
-    I.write_trigrams(I.trigrams(corpus), place, 16)
-    rows = planner.run(corpus, "leau|keit[a-z]+", S.Options(regex=True), spark.read.parquet(place))
-    return rows.select("path", "line")
+    return _indexed(spark, sf_dir, "leau|keit[a-z]+")
+
+
+@query(f"WITH {LINES} SELECT path, line FROM cut WHERE regexp_matches(text, '(men|ver)(tre|tie|ten)')")
+def plan_index_alternatives(spark, sf_dir):
+    return _indexed(spark, sf_dir, "(men|ver)(tre|tie|ten)")
+
+
+@query(f"WITH {LINES} SELECT path, line FROM cut WHERE regexp_matches(text, 'the[^.]*LEAU|KEIT', 'i')")
+def plan_index_ignore_case(spark, sf_dir):
+    return _indexed(spark, sf_dir, "(?i)the[^.]*LEAU|\\QKEIT\\E")
 
 
 @query(f"WITH {LINES} SELECT path, line FROM cut WHERE contains(text, 'ment') AND NOT starts_with(path, 'src1/') AND NOT starts_with(ltrim(text, ' '), '//')")
@@ -59,13 +72,16 @@ def search_path_excluded(spark, sf_dir):
     return S.matching_lines(C.files(spark, sf_dir), "ment", S.Options(exclude=("src1/**",))).select("path", "line")
 
 
-_PATTERNS = {"foo": (True, False, True, "foo"), "foo.*bar": (False, True, True, "foo"), "abc|defg": (False, True, True, "abc,defg"), "(a)(b)\\1": (False, True, False, ""), "(?=x)y": (False, True, False, ""), "[a-z]+tail": (False, True, True, "tail"), "a+b": (False, False, True, ""), "^start$": (False, True, True, "start")}
+#: Of each part's name a pattern of one of eight forms, and whether it is literal, looks like a regex and is simple.
+_FORMS = (("{w}", True, False, True), ("{w}.*{w}", False, True, True), ("{w}|x{w}", False, True, True), ("({w})(b)\\1", False, True, False), ("(?={w})y", False, True, False), ("[a-z]+{w}", False, True, True), ("^{w}$", False, True, True), ("{w}(a(b(c(d(e(f))))))", False, True, False))
+_FORM_ROWS = ", ".join(f"({i}, '{f}', {a}, {b}, {c})" for i, (f, a, b, c) in enumerate(_FORMS))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {a}, {b}, {c}, '{d}')" for p, (a, b, c, d) in _PATTERNS.items()) + ") v(pattern, literal, looks_like_regex, simple, literals)")
+@query(f"SELECT p_partkey AS id, replace(form, '{{w}}', split_part(p_name, ' ', 1)) AS pattern, literal, looks_like_regex, simple FROM part JOIN (VALUES {_FORM_ROWS}) v(i, form, literal, looks_like_regex, simple) ON p_partkey % 8 = i")
 def pattern_analysis(spark, sf_dir):
-    rows = [(p, S.is_literal(p), S.looks_like_regex(p), S.is_simple(p), ",".join(S.literals(p))) for p in _PATTERNS]
-    return spark.createDataFrame(rows, "pattern string, literal boolean, looks_like_regex boolean, simple boolean, literals string")
+    forms = F.element_at(F.array(*[F.lit(f) for f, *_ in _FORMS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(forms, F.lit("{w}"), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("pattern"))
+    return rows.select("id", "pattern", S.literal_pattern(F.col("pattern")).alias("literal"), S.regex_like(F.col("pattern")).alias("looks_like_regex"), S.simple_pattern(F.col("pattern")).alias("simple"))
 
 
 @query("SELECT 'foo bar' AS pattern, '(^|/)src/,\\.go$,a/*.py' AS include, false AS use_index UNION ALL SELECT 'abc', '', true UNION ALL SELECT 'ab', '', false")

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from loomtext.operators import index as I
+from loomtext.operators import regexplan as R
 from loomtext.operators import search as S
 
 MOST_PATTERN = 1000
@@ -42,13 +44,15 @@ def plan(text: str, options: S.Options = S.Options(), index_at_hand: bool = Fals
         raise ValueError(f"a pattern has at most {MOST_PATTERN} characters")
     if o.regex and S.is_literal(pattern):
         o = replace(o, regex=False)
-    needle = pattern if not o.regex else next(iter(S.literals(pattern)), "")
-    return Plan(pattern, o, index_at_hand and len(needle) >= 3 and not o.invert)
+    return Plan(pattern, o, index_at_hand and not o.invert and R.useful(S.needed(pattern, o)))
 
 
-def run(corpus: DataFrame, text: str, options: S.Options = S.Options(), trigrams: DataFrame | None = None) -> DataFrame:
-    """Matching lines of a query; a scan unless a persisted trigram table is given."""
+def run(corpus: DataFrame, text: str, options: S.Options = S.Options(), trigrams: DataFrame | str | None = None, buckets: int = 64) -> DataFrame:
+    """Matching lines of a query; a scan unless a persisted trigram table is given, or its place: then only the
+    buckets of the trigrams that the pattern asks about are read."""
     p = plan(text, options, trigrams is not None)
-    if p.use_index:
-        return S.by_trigrams(corpus, trigrams, p.pattern, p.options)
-    return S.matching_lines(corpus, p.pattern, p.options)
+    if not p.use_index:
+        return S.matching_lines(corpus, p.pattern, p.options)
+    if isinstance(trigrams, str):
+        trigrams = I.read_grams(corpus.sparkSession, trigrams, R.all_grams(S.needed(p.pattern, p.options)), buckets)
+    return S.by_trigrams(corpus, trigrams, p.pattern, p.options)

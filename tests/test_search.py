@@ -59,15 +59,11 @@ def test_index_on_disk(spark, files, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).select("trigram", "file_id").exceptAll(I.trigrams(files)).count() == 0
 
 
-@pytest.mark.parametrize(("pattern", "found"), [("foo.*bar", ["foo"]), ("foobar|bazqux", ["foobar", "bazqux"]), ("a|b", []), ("x(foo|bar)", []), ("abcd?e", ["abc"]), ("[abc]def", ["def"]), (r"\bword\b", ["word"])])
-def test_regex_literals(pattern, found):
-    assert S.literals(pattern) == found
-
-
-def test_regex_classes():
-    assert S.is_simple("(a(b))") and not S.is_simple("(?=a)") and not S.is_simple("((((((a))))))") and not S.is_simple("(a")
+def test_regex_classes(spark):
+    asked = {"(a(b))": (False, True, True), "(?=a)": (False, True, False), "((((((a))))))": (False, True, False), "(a": (False, False, False), "a)b(": (False, False, False), r"\(a": (False, False, True), "abc def": (True, False, True), "a.c": (False, False, True), "foo.*": (False, True, True), "|".join("abcdefghijkl"): (False, True, False)}
+    rows = spark.createDataFrame([(p,) for p in asked], "p string").select("p", S.literal_pattern(F.col("p")), S.regex_like(F.col("p")), S.simple_pattern(F.col("p"))).collect()
+    assert {r[0]: tuple(r)[1:] for r in rows} == asked
     assert S.is_literal("abc def") and not S.is_literal("a.c")
-    assert S.looks_like_regex("a|b") and S.looks_like_regex("foo.*") and not S.looks_like_regex("plain text")
 
 
 def test_query_fields():

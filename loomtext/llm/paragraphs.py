@@ -187,8 +187,10 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     total = placed.count()
     after = placed.select(F.col("k").alias("k_next"), F.col("k2").alias("k2_next"), F.when(F.col("place") == 1, F.lit(total)).otherwise(F.col("place") - 1).alias("place"))
     follows = placed.join(after, "place").select("k", "k2", F.floor(F.col("n") / 2).cast("int").alias("half"), "k_next", "k2_next")
-    each = rows.groupBy("k", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    named = each.select(F.col("k").alias("k_next"), F.col("k2").alias("k2_next"), F.col("text").alias("next"))
+    # both joins use all that this gives, so that texts are dealt by document once and that exchange is read twice
+    each = rows.groupBy("k", "k2").agg(F.first(F.struct("doc_id", "text")).alias("row"), F.count("*").alias("copies")).where("copies > 0")
+    named = each.select(F.col("k").alias("k_next"), F.col("k2").alias("k2_next"), F.col("row.text").alias("next"))
+    each = each.select("k", "k2", "row.doc_id", "row.text", "copies")
     begins = named.join(follows, ["k_next", "k2_next"]).select("k", "k2", "half", F.expr("left(next, half)").alias("begin"), digests(F.col("next")).alias("next"))
     both = each.join(begins, ["k", "k2"]).withColumn("n_chars", F.char_length("text").cast("bigint")).withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - half as int))"), "begin"))
     both = both.select("doc_id", "copies", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edited"), "next")

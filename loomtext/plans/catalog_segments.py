@@ -28,6 +28,6 @@ def index_segments(spark, sf_dir):
         index.merge()
     changed = corpus.where("file_id % 5 = 0").withColumn("content", F.concat(F.lit("x"), "content", F.lit("leau")))
     index.add(changed.where("file_id % 2 = 0"))
-    index.add(changed.where("file_id % 2 = 1"), corpus.where("file_id % 7 = 3"))
+    index.add(changed.where("file_id % 2 = 1 AND file_id % 7 != 3"), corpus.where("file_id % 7 = 3"))
     index.merge()
     return index.find("leau")

@@ -19,7 +19,8 @@ def edits(spark, sf_dir):
     first = part.select("path", F.lit(1).cast("long").alias("version"), F.array("p_name").alias("defines"), uses.alias("uses"))
     second = part.where("p_partkey % 3 = 0").select("path", F.lit(2).cast("long"), F.array("p_type"), uses)
     none = F.lit(None).cast("array<string>")
-    return first, second, part.where("p_partkey % 7 = 0").select("path", F.lit(3).cast("long"), none, none)
+    third = part.where("p_partkey % 7 = 0").select("path", F.lit(3).cast("long"), none.alias("defines"), none.alias("uses"))
+    return [rows.toDF("path", "version", "defines", "uses") for rows in (first, second, third)]
 
 
 @query(f"WITH {_STATE}, near AS (SELECT def AS name, dir, min(path) AS near FROM e GROUP BY ALL), far AS (SELECT name, min(near) AS far FROM near GROUP BY 1), u AS (SELECT DISTINCT path, dir, unnest(uses) AS name FROM e) SELECT u.name, u.path, coalesce(near, far) AS target FROM u JOIN far USING (name) LEFT JOIN near USING (name, dir)")
@@ -32,7 +33,7 @@ def linked_incrementally(spark, sf_dir):
     return L.latest(changes)
 
 
-@query("WITH g AS (SELECT event_type AS scope, user_id, ts, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events), b AS (SELECT *, sum(CASE WHEN gap < 1800000 THEN 0 ELSE 1 END) OVER (PARTITION BY scope ORDER BY ts) AS burst FROM g) SELECT scope, epoch_ms(min(ts)) AS first, epoch_ms(max(ts)) AS last, count(*) AS n_events, count(DISTINCT user_id) AS n_paths FROM b GROUP BY scope, burst")
+@query("WITH g AS (SELECT event_type AS scope, user_id, ts, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER (PARTITION BY event_type ORDER BY ts) AS gap FROM events), b AS (SELECT *, sum(CASE WHEN gap < 1800000 THEN 0 ELSE 1 END) OVER (PARTITION BY scope ORDER BY ts) AS burst FROM g) SELECT scope, epoch_us(min(ts)) // 1000 AS first, epoch_us(max(ts)) // 1000 AS last, count(*) AS n_events, count(DISTINCT user_id) AS n_paths FROM b GROUP BY scope, burst")
 def rebuilds_debounced(spark, sf_dir):
     """Bursts of events of a type, closed by half an hour of quiet; a last event far ahead ends those still open."""
     scratch = Scratch(spark, "rebuilds")

@@ -108,7 +108,8 @@ def name_changes(edits: DataFrame) -> DataFrame:
                 names[role] = new
         if version is not None:
             state.update((version, sorted(names["def"]), sorted(names["use"])))
-        yield pd.DataFrame(out, columns=["name", "path", "role", "present", "version"])
+        if out:
+            yield pd.DataFrame(out, columns=["name", "path", "role", "present", "version"])
 
     rows = edits.select("path", "version", "defines", "uses").where("path IS NOT NULL AND version IS NOT NULL")
     return rows.groupBy("path").applyInPandasWithState(step, NAME, "version long, defines array<string>, uses array<string>", "append", GroupStateTimeout.NoTimeout)
@@ -146,7 +147,8 @@ def link_changes(names: DataFrame, salts: int = 8) -> DataFrame:
         after = targets()
         changed = sorted(p for p in before.keys() | after.keys() if before.get(p) != after.get(p))
         state.update(tuple([(p, v, there) for p, (v, there) in sorted(known[role].items())] for role in ("def", "use")))
-        yield pd.DataFrame([(key[0], p, after.get(p), newest) for p in changed], columns=["name", "path", "target", "version"])
+        if changed:
+            yield pd.DataFrame([(key[0], p, after.get(p), newest) for p in changed], columns=["name", "path", "target", "version"])
 
     own = F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int")
     dealt = names.withColumn("salt", F.explode(F.when(F.col("role") == "def", F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(own))))

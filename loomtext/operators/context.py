@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
+from loomtext.runtime import first_rows
 
 #: Edge types of a type hierarchy.
 HIERARCHY = ("implements", "extends")
@@ -142,10 +143,11 @@ def scope_stats(symbols: DataFrame) -> DataFrame:
     return symbols.agg(F.count_distinct("path").alias("n_files"), of("function", "method").alias("n_functions"), of("variable", "constant", "field").alias("n_variables"), of("class", "struct", "interface", "type", "enum").alias("n_types"))
 
 
-def critical_functions(symbols: DataFrame, k: int = 20) -> DataFrame:
+def critical_functions(symbols: DataFrame, k: int | None = None) -> DataFrame:
     """Exported functions with a score of 30 + half the name's length over 25, longest first."""
     score = F.when(F.col("exported"), 30.0).otherwise(0.0) + 0.5 * F.char_length("name")
-    return symbols.where("kind in ('function', 'method')").select("symbol_id", "name", score.alias("score")).where("score > 25").orderBy(F.desc("score"), "name", "symbol_id").limit(k)
+    rows = symbols.where("kind in ('function', 'method')").select("symbol_id", "name", score.alias("score")).where("score > 25")
+    return first_rows(rows.orderBy(F.desc("score"), "name", "symbol_id"), k)
 
 
 def abstraction(symbols: DataFrame, fans: DataFrame) -> DataFrame:
@@ -184,24 +186,25 @@ def architecture_patterns(layers: DataFrame) -> DataFrame:
     return has.select(F.array_join(F.array_compact(found), ",").alias("patterns"))
 
 
-def repository_map(symbols: DataFrame, k: int = 50) -> DataFrame:
-    """module, kind, n_files, n_symbols, n_exported, n_functions: the k largest modules."""
+def repository_map(symbols: DataFrame, k: int | None = None) -> DataFrame:
+    """module, kind, n_files, n_symbols, n_exported, n_functions: the k largest modules (None: all)."""
     rows = symbols.withColumn("module", P.module(F.col("path"))).groupBy("module").agg(F.count_distinct("path").alias("n_files"), F.count("*").alias("n_symbols"), F.count_if("exported").alias("n_exported"), F.count_if(F.col("kind").isin("function", "method")).alias("n_functions"))
-    return rows.select("module", module_type(F.col("module")).alias("kind"), "n_files", "n_symbols", "n_exported", "n_functions").orderBy(F.desc("n_symbols"), "module").limit(k)
+    rows = rows.select("module", module_type(F.col("module")).alias("kind"), "n_files", "n_symbols", "n_exported", "n_functions")
+    return first_rows(rows.orderBy(F.desc("n_symbols"), "module"), k)
 
 
 MODES = ("overview", "statistics", "structure", "detailed")
 
 
-def insight(symbols: DataFrame, mode: str) -> DataFrame:
+def insight(symbols: DataFrame, mode: str, modules: int | None = None) -> DataFrame:
     """section, key, value rows of a report: overview (totals), statistics (by kind), structure (by module),
-    detailed (all of them)."""
+    detailed (all of them). modules: at most so many, the largest; None: all."""
     long = lambda rows, section, key, value: rows.select(F.lit(section).alias("section"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
     totals = scope_stats(symbols)
     parts = {
         "overview": lambda: totals.select(F.lit("overview").alias("section"), F.explode(F.create_map(*[x for c in totals.columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("key", "value")),
         "statistics": lambda: long(symbols.groupBy("kind").agg(F.count("*").alias("n")), "statistics", "kind", "n"),
-        "structure": lambda: long(repository_map(symbols), "structure", "module", "n_symbols"),
+        "structure": lambda: long(repository_map(symbols, modules), "structure", "module", "n_symbols"),
     }
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")

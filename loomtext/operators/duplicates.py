@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.runtime import first_rows
+
 # Words kept by the structural normal form.
 KEYWORDS = "if else for while do switch case break continue return func function def class struct interface import package var let const type new try catch finally throw async await yield in of not and or true false nil null none self this".split()
 SEPARATORS = ("_", "-", ".", "/", ":", " ", "=", "&", ",")
@@ -51,8 +53,8 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b))), 6)
 
 
-def new_against_old(new: DataFrame, old: DataFrame, least: float = 0.8, k: int = 20) -> DataFrame:
-    """new_id, old_id, similarity: the k best; equal normal forms 1, else token Jaccard of `least` or more.
+def new_against_old(new: DataFrame, old: DataFrame, least: float = 0.8, k: int | None = None) -> DataFrame:
+    """new_id, old_id, similarity: the k best (None: all); equal normal forms 1, else token Jaccard of `least` or more.
 
     Candidates share one of a text's rarest tokens: a pair at Jaccard j of sets of n tokens shares one of
     the n - ceil(j * n) + 1 rarest, so no pair is lost.
@@ -69,25 +71,34 @@ def new_against_old(new: DataFrame, old: DataFrame, least: float = 0.8, k: int =
     pairs = rarest(a, "new_id", "ta").join(rarest(b, "old_id", "tb"), "t").select("new_id", "old_id").distinct()
     rows = pairs.join(a, "new_id").join(b, "old_id")
     sim = F.when(F.col("na") == F.col("nb"), 1.0).otherwise(jaccard(F.col("ta"), F.col("tb")))
-    return rows.select("new_id", "old_id", sim.alias("similarity")).where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "new_id", "old_id").limit(k)
+    rows = rows.select("new_id", "old_id", sim.alias("similarity")).where(F.col("similarity") >= least)
+    return first_rows(rows.orderBy(F.desc("similarity"), "new_id", "old_id"), k)
+
+
+#: Token sets compared with each other in one row.
+BLOCK = 64
 
 
-def cluster_similarity(texts: DataFrame, most: int = 64) -> DataFrame:
-    """hash, similarity: mean token Jaccard over the pairs of each group (id, text, hash).
+def cluster_similarity(texts: DataFrame) -> DataFrame:
+    """hash, similarity: mean token Jaccard over all pairs of each group (id, text, hash), exactly.
 
-    Equal token sets are counted once with their numbers, and pairs are formed between them only; a group of
-    more than `most` different sets is compared with its first one instead, so that no group makes all its pairs.
+    Equal token sets are counted once with their numbers. A group's different sets are dealt into blocks of some
+    `BLOCK`, and each two blocks are compared within one row that gives their sum, so pairs are never rows and a
+    large group is spread over its blocks.
     """
     sets = texts.select("hash", F.sort_array(tokens(F.col("text"))).alias("t")).groupBy("hash", "t").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("hash")
-    sets = sets.withColumn("k", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.hash("t"), "t")))
-    total = texts.groupBy("hash").agg(F.count("*").alias("all")).where("all > 1")
-    a = sets.where(F.col("r") <= F.when(F.col("k") > most, 1).otherwise(most))
-    b = sets.select("hash", F.col("t").alias("u"), F.col("n").alias("m"), F.col("r").alias("q"))
-    pairs = a.join(b, "hash").where("q > r").select("hash", (F.col("n") * F.col("m")).alias("n"), jaccard(F.col("t"), F.col("u")).alias("j"))
-    own = sets.where("n > 1").select("hash", (F.col("n") * (F.col("n") - 1) / 2).alias("n"), F.when(F.size("t") > 0, 1.0).otherwise(0.0).alias("j"))
-    rows = pairs.union(own).groupBy("hash").agg(F.round(F.sum(F.col("n") * F.col("j")) / F.sum("n"), 6).alias("similarity"))
-    return rows.join(total.select("hash"), "hash", "left_semi")
+    size = sets.groupBy("hash").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    dealt = sets.join(size, "hash").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks").cast("bigint")).cast("int"))
+    held = dealt.groupBy("hash", "block", "blocks", "all").agg(F.collect_list(F.struct("t", "n")).alias("sets"))
+    left = held.select("hash", "all", F.col("block").alias("i"), F.col("sets").alias("a"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+    pairs = left.join(held.select("hash", "block", F.col("sets").alias("b")), ["hash", "block"])
+    alike = lambda x, y: F.size(F.array_intersect(x["t"], y["t"])) / F.greatest(F.lit(1), F.size(F.array_union(x["t"], y["t"])))
+    total = F.aggregate("a", F.lit(0.0), lambda s, x: s + F.aggregate("b", F.lit(0.0), lambda u, y: u + x["n"] * y["n"] * alike(x, y)))
+    # within a block each pair is seen twice, and each set beside itself
+    same = F.aggregate("a", F.lit(0.0), lambda s, x: s + F.when(F.size(x["t"]) > 0, x["n"].cast("double")).otherwise(0.0))
+    part = F.when(F.col("i") == F.col("block"), (total - same) / 2).otherwise(total)
+    rows = pairs.select("hash", "all", part.alias("part")).groupBy("hash", "all").agg(F.sum("part").alias("sum"))
+    return rows.select("hash", F.round(F.col("sum") / (F.col("all") * (F.col("all") - 1) / 2), 6).alias("similarity"))
 
 
 def severity(similarity: Column, n_lines: Column) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
+from loomtext.runtime import first_rows
 
 # Kinds and their other names, function flags.
 KINDS = {"function": ["func", "fn", "def"], "method": ["meth"], "class": ["cls"], "struct": [], "interface": ["iface", "protocol"], "type": ["typedef"], "constant": ["const"], "variable": ["var", "let"], "enum": [], "field": ["property", "prop"]}
 FLAGS = {"async": 1, "generator": 2, "method": 4, "variadic": 8}
-DEFAULT_MAX = 50
 
 
 def parse_kinds(text: str | None) -> list[str]:
@@ -22,7 +22,7 @@ def parse_kinds(text: str | None) -> list[str]:
     return out
 
 
-def list_symbols(symbols: DataFrame, kind: str | None = None, file: str | None = None, exported: bool | None = None, name: str | None = None, receiver: str | None = None, cc: tuple[int, int] | None = None, params: tuple[int, int] | None = None, sort: str = "name", offset: int = 0, limit: int = DEFAULT_MAX) -> DataFrame:
+def list_symbols(symbols: DataFrame, kind: str | None = None, file: str | None = None, exported: bool | None = None, name: str | None = None, receiver: str | None = None, cc: tuple[int, int] | None = None, params: tuple[int, int] | None = None, sort: str = "name", offset: int = 0, limit: int | None = None) -> DataFrame:
     rows = symbols
     kinds = parse_kinds(kind)
     if kinds:
@@ -40,7 +40,7 @@ def list_symbols(symbols: DataFrame, kind: str | None = None, file: str | None =
     if params:
         rows = rows.where(F.col("n_params").between(*params))
     order = {"name": [F.col("name")], "complexity": [F.desc("cc")], "refs": [F.desc("n_in")], "params": [F.desc("n_params")], "line": [F.col("path"), F.col("line")]}[sort]
-    return rows.orderBy(*order, "path", "line", "name").offset(offset).limit(limit)
+    return first_rows(rows.orderBy(*order, "path", "line", "name").offset(offset), limit)
 
 
 def browse_file(symbols: DataFrame, path: str) -> DataFrame:
@@ -55,14 +55,15 @@ def symbol_stats(symbols: DataFrame) -> DataFrame:
     return symbols.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("exported").alias("n_exported"))
 
 
-def top_symbols(symbols: DataFrame, k: int = 100) -> DataFrame:
-    return symbols.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(k)
+def top_symbols(symbols: DataFrame, k: int | None = None) -> DataFrame:
+    return first_rows(symbols.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name"), k)
 
 
-def entry_points(symbols: DataFrame, k: int = 10) -> DataFrame:
-    """main and init, then the first k exported functions and methods by path and line."""
+def entry_points(symbols: DataFrame, k: int | None = None) -> DataFrame:
+    """main and init, then the first k (None: all) exported functions and methods by path and line."""
     mains = symbols.where("name in ('main', 'init')").withColumn("why", F.lit("main"))
-    rest = symbols.where("name not in ('main', 'init') and exported and kind in ('function', 'method')").orderBy("path", "line", "name").limit(k).withColumn("why", F.lit("exported"))
+    rest = symbols.where("name not in ('main', 'init') and exported and kind in ('function', 'method')")
+    rest = first_rows(rest.orderBy("path", "line", "name"), k).withColumn("why", F.lit("exported"))
     return mains.unionByName(rest).select("path", "name", "why")
 
 

@@ -114,6 +114,32 @@ def cycles(edges: DataFrame) -> DataFrame:
     return rows.select(F.col("component").alias("cycle"), "id", "size")
 
 
+def cycle_paths(edges: DataFrame, longest: int) -> DataFrame:
+    """path: every simple cycle of at most `longest` nodes once, from its smallest id on (an edge to itself too).
+
+    Edges that leave a tangle of cycles are dropped first. Paths then start at each node, go on to larger ids only,
+    and are cycles when an edge leads back; a round is one join, written, and paths of a round are its state.
+    """
+    scratch = Scratch(edges.sparkSession, "paths")
+    edges = edges.select("source", "target").distinct()
+    comp = cycles(edges).select("id", "cycle")
+    inside = edges.join(comp.toDF("source", "a"), "source").join(comp.toDF("target", "b"), "target").where("a = b").select("source", "target")
+    inside = scratch.write(inside, "edges")
+    found = [inside.where("source = target").select(F.array("source").alias("path"))]
+    ahead = scratch.write(inside.where("target > source").select(F.array("source", "target").alias("path"), F.col("target").alias("end")), "p2")
+    back = inside.where("target < source").select(F.col("source").alias("end"), F.col("target").alias("start"))
+    for n in range(2, longest + 1):
+        found.append(ahead.withColumn("start", F.element_at("path", 1)).join(back, ["end", "start"]).select("path"))
+        if n == longest or ahead.isEmpty():
+            break
+        step = ahead.join(inside.where("source != target"), F.col("end") == F.col("source")).where("target > path[0] and not array_contains(path, target)")
+        ahead = scratch.write(step.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("end")), f"p{n + 1}")
+    out = found[0]
+    for rows in found[1:]:
+        out = out.union(rows)
+    return out
+
+
 def dependency_counts(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """id, n_direct, n_transitive: nodes that each node reaches in at most max_depth steps (None: any number);
     itself only counts if it is on a cycle.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
+from loomtext.runtime import first_rows
 
 # Windows in days and their names.
 WINDOWS = {"7d": 7, "week": 7, "30d": 30, "month": 30, "90d": 90, "quarter": 90, "1y": 365, "year": 365}
@@ -149,9 +150,9 @@ def dominant_styles(symbols: DataFrame, style: Column, least: int = 3) -> DataFr
     return per.withColumn("r", F.row_number().over(w)).where((F.col("r") == 1) & (F.col("n") >= least)).drop("r")
 
 
-def frequency_report(changes: DataFrame, as_of: str, window: str = DEFAULT_WINDOW, focus: str = "all", k: int = 20) -> DataFrame:
+def frequency_report(changes: DataFrame, as_of: str, window: str = DEFAULT_WINDOW, focus: str = "all", k: int | None = None) -> DataFrame:
     """section, key, value: hotspots (volatility by path), collisions (score), ownership (owner's share by module)
-    and contributors (changes by author), each the k largest; focus: one of them, or all."""
+    and contributors (changes by author), each the k largest (None: all); focus: one of them, or all."""
     author = F.col("author").cast("string")
     parts = {
         "hotspots": lambda: frequency(changes, as_of, window).select(F.col("path").alias("key"), F.col("volatility").alias("value")),
@@ -161,7 +162,7 @@ def frequency_report(changes: DataFrame, as_of: str, window: str = DEFAULT_WINDO
     }
     out = None
     for name in list(parts) if focus == "all" else [focus]:
-        got = parts[name]().orderBy(F.desc("value"), "key").limit(k).select(F.lit(name).alias("section"), "key", F.col("value").cast("double").alias("value"))
+        got = first_rows(parts[name]().orderBy(F.desc("value"), "key"), k).select(F.lit(name).alias("section"), "key", F.col("value").cast("double").alias("value"))
         out = got if out is None else out.union(got)
     return out
 

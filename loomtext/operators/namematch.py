@@ -16,7 +16,7 @@ from loomtext.runtime import ship_package
 # Layer weights, threshold, limits.
 WEIGHTS = {"exact": 1.0, "substring": 0.9, "phrase": 0.88, "annotation": 0.85, "fuzzy": 0.70, "stem": 0.55, "name_split": 0.40, "abbreviation": 0.25}
 CONFIDENCE = {"exact": 1.0, "substring": 0.9, "phrase": 0.88, "annotation": 0.85, "fuzzy": 0.7, "stem": 0.6, "name_split": 0.5, "abbreviation": 0.4}
-FUZZY, LEAST, TOP = 0.7, 0.2, 10
+FUZZY, LEAST = 0.7, 0.2
 
 
 def query_words(query: str) -> list[str]:
@@ -57,7 +57,7 @@ def layers(names: DataFrame, query: str, labels: list[str] = ()) -> DataFrame:
     return names.select("name", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(k) for k, c in got.items()])
 
 
-def rank_symbols(names: DataFrame, query: str, k: int = TOP, labels: list[str] = ()) -> DataFrame:
+def rank_symbols(names: DataFrame, query: str, k: int, labels: list[str] = ()) -> DataFrame:
     """name, score, match_type, confidence, rank of the k best with at least the least score."""
     rows = layers(names, query, labels)
     best = F.greatest(*[F.struct(F.col(x).alias("score"), F.lit(CONFIDENCE[x]).alias("confidence"), F.lit(x).alias("match_type")) for x in WEIGHTS])

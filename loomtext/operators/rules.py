@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import names as N
+from loomtext.runtime import first_rows
 
 #: Most rows that a rule table may have to be broadcast.
 MOST_RULES = 10_000
@@ -65,12 +66,12 @@ def intents(texts: DataFrame, table: dict | None = None) -> DataFrame:
 COMPONENTS = (("controller", "controller|handler", 0.9), ("service", "service|manager", 0.85), ("repository", "repo|store|dao", 0.85), ("model", "model|entity|dto", 0.8), ("view", "view|page|template", 0.8), ("middleware", "middleware|filter", 0.8), ("util", "util|helper", 0.6), ("test", "test|spec", 0.7), ("config", "config|setting", 0.7))
 
 
-def components(symbols: DataFrame, least: float = 0.5, k: int = 100) -> DataFrame:
-    """name, component, confidence: each name's first rule, a generic one without; the k surest."""
+def components(symbols: DataFrame, least: float = 0.5, k: int | None = None) -> DataFrame:
+    """name, component, confidence: each name's first rule, a generic one without; the k surest (None: all)."""
     low = F.lower("name")
     hit = F.coalesce(*[F.when(low.rlike(p), F.struct(F.lit(c).alias("component"), F.lit(s).alias("confidence"))) for c, p, s in COMPONENTS], F.struct(F.lit("generic").alias("component"), F.lit(0.5).alias("confidence")))
     rows = symbols.select("name").distinct().select("name", hit.alias("h")).select("name", "h.component", "h.confidence").where(F.col("confidence") >= least)
-    return rows.orderBy(F.desc("confidence"), "name").limit(k)
+    return first_rows(rows.orderBy(F.desc("confidence"), "name"), k)
 
 
 #: Default weights of calls that allocate, and of loops and tests.

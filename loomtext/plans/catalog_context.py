@@ -179,7 +179,7 @@ def scope_statistics(spark, sf_dir):
 
 @query(f"WITH {SYM}, c AS (SELECT symbol_id, name, CASE WHEN exported THEN 30.0 ELSE 0.0 END + 0.5 * length(name) AS score FROM s WHERE kind IN ('function', 'method')) SELECT symbol_id, name, score::DOUBLE AS score FROM c WHERE score > 25 ORDER BY score DESC, name, symbol_id LIMIT 20")
 def critical_functions(spark, sf_dir):
-    return X.critical_functions(symbols(spark, sf_dir))
+    return X.critical_functions(symbols(spark, sf_dir), 20)
 
 
 @query(f"WITH {SYM}, f AS (SELECT symbol_id, symbol_id % 7 AS n_in, symbol_id % 5 AS n_out FROM s) SELECT symbol_id, round(CASE WHEN kind = 'interface' THEN 1.0 WHEN kind = 'class' AND n_in + n_out > 0 THEN n_in * 1.0 / (n_in + n_out) ELSE 0.0 END, 6)::DOUBLE AS abstraction FROM s JOIN f USING (symbol_id)")
@@ -195,7 +195,7 @@ def child_methods(spark, sf_dir):
 
 @query(f"WITH {SYM} SELECT string_split(path, '/')[1] AS module, 'general' AS kind, count(DISTINCT path) AS n_files, count(*) AS n_symbols, count(*) FILTER (exported) AS n_exported, count(*) FILTER (kind IN ('function', 'method')) AS n_functions FROM s GROUP BY 1 ORDER BY n_symbols DESC, module LIMIT 50")
 def repository_map(spark, sf_dir):
-    return X.repository_map(symbols(spark, sf_dir))
+    return X.repository_map(symbols(spark, sf_dir), 50)
 
 
 @query(f"WITH {SYM} SELECT 'overview' AS section, k AS key, v::DOUBLE AS value FROM (SELECT unnest(['n_files', 'n_functions', 'n_variables', 'n_types']) AS k, unnest([count(DISTINCT path), count(*) FILTER (kind IN ('function', 'method')), count(*) FILTER (kind = 'variable'), count(*) FILTER (kind IN ('class', 'interface'))]) AS v FROM s) UNION ALL SELECT 'statistics', kind, count(*) FROM s GROUP BY kind UNION ALL SELECT 'structure', string_split(path, '/')[1], count(*) FROM s GROUP BY ALL")
@@ -287,10 +287,11 @@ def sink_text(spark, sf_dir):
     return E.as_text(E.symbol_stats(symbols(spark, sf_dir)), "kind", "n")
 
 
-@query("WITH t AS (SELECT doc_id, md5(trim(text, ' ')) AS h, list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents), p AS (SELECT a.h AS hash, len(list_intersect(a.w, b.w)) * 1.0 / greatest(1, len(list_distinct(a.w || b.w))) AS j FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id) SELECT hash, round(avg(j), 6)::DOUBLE AS similarity FROM p GROUP BY hash")
+@query("WITH t AS (SELECT p_partkey AS id, p_brand AS hash, list_distinct(regexp_extract_all(p_name || ' ' || p_type || ' size' || p_size, '[A-Za-z0-9_]+')) AS w FROM part), p AS (SELECT a.hash, len(list_intersect(a.w, b.w)) * 1.0 / greatest(1, len(list_distinct(a.w || b.w))) AS j FROM t a JOIN t b ON a.hash = b.hash AND a.id < b.id) SELECT hash, round(avg(j), 6)::DOUBLE AS similarity FROM p GROUP BY hash")
 def duplicate_cluster_similarity(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", D.exact_hash(F.col("text")).alias("hash"))
-    return D.cluster_similarity(rows)
+    """Groups whose members differ: the parts of a brand, by the words of their name, type and size."""
+    text = F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("size"), "p_size"))
+    return D.cluster_similarity(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), F.col("p_brand").alias("hash")))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size / 50.0 >= 0.95 AND p_partkey % 40 >= 20 THEN 'critical' WHEN p_size / 50.0 >= 0.9 OR p_partkey % 40 >= 30 THEN 'warning' ELSE 'info' END AS severity FROM part")

@@ -22,7 +22,7 @@ def symbols(spark, sf_dir):
 
 @query(f"WITH {SYMBOLS} SELECT symbol_id, name, kind, path, line, cc FROM s WHERE kind IN ('function', 'method') AND exported AND cc BETWEEN 5 AND 40 ORDER BY cc DESC, path, line, name LIMIT 50 OFFSET 10")
 def list_symbols(spark, sf_dir):
-    return E.list_symbols(symbols(spark, sf_dir), kind="func,methods", exported=True, cc=(5, 40), sort="complexity", offset=10).select("symbol_id", "name", "kind", "path", "line", "cc")
+    return E.list_symbols(symbols(spark, sf_dir), kind="func,methods", exported=True, cc=(5, 40), sort="complexity", offset=10, limit=50).select("symbol_id", "name", "kind", "path", "line", "cc")
 
 
 @query(f"WITH {SYMBOLS} SELECT path, count(*) AS n_symbols, count(*) FILTER (exported) AS n_exported, max(cc) AS max_cc, round(avg(cc), 6) AS avg_cc FROM s GROUP BY path")
@@ -37,12 +37,12 @@ def symbol_distribution(spark, sf_dir):
 
 @query(f"WITH {SYMBOLS} SELECT name, count(*) AS n FROM s GROUP BY name ORDER BY n DESC, name LIMIT 100")
 def top_symbols(spark, sf_dir):
-    return E.top_symbols(symbols(spark, sf_dir))
+    return E.top_symbols(symbols(spark, sf_dir), 100)
 
 
 @query(f"WITH {SYMBOLS} SELECT path, name, 'exported' AS why FROM s WHERE exported AND kind IN ('function', 'method') ORDER BY path, line, name LIMIT 10")
 def entry_points(spark, sf_dir):
-    return E.entry_points(symbols(spark, sf_dir))
+    return E.entry_points(symbols(spark, sf_dir), 10)
 
 
 @query("SELECT p_partkey AS symbol_id, array_to_string(list_filter([CASE WHEN p_size & 1 <> 0 THEN 'async' END, CASE WHEN p_size & 2 <> 0 THEN 'generator' END, CASE WHEN p_size & 4 <> 0 THEN 'method' END, CASE WHEN p_size & 8 <> 0 THEN 'variadic' END], lambda x: x IS NOT NULL), ',') AS flags FROM part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomtext.operators import customrules as X
 from loomtext.operators import graph as G
 from loomtext.registry import query
 from loomtext.runtime import table
@@ -36,6 +37,42 @@ def graph_closure(spark, sf_dir):
     return G.closure(edges, edges.select(F.col("source").alias("id")).distinct(), 2)
 
 
+@query(f"WITH RECURSIVE {EDGES}, w(seed, id) AS (SELECT DISTINCT source, source FROM e UNION SELECT w.seed, e.target FROM w JOIN e ON e.source = w.id) SELECT seed, id FROM w")
+def graph_reachable(spark, sf_dir):
+    """The closure to its end, however deep."""
+    edges = up_edges(spark, sf_dir)
+    return G.closure(edges, edges.select(F.col("source").alias("id")).distinct()).select("seed", "id")
+
+
+#: Consecutive users of one type and day, either way: a graph with overlapping cycles.
+_BOTH = "g AS (SELECT DISTINCT source, target FROM (SELECT user_id AS source, lead(user_id) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS target FROM events) WHERE target IS NOT NULL)"
+
+
+@query(f"WITH {_BOTH} SELECT source::VARCHAR AS path FROM g WHERE source = target UNION ALL SELECT a.source || ',' || a.target FROM g a JOIN g b ON b.source = a.target AND b.target = a.source WHERE a.source < a.target UNION ALL SELECT a.source || ',' || a.target || ',' || b.target FROM g a JOIN g b ON b.source = a.target JOIN g c ON c.source = b.target AND c.target = a.source WHERE a.source < a.target AND a.source < b.target AND a.target <> b.target")
+def graph_cycle_paths(spark, sf_dir):
+    w = Window.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("ts", "event_id")
+    edges = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.lead("user_id").over(w).alias("target")).where("target IS NOT NULL")
+    return G.cycle_paths(edges, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+RULES = """
+# name: trigger -> action
+surge: has_label(checkout) AND strength > 0.5 -> multiply_strength(1.3)
+far: hops >= 3 OR type == "dependency" -> add_strength(0.2)
+data: has_dependency(database) AND hops < 2 -> set_strength(0.8)
+"""
+
+
+@query("WITH s AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'label' ELSE 'dependency' END AS type, event_id % 100 / 100.0::DOUBLE AS s0, event_id % 5 AS hops, user_id % 4 = 0 AS checkout, user_id % 5 = 0 AS database FROM events), a AS (SELECT *, checkout AND s0 > 0.5 AS f1, hops >= 3 OR type = 'dependency' AS f2, database AND hops < 2 AS f3 FROM s), b AS (SELECT *, CASE WHEN f1 THEN s0 * 1.3 ELSE s0 END + CASE WHEN f2 THEN 0.2 ELSE 0 END AS s2 FROM a) SELECT id, round(CASE WHEN f3 THEN 0.8 ELSE s2 END, 6)::DOUBLE AS strength, array_to_string(list_filter([CASE WHEN f1 THEN 'surge' END, CASE WHEN f2 THEN 'far' END, CASE WHEN f3 THEN 'data' END], lambda x: x IS NOT NULL), ',') AS fired FROM b")
+def custom_rules(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    state = e.select(k.alias("id"), F.when(k % 2 == 0, "label").otherwise("dependency").alias("type"), F.col("event_type").alias("attribute"), (k % 100 / 100.0).alias("strength"), (k % 5).alias("hops"))
+    labels = e.where("user_id % 4 = 0").select(k.alias("id"), F.lit("checkout").alias("label"))
+    needs = e.where("user_id % 5 = 0").select(k.alias("id"), F.lit("database").alias("dependency"))
+    return X.applied(state, X.parse(RULES), labels, needs).select("id", F.round("strength", 6).alias("strength"), F.array_join("fired", ",").alias("fired"))
+
+
 @query(f"WITH RECURSIVE {EDGES}, w(id, depth) AS (SELECT min(source), 0 FROM e UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.source = w.id WHERE w.depth < 5), l AS (SELECT id, min(depth) AS depth FROM w GROUP BY id) SELECT l.id, CAST(l.depth AS INTEGER) AS depth, coalesce(min(p.id), -1) AS parent FROM l LEFT JOIN (SELECT e.target, p.id, p.depth FROM e JOIN l p ON p.id = e.source) p ON p.target = l.id AND p.depth + 1 = l.depth GROUP BY l.id, l.depth")
 def graph_call_tree(spark, sf_dir):
     edges = up_edges(spark, sf_dir)

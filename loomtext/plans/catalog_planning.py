@@ -311,7 +311,7 @@ def churn_exclusion(spark, sf_dir):
 @query("WITH w AS (SELECT user_id, event_type || '/f' || (event_id % 20) AS path FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAYS AND ts <= TIMESTAMP '2024-01-31'), c AS (SELECT user_id::VARCHAR AS key, count(*)::DOUBLE AS value FROM w GROUP BY 1 ORDER BY value DESC, key LIMIT 20), p AS (SELECT path AS module, user_id, count(*) AS n FROM (SELECT user_id, string_split(path, '/')[1] AS path FROM w) GROUP BY ALL), o AS (SELECT module AS key, round(max(n) * 1.0 / sum(n), 6)::DOUBLE AS value FROM p GROUP BY 1 ORDER BY value DESC, key LIMIT 20) SELECT 'contributors' AS section, * FROM c UNION ALL SELECT 'ownership', * FROM o")
 def frequency_report(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("/f"), (F.col("event_id") % 20).cast("string")).alias("path"), F.col("user_id").alias("author"), "ts", F.col("value").alias("lines"))
-    return H.frequency_report(rows, "2024-01-31 00:00:00").where("section in ('contributors', 'ownership')")
+    return H.frequency_report(rows, "2024-01-31 00:00:00", k=20).where("section in ('contributors', 'ownership')")
 
 
 @query("WITH f AS (SELECT o_orderkey AS id, o_orderkey % 27 AS cc FROM orders), m AS (SELECT 'complexity' AS finding, CASE WHEN cc > 20 THEN 'critical' ELSE 'warning' END AS severity FROM f WHERE cc > 10), n AS (SELECT 'naming' AS finding, 'info' AS severity FROM f WHERE id % 5 = 0), d AS (SELECT 'duplicate', CASE WHEN p_size / 50.0 >= 0.95 THEN 'critical' ELSE 'warning' END FROM part WHERE p_size / 50.0 >= 0.8) SELECT finding, severity, count(*) AS n FROM (SELECT * FROM m UNION ALL SELECT * FROM n UNION ALL SELECT * FROM d) GROUP BY ALL")

@@ -55,7 +55,7 @@ _SURE = "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{p}') THEN {s}" f
 
 @query(f"WITH {NAMED} SELECT DISTINCT name, {_COMPONENT} AS component, CAST({_SURE} AS DOUBLE) AS confidence FROM n ORDER BY confidence DESC, name LIMIT 100")
 def component_detection(spark, sf_dir):
-    return U.components(named(spark, sf_dir))
+    return U.components(named(spark, sf_dir), k=100)
 
 
 CALLS = "c AS (SELECT l_orderkey AS function, CASE l_linenumber % 4 WHEN 0 THEN 'make' WHEN 1 THEN 'Append' WHEN 2 THEN 'readall' ELSE 'none' END AS callee, l_quantity > 25 AS in_loop, l_orderkey % 10 = 0 AS is_test FROM lineitem), s AS (SELECT function, round(sum(CASE lower(callee) WHEN 'make' THEN 2.0 WHEN 'append' THEN 1.5 ELSE 5.0 END * CASE WHEN in_loop THEN 10 ELSE 1 END * CASE WHEN is_test THEN 0.1 ELSE 1 END), 6) AS score FROM c WHERE callee <> 'none' GROUP BY function)"

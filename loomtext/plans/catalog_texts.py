@@ -51,7 +51,7 @@ SELECT new_id, old_id, CASE WHEN same THEN 1.0 ELSE round(i * 1.0 / greatest(1,
 def duplicate_new_against_old(spark, sf_dir):
     rows = texts(spark, sf_dir)
     # even documents stand for the new snapshot, odd ones for the old: every document is in one of them
-    return D.new_against_old(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"))
+    return D.new_against_old(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), k=20)
 
 
 _TARGET = "ation_leau/ment-keit"

@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def first_rows(rows: DataFrame, k: int | None) -> DataFrame:
+    """The first k of ordered rows; None: all of them."""
+    return rows if k is None else rows.limit(k)
+
+
 #: Spark's own limit of an Arrow batch, and ours: whole texts are rows, and each batch is held on both sides.
 _BATCH, BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"), str(2 << 20)
 

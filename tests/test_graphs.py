@@ -79,3 +79,40 @@ def test_pressure_covers_every_edge(spark):
     got = {tuple(r) for r in catalog_graphs.up_edges(spark, SF_MID).collect()}
     assert got == pairs
     assert {r["id"] for r in catalog_graphs.propagate_pressure(spark, SF_MID).collect()} == {x for p in pairs for x in p}
+
+
+def test_cycle_paths_against_a_plain_search(spark):
+    import random
+
+    from loomtext.operators import graph
+
+    rng = random.Random(3)
+    for _ in range(2):
+        edges = {(rng.randrange(8), rng.randrange(8)) for _ in range(22)}
+        out = {a: {t for s, t in edges if s == a} for a in range(8)}
+
+        def walk(path):
+            for t in out[path[-1]]:  # noqa: B023
+                if t == path[0]:
+                    yield tuple(path)
+                elif t > path[0] and t not in path and len(path) < 4:
+                    yield from walk([*path, t])
+
+        want = sorted(p for a in range(8) for p in walk([a]))
+        got = graph.cycle_paths(spark.createDataFrame(sorted(edges), "source long, target long"), 4)
+        assert sorted(tuple(r["path"]) for r in got.collect()) == want
+
+
+def test_custom_rules(spark):
+    import pytest
+
+    from loomtext.operators import customrules as X
+
+    state = spark.createDataFrame([(1, "label", "a", 0.6, 1), (2, "label", "a", 0.6, 4), (3, "dependency", "b", 0.1, 0)], "id long, type string, attribute string, strength double, hops long")
+    labels, none = spark.createDataFrame([(1, "x"), (1, "y")], "id long, label string"), spark.createDataFrame([], "id long, dependency string")
+    rules = X.parse("a: has_label('x') AND strength >= 0.6 -> multiply_decay(0.5)\n# no\nb: strength < 0.5 OR hops > 3 -> add_strength(1)\nc: type != \"label\" -> set_strength(2)\n")
+    rows = {r["id"]: (round(r["strength"], 6), r["fired"]) for r in X.applied(state, rules, labels, none).collect()}
+    assert rows == {1: (0.3, ["a"]), 2: (1.6, ["b"]), 3: (2.0, ["b", "c"])}
+    for bad in ("a: x -> add_strength(1)", "a: hops > 1 -> explode(1)", "a: type > 'x' -> add_strength(1)", "no rule"):
+        with pytest.raises(ValueError):
+            X.applied(state, X.parse(bad), labels, none)

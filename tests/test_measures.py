@@ -79,3 +79,16 @@ def test_manifest_round_trip(spark, tmp_path):
     lines = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "file_id long, line long, text string")
     assert {r["ref_id"]: r["text"] for r in E.hydrate(back, lines).collect()} == {1: "a\nb", 2: "b"}
     assert E.manifest_stats(back).first()["n_lines"] == 10
+
+
+def test_cluster_similarity_is_exact_for_large_groups(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = [(i, " ".join(rng.sample("abcdefgh", rng.randrange(0, 6))), "g" if i < 200 else "h") for i in range(210)]
+    rows = spark.createDataFrame(texts, "id long, text string, hash string")
+    got = {r["hash"]: r["similarity"] for r in D.cluster_similarity(rows).collect()}
+    for group in "gh":
+        sets = [set(t.split()) for _, t, h in texts if h == group]
+        pairs = [len(a & b) / max(1, len(a | b)) for i, a in enumerate(sets) for b in sets[:i]]
+        assert abs(got[group] - sum(pairs) / len(pairs)) < 1e-5

@@ -120,6 +120,12 @@ def fragments_of(target: str, least: int = 4) -> list[str]:
     return list(dict.fromkeys(p for p in pieces if len(p) >= least))
 
 
+def fragment_list(target: Column, least: int = 4) -> Column:
+    """fragments_of for a column of strings that aren't HTML."""
+    pieces = F.flatten(F.array(*[F.split(target, F.lit(f"\\Q{s}\\E")) for s in SEPARATORS]))
+    return F.array_distinct(F.filter(pieces, lambda p: F.char_length(p) >= least))
+
+
 def assembly(lines: DataFrame, fragments: list[str], target_size: int, least: float = 0.5) -> DataFrame:
     """path, n_fragments, coverage, span, score: files in which a string's fragments stand together.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
@@ -22,6 +22,13 @@ def parse_kinds(text: str | None) -> list[str]:
     return out
 
 
+def kinds_of(text: Column) -> Column:
+    """parse_kinds for a column of comma lists."""
+    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ","), lambda w: F.trim(w))
+    every = F.array(*map(F.lit, KINDS))
+    return F.flatten(F.transform(words, lambda w: F.coalesce(*[F.when(w.isin(k, k + "s", *also), F.array(F.lit(k))) for k, also in KINDS.items()], F.slice(every, 1, 0))))
+
+
 def list_symbols(symbols: DataFrame, kind: str | None = None, file: str | None = None, exported: bool | None = None, name: str | None = None, receiver: str | None = None, cc: tuple[int, int] | None = None, params: tuple[int, int] | None = None, sort: str = "name", offset: int = 0, limit: int | None = None) -> DataFrame:
     rows = symbols
     kinds = parse_kinds(kind)

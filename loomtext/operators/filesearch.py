@@ -63,6 +63,11 @@ def patterns_of(text: str) -> list[str]:
     return list(dict.fromkeys([text, *[w for w in re.split(r"\s+", text) if len(w) > 2]]))
 
 
+def pattern_list(text: Column) -> Column:
+    """patterns_of for a column of texts."""
+    return F.array_distinct(F.concat(F.array(text), F.filter(F.split(text, r"\s+"), lambda w: F.char_length(w) > 2)))
+
+
 def ranked_multi(files: DataFrame, patterns: list[str], k: int) -> DataFrame:
     """Best score of each path over the patterns, 15 % more for each further hit, 50 % and 1.0 at most."""
     scores = F.array(*[path_score(F.col("path"), p) for p in patterns])

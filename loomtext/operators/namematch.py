@@ -6,7 +6,7 @@ Layers run over distinct names. Words of a query are split before case is lost,
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import matching as M
@@ -123,6 +123,18 @@ def similar_names(names: DataFrame, others: DataFrame, threshold: float = 0.8, k
     return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("name", "similar", F.round("s", 6).alias("similarity"))
 
 
+def resolved_kind(text: Column, kinds: dict[str, list[str]]) -> Column:
+    """struct(kind, how) of a column of kinds' names, as resolve_kind."""
+    low = F.trim(F.lower(text))
+    named = lambda kind, how: F.struct(F.lit(kind).alias("kind"), F.lit(how).alias("how"))
+    exact = [F.when(low == k, named(k, "exact")) for k in kinds]
+    alias = [F.when(low.isin(also), named(k, "alias")) for k, also in kinds.items() if also]
+    prefix = [F.when((F.char_length(low) >= 2) & F.lit(k).startswith(low), named(k, "prefix")) for k in sorted(kinds)]
+    near = F.array_sort(F.array(*[F.struct((-M.jaro_winkler(low, F.lit(k))).alias("s"), F.lit(k).alias("k")) for k in kinds]))[0]
+    fuzzy = F.when(near["s"] <= -0.85, F.struct(near["k"].alias("kind"), F.lit("fuzzy").alias("how")))
+    return F.coalesce(*exact, *alias, *prefix, fuzzy, named(None, "none"))
+
+
 def resolve_kind(text: str, kinds: dict[str, list[str]]) -> tuple[str | None, str]:
     """(kind, how) of a kind's name: exact, alias, prefix or fuzzy (one edit in five letters)."""
     low = text.lower().strip()

@@ -139,6 +139,11 @@ def page_size(budget_tokens: int, sample_tokens: int, least: int = 1, most: int
     return max(least, min(most, budget_tokens // max(1, sample_tokens)))
 
 
+def page_sizes(budget_tokens: Column, sample_tokens: Column, least: int = 1, most: int = 500) -> Column:
+    """page_size of columns."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(budget_tokens / F.greatest(F.lit(1), sample_tokens)))).cast("int")
+
+
 def grouped(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.max("score").alias("best"))
 

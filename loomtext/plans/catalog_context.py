@@ -255,10 +255,15 @@ def browse_file(spark, sf_dir):
     return E.browse_file(symbols(spark, sf_dir), "m1/f1.go").select("symbol_id", "name", "line")
 
 
-@query("SELECT * FROM (VALUES ('func,cls', 'function,class'), ('all', ''), ('Methods, typedef', 'method,type'), ('nonsense', '')) v(asked, kinds)")
+_ASKED = {"func,cls": "function,class", "all": "", "Methods, typedef": "method,type", "nonsense": "", "struct": "struct"}
+_ASKED_ROWS = ", ".join(f"({i}, '{a}', '{k}')" for i, (a, k) in enumerate(_ASKED.items()))
+
+
+@query(f"SELECT p_partkey AS id, asked, kinds FROM part JOIN (VALUES {_ASKED_ROWS}) v(i, asked, kinds) ON p_partkey % 5 = i")
 def kind_parse(spark, sf_dir):
-    asked = ("func,cls", "all", "Methods, typedef", "nonsense")
-    return spark.createDataFrame([(a, ",".join(E.parse_kinds(a))) for a in asked], "asked string, kinds string")
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), asked.alias("asked"))
+    return rows.withColumn("kinds", F.array_join(E.kinds_of(F.col("asked")), ","))
 
 
 @query("SELECT doc_id AS ref_id, CASE doc_id % 3 WHEN 0 THEN 'primary' ELSE 'context' END AS role FROM documents WHERE doc_id % 3 < 2")
@@ -299,6 +304,7 @@ def duplicate_severity(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), D.severity(F.col("p_size") / 50.0, F.col("p_partkey") % 40).alias("severity"))
 
 
-@query("WITH t AS (SELECT 'password = secret_token/api-key' AS t), f AS (SELECT unnest(list_concat(string_split(t, '_'), string_split(t, '-'), string_split(t, '/'), string_split(t, ' '), string_split(t, '='), [t])) AS fragment FROM t) SELECT DISTINCT fragment FROM f WHERE length(fragment) >= 4")
+@query("WITH t AS (SELECT item_id, text FROM benchmark), f AS (SELECT item_id, unnest(flatten([string_split(text, x) FOR x IN ['_', '-', '.', '/', ':', ' ', '=', '&', ',']])) AS fragment FROM t) SELECT DISTINCT item_id, fragment FROM f WHERE length(fragment) >= 4")
 def assembly_fragments(spark, sf_dir):
-    return spark.createDataFrame([(f,) for f in D.fragments_of("password = secret_token/api-key")], "fragment string")
+    """The pieces of each benchmark text by every separator."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(D.fragment_list(F.col("text"))).alias("fragment"))

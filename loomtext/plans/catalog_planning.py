@@ -84,11 +84,17 @@ def pattern_analysis(spark, sf_dir):
     return rows.select("id", "pattern", S.literal_pattern(F.col("pattern")).alias("literal"), S.regex_like(F.col("pattern")).alias("looks_like_regex"), S.simple_pattern(F.col("pattern")).alias("simple"))
 
 
-@query("SELECT 'foo bar' AS pattern, '(^|/)src/,\\.go$,a/*.py' AS include, false AS use_index UNION ALL SELECT 'abc', '', true UNION ALL SELECT 'ab', '', false")
+#: Query texts with fields, and what they mean in SQL.
+_ASKED = {"ment dir:src1 ext:txt": "contains(text, 'ment') AND starts_with(path, 'src1/')", "leau path:**/fr/*": "contains(text, 'leau') AND contains(path, '/fr/')", "heit ext:go": "false", "keit dir:de": "contains(text, 'keit') AND contains(path, '/de/')"}
+_COUNTS = " UNION ALL ".join(f"SELECT '{q}' AS asked, count(*) AS n_lines FROM cut WHERE {w} AND NOT starts_with(ltrim(text, ' '), '//')" for q, w in _ASKED.items())
+
+
+@query(f"WITH {LINES} {_COUNTS}")
 def plan_options(spark, sf_dir):
-    asked = [("foo dir:src ext:go bar path:a/*.py", False), ("abc", True), ("ab", True)]
-    plans = [planner.plan(t, index_at_hand=i) for t, i in asked]
-    return spark.createDataFrame([(p.pattern, ",".join(p.options.include), p.use_index) for p in plans], "pattern string, include string, use_index boolean")
+    """How many lines each query text finds, its fields having become path filters."""
+    corpus = C.files(spark, sf_dir)
+    rows = [planner.run(corpus, q).agg(F.lit(q).alias("asked"), F.count("*").alias("n_lines")) for q in _ASKED]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
 
 
 @query(f"WITH {LINES}, a AS (SELECT path, line, text FROM cut WHERE contains(text, 'leau')), b AS (SELECT path, line, text FROM cut WHERE regexp_matches(text, 'l.au')) SELECT path, line, text, 10.0::DOUBLE AS score FROM a UNION ALL SELECT path, line, text, 5.0 FROM b WHERE NOT contains(text, 'leau')")
@@ -144,9 +150,9 @@ def score_distribution(spark, sf_dir):
     return R.score_distribution(_scores(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1000, 10, 100), (10, 50, 1), (100000, 1, 500)) v(budget, sample, size)")
+@query("SELECT p_partkey AS id, CAST(greatest(1, least(500, p_partkey * 10 // greatest(1, p_size % 7))) AS INTEGER) AS size FROM part")
 def page_sizes(spark, sf_dir):
-    return spark.createDataFrame([(b, s, R.page_size(b, s)) for b, s in ((1000, 10), (10, 50), (100000, 1))], "budget int, sample int, size int")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), R.page_sizes(F.col("p_partkey") * 10, F.col("p_size") % 7).alias("size"))
 
 
 # sources
@@ -210,30 +216,26 @@ def binary_content(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), P.is_binary_content(head).alias("is_binary"))
 
 
-@query("SELECT * FROM (VALUES ('project.index.max_file_size', '10'), ('project.exclude', 'a,b'), ('ratio', '0.5'), ('exclude', 'c,d e'), ('search.max_results', '5'), ('search.max_context_lines', '0')) v(key, value)")
+_SETTINGS = " UNION ALL ".join(["SELECT p_partkey AS id, 'project.index.max_file_size' AS key, p_size::VARCHAR AS value FROM part WHERE p_partkey % 5 <> 4", "SELECT p_partkey, 'project.exclude', p_name || ',' || p_type FROM part WHERE p_partkey % 5 <> 4", "SELECT p_partkey, 'ratio', '0.5' FROM part WHERE p_partkey % 5 <> 4", "SELECT p_partkey, 'exclude', 'base,c,d e' FROM part WHERE p_partkey % 5 <> 4", "SELECT p_partkey, 'search.max_results', CASE WHEN p_partkey % 5 = 1 THEN '5' ELSE '100' END FROM part WHERE p_partkey % 5 <> 4", "SELECT p_partkey, 'search.context', '0' FROM part WHERE p_partkey % 5 <> 4", "SELECT p_partkey, NULL, 'a brace is not closed' FROM part WHERE p_partkey % 5 = 4"])
+
+
+@query(_SETTINGS)
 def config_nodes(spark, sf_dir):
-    """A node file's settings by path, and a project's search settings over the defaults."""
-    own = K.load('project "x" {\n  index { max_file_size 10 }\n  exclude "a" "b"\n}\nratio 0.5\nexclude "c"\nexclude "d e"\n')
-    over = {"search": K.merged(K.DEFAULTS, {"search": {"max_results": 5}})["search"]}
-    rows = []
+    """Settings of one configuration file for each part, over a project's defaults; every fifth can't be read."""
+    own = F.concat(F.lit('project "x" {\n  index { max_file_size '), F.col("p_size").cast("string"), F.lit(' }\n  exclude "'), "p_name", F.lit('" "'), "p_type", F.lit('"\n}\nratio 0.5 // half\nexclude "c"\nexclude "d e"\n'), F.when(F.col("p_partkey") % 5 == 1, "search { max_results 5 }\n").when(F.col("p_partkey") % 5 == 4, "open {\n").otherwise(""))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), own.alias("content"))
+    return K.settings(files, {"search": {"max_results": 100, "context": 0}, "exclude": ["base"]})
 
-    def walk(node, path):
-        for k, v in node.items():
-            if isinstance(v, dict):
-                walk(v, f"{path}{k}.")
-            else:
-                rows.append((path + k, ",".join(map(str, v)) if isinstance(v, list) else str(v)))
 
-    walk(own | over, "")
-    return spark.createDataFrame(rows, "key string, value string")
+_RULES = "r AS (SELECT 'r' || (p_partkey // 2 * 2 + CASE WHEN p_partkey % 10 = 1 THEN 0 ELSE p_partkey % 2 END) AS label, ['reachability', 'max', 'odd'][p_size % 3 + 1] AS mode, p_size / 40.0 AS decay, p_size % 4 - 1 AS max_hops FROM part)"
 
 
-@query("SELECT * FROM (VALUES ('a has an unknown mode'), ('a has decay out of range'), ('no iterations'), ('two rules')) v(problem)")
+@query(f"WITH {_RULES} SELECT label, label || ': unknown mode odd' AS problem FROM r WHERE mode = 'odd' UNION ALL SELECT label, label || ': decay is not in 0..1' FROM r WHERE NOT (decay > 0 AND decay <= 1) UNION ALL SELECT label, label || ': max_hops is negative' FROM r WHERE max_hops < 0 UNION ALL SELECT label, label || ': a label has two rules' FROM r GROUP BY label HAVING count(*) > 1")
 def config_problems(spark, sf_dir):
-    bad = K.Propagation((K.PropagationRule("a", mode="x", decay=2.0), K.PropagationRule("a")), max_iterations=0)
-    short = {"unknown mode": "a has an unknown mode", "decay": "a has decay out of range", "max_iterations": "no iterations", "two rules": "two rules"}
-    found = [v for p in K.problems(bad) for k, v in short.items() if k in p]
-    return spark.createDataFrame([(x,) for x in found], "problem string")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    label = F.concat(F.lit("r"), (k - k % 2 + F.when(k % 10 == 1, 0).otherwise(k % 2)).cast("string"))
+    mode = F.element_at(F.array(*map(F.lit, ("reachability", "max", "odd"))), size % 3 + 1)
+    return K.rule_problems(table(spark, sf_dir, "part").select(label.alias("label"), mode.alias("mode"), F.lit("upstream").alias("direction"), (size / 40.0).alias("decay"), (size % 4 - 1).alias("max_hops")))
 
 
 # literals, file search, names
@@ -271,9 +273,11 @@ def file_search_multi(spark, sf_dir):
     return FS.ranked_multi(tree(spark, sf_dir), ["brand", ".go"], 30)
 
 
-@query("SELECT unnest(['find open session', 'find', 'open', 'session']) AS pattern")
+@query("WITH t AS (SELECT item_id, text FROM benchmark WHERE text IS NOT NULL) SELECT item_id, len(list_distinct([text] || list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: length(w) > 2))) AS n, text AS first FROM t")
 def file_search_patterns(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in FS.patterns_of("find open session")], "pattern string")
+    """How many patterns a benchmark text is searched by, the whole text first."""
+    rows = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", FS.pattern_list(F.col("text")).alias("p"))
+    return rows.select("item_id", F.size("p").cast("long").alias("n"), F.element_at("p", 1).alias("first"))
 
 
 @query(f"WITH {NAMES} SELECT name, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(name, '(\\p{{Ll}}|[0-9])(\\p{{Lu}})', '\\1 \\2', 'g'), '(\\p{{Lu}})(\\p{{Lu}}\\p{{Ll}})', '\\1 \\2', 'g'), ' '), lambda w: w <> ''), '|') AS words FROM names")
@@ -281,10 +285,15 @@ def name_camel(spark, sf_dir):
     return made_names(spark, sf_dir).select("name", F.array_join(N.camel(F.col("name")), "|").alias("words"))
 
 
-@query("SELECT unnest(['func', 'FN', 'meth', 'struc', 'clas', 'xyz']) AS asked, unnest(['function', 'function', 'method', 'struct', 'class', '']) AS kind, unnest(['alias', 'alias', 'alias', 'prefix', 'prefix', 'none']) AS how")
+_KINDS = {"func": ("function", "alias"), " FN ": ("function", "alias"), "meth": ("method", "alias"), "struc": ("struct", "prefix"), "clas": ("class", "prefix"), "Interface": ("interface", "exact"), "functoin": ("function", "fuzzy"), "xyz": ("", "none")}
+_KIND_ROWS = ", ".join(f"({i}, '{a}', '{k}', '{h}')" for i, (a, (k, h)) in enumerate(_KINDS.items()))
+
+
+@query(f"SELECT p_partkey AS id, asked, kind, how FROM part JOIN (VALUES {_KIND_ROWS}) v(i, asked, kind, how) ON p_partkey % 8 = i")
 def kind_resolution(spark, sf_dir):
-    rows = [(a, *X.resolve_kind(a, E.KINDS)) for a in ("func", "FN", "meth", "struc", "clas", "xyz")]
-    return spark.createDataFrame([(a, k or "", h) for a, k, h in rows], "asked string, kind string, how string")
+    asked = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), asked.alias("asked"))
+    return rows.select("id", "asked", X.resolved_kind(F.col("asked"), E.KINDS).alias("r")).select("id", "asked", F.coalesce("r.kind", F.lit("")).alias("kind"), "r.how")
 
 
 @query("SELECT p_partkey AS id, round(least(1.0, greatest(0.1, 0.4 * 0.9 + 0.25 * log10(p_size + 1) / log10(11) + 0.2 * log10(p_partkey % 50 + 1) / log10(101) + 0.15 * least(1.0, 10 * (p_size / 500.0)))), 6)::DOUBLE AS confidence FROM part")
@@ -292,11 +301,12 @@ def domain_confidence(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), V.confidence(F.lit(0.9), F.col("p_size"), F.col("p_partkey") % 50, F.col("p_size") / 500.0).alias("confidence"))
 
 
-@query("SELECT term, array_to_string(list_sort(list_distinct([term] || w)), ',') AS forms FROM (VALUES ('user', CAST([] AS VARCHAR[])), ('zz', [])) v(term, w) WHERE term = 'zz' UNION ALL SELECT 'auth', 'auth,authentication,authorization'")
+@query("WITH t AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS term FROM part) SELECT id, term, CASE term WHEN 'small' THEN 'little,small,tiny' WHEN 'blue' THEN 'azure,blue,green,red' WHEN 'red' THEN 'blue,green,red' ELSE term END AS forms FROM t")
 def term_expansion(spark, sf_dir):
-    table_ = {"auth": ["authentication", "authorization"]}
-    rows = spark.createDataFrame([("auth",), ("zz",)], "term string")
-    return rows.select("term", F.array_join(F.sort_array(N.expand(F.col("term"), table_, {"none": ["x", "y"]})), ",").alias("forms"))
+    """Long forms and domain peers of the first word of each part's name."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term"))
+    forms = N.expand(F.col("term"), {"small": ["little", "tiny"], "blue": ["azure"]}, {"colours": ["red", "green", "blue"]})
+    return rows.select("id", "term", F.array_join(F.sort_array(forms), ",").alias("forms"))
 
 
 # history

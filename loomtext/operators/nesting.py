@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.runtime import Scratch
+
 #: Languages that nest by indentation and comment with `#`.
 INDENTED = ("python",)
 _STRING = r"\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"?"
@@ -61,7 +63,7 @@ def tokens(files: DataFrame) -> DataFrame:
 
 def brackets(rows: DataFrame) -> DataFrame:
     """The tokens with depth (brackets open before the token, a closing one's own not counted), partner (no of the
-    bracket that closes an opening one, or opened a closing one; null without), inner (round and square brackets
+    bracket that closes an opening one, or opened a closing one; null without), close_line (of an opening one), inner (round and square brackets
     open behind it) and block (braces outside of these, and a Go parenthesis after const, var, type or import)."""
     order = Window.partitionBy("file_id").orderBy("no")
     significant = F.when(~F.col("kind").isin("space", "comment", "newline"), F.col("text"))
@@ -74,6 +76,7 @@ def brackets(rows: DataFrame) -> DataFrame:
     pair = F.when((F.col("kind") == "open") & (F.lead("kind").over(level) == "close"), F.lead("no").over(level)).when((F.col("kind") == "close") & (F.lag("kind").over(level) == "open"), F.lag("no").over(level))
     grouping = (F.col("language") == "go") & (F.col("text") == "(") & F.coalesce(F.col("before").isin("const", "var", "type", "import"), F.lit(False))
     rows = rows.withColumn("partner", F.when(bracket, pair)).withColumn("_group", grouping)
+    rows = rows.withColumn("close_line", F.when((F.col("kind") == "open") & F.col("partner").isNotNull(), F.lead("line").over(level)))
     rows = rows.withColumn("_group", F.col("_group") | (F.col("kind") == "close") & F.coalesce(F.lag("_group").over(level), F.lit(False)))
     round_ = F.when(F.col("text").isin("(", "[") & ~F.col("_group"), 1).when(F.col("text").isin(")", "]") & ~F.col("_group"), -1).otherwise(0)
     rows = rows.withColumn("inner", F.sum(F.when(bracket, round_).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
@@ -104,14 +107,14 @@ def statements(files: DataFrame) -> DataFrame:
     per = rows.groupBy("file_id", "language", "stmt").agg(
         F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), ""), r"(\\\n|\s)+", " ")).alias("text"),
         F.min(F.when(said, F.col("line"))).alias("line"), F.max(F.when(said, F.col("line"))).alias("last_line"),
-        F.min(F.when(said, F.col("no"))).alias("first_no"), F.min_by("level", "no").alias("level"), F.bool_or(opener).alias("opens"), F.max(F.when(opener, F.col("partner"))).alias("partner"),
-        F.coalesce(F.max(F.when((F.col("kind") == "space") & (F.col("no") == 0), F.char_length("text"))), F.lit(0)).alias("_lead"), F.min_by("text", "no").alias("_first"), F.min_by("kind", "no").alias("_kind"),
+        F.min_by("level", "no").alias("level"), F.bool_or(opener).alias("opens"), F.max(F.when(opener, F.col("close_line"))).alias("_close_line"),
+        F.min_by("text", "no").alias("_first"), F.min_by("kind", "no").alias("_kind"),
     )
     indent = F.when(F.col("_kind") == "space", F.char_length("_first")).otherwise(0)
     per = per.where("line IS NOT NULL AND text NOT IN ('}', ')', '};', ';')").withColumn("indent", indent)
-    # a statement that opened a block was counted inside it already by its last token only; its first one stands outside
-    closed = rows.select("file_id", F.col("no").alias("partner"), F.col("line").alias("_close_line"))
-    per = per.join(closed, ["file_id", "partner"], "left").withColumn("level", F.when(F.col("opens") & (F.col("text").rlike(r"^[{(]$")), F.col("level") - 1).otherwise(F.col("level")))
+    # a statement that is a brace alone was counted inside its own block
+    per = per.withColumn("level", F.when(F.col("opens") & (F.col("text").rlike(r"^[{(]$")), F.col("level") - 1).otherwise(F.col("level")))
+    per = Scratch(files.sparkSession, "statements").write(per, "all")
     return _indented(_braced(per.where(~indented)), per.where(indented))
 
 
@@ -217,6 +220,8 @@ def declarations(files: DataFrame) -> DataFrame:
     names = [F.when(F.col("language").isin(*langs) & F.col("body").rlike(rx), F.regexp_extract("body", rx, 1)) for langs, _, rx in RULES]
     grouped = [F.when((F.col("language") == "go") & F.col("body").rlike(rx), F.lit(kind)) for kind, rx in GROUPS]
     rows = rows.withColumn("kind", F.coalesce(*grouped, *kinds)).withColumn("name", F.when(F.coalesce(*grouped).isNull(), F.coalesce(*names)))
+    scratch = Scratch(files.sparkSession, "declarations")
+    rows = scratch.write(rows, "read")
     around = rows.select("file_id", F.col("stmt").alias("parent"), F.col("kind").alias("parent_kind"), F.col("name").alias("parent_name"))
     rows = rows.join(around, ["file_id", "parent"], "left")
     fits = lambda langs, kinds_around, rx: F.col("language").isin(*langs) & F.col("parent_kind").isin(*kinds_around) & F.col("body").rlike(rx) & ~F.regexp_extract("body", rx, 1).isin(*NOT_NAMES)
@@ -225,7 +230,8 @@ def declarations(files: DataFrame) -> DataFrame:
     method = F.when((F.col("parent_kind").isin("class", "impl", "trait")) & (own["kind"] == "function") & F.col("language").isin("python", "rust", "kotlin"), F.struct(F.lit("method").alias("kind"), own["name"].alias("name")))
     rows = rows.withColumn("found", F.coalesce(method, F.when(F.coalesce(*grouped).isNull(), F.coalesce(own, *member)))).where("found IS NOT NULL")
     local = F.col("parent").isNotNull() & F.coalesce(~F.col("parent_kind").isin("class", "interface", "trait", "impl", "struct", "enum", *[k for k, _ in GROUPS]), F.lit(True))
-    rows = rows.where(~(F.col("found.kind").isin("constant", "variable") & local)).drop("parent_kind", "parent_name")
+    rows = scratch.write(rows.where(~(F.col("found.kind").isin("constant", "variable") & local)).drop("parent_kind", "parent_name"), "found")
+    scratch.drop("read")
     around = rows.select("file_id", F.col("stmt").alias("parent"), F.col("found.kind").alias("parent_kind"), F.col("found.name").alias("parent_name"))
     rows = rows.join(around, ["file_id", "parent"], "left")
     name = F.col("found.name")

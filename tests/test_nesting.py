@@ -34,7 +34,8 @@ def test_brackets_pair_by_level(spark):
         if rows[no]["kind"] == "open":
             stack.append(no)
         elif rows[no]["kind"] == "close" and stack:
-            want[stack[-1]], want[no] = no, stack.pop()
+            opened = stack.pop()
+            want[opened], want[no] = no, opened
     assert {no: r["partner"] for no, r in rows.items() if r["partner"] is not None} == want
 
 

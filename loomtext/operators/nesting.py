@@ -24,7 +24,7 @@ from loomtext.runtime import Scratch
 INDENTED = ("python",)
 _STRING = r"\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"?"
 _QUOTE = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?"
-_REST = r"[\p{L}_$][\p{L}\p{N}_$]*|[0-9][0-9A-Za-z_.]*|\n|[^\S\n]+|[^\s\p{L}\p{N}_$]"
+_REST = r"[\p{L}_$][\p{L}\p{N}_$]*|[0-9][0-9A-Za-z_.]*|\n|[^\S\n]+|\+\+|--|[^\s\p{L}\p{N}_$]"
 #: Tokens of each family; every character of a text belongs to one.
 LEXERS = {
     "c": rf"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|{_STRING}|{_QUOTE}|`[^`]*+`?|{_REST}",

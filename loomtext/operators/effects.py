@@ -45,9 +45,11 @@ WORDS = (
 _RESERVED = ("return", "if", "else", "for", "while", "switch", "case", "var", "let", "const", "go", "defer", "new", "throw", "raise", "await")
 
 
-def functions(files: DataFrame) -> DataFrame:
-    """file_id, fn, name, line, end_line, language, receiver, params of every function and method."""
-    rows = N.declarations(files).where("kind IN ('function', 'method')").join(files.select("file_id", "language"), "file_id")
+def functions(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """file_id, fn, name, line, end_line, language, receiver, params of every function and method. declared: the
+    declarations of the files, if they are at hand."""
+    declared = N.declarations(files) if declared is None else declared
+    rows = declared.where("kind IN ('function', 'method')").join(files.select("file_id", "language"), "file_id")
     inside = r"((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)"
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}_$])\Q"), "name", F.lit(rf"\E\s*(?:<[^()]*>|\[[^()]*\])?\s*(?:=\s*(?:async\s*)?)?\({inside}\)"))
     listed = F.call_function("regexp_extract", F.col("signature"), pattern, F.lit(1))
@@ -72,10 +74,11 @@ def _placed(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     return rows.join(inner, ["file_id", "stmt"])
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """file_id, fn, line, effect, target: one row for each effect of a function's own statements."""
     scratch = Scratch(files.sparkSession, "effects")
-    scopes = scratch.write(functions(files), "functions")
+    declared = scratch.write(N.declarations(files), "declared") if declared is None else declared
+    scopes = scratch.write(functions(files, declared), "functions")
     body = F.trim(F.regexp_replace("text", r"\s*[;}]+$", ""))
     rows = scratch.write(_placed(N.statements(files).select("file_id", "language", "stmt", "line", body.alias("text")), scopes), "statements")
     of = lambda langs: F.col("language").isin(*langs) if langs else F.lit(True)
@@ -92,7 +95,7 @@ def facts(files: DataFrame) -> DataFrame:
     writes = writes.join(scopes.select("file_id", "fn", "receiver"), ["file_id", "fn"])
     seen = writes.join(places, ["file_id", "root"], "left").where("`in` IS NULL OR line BETWEEN `from` AND `to`")
     near = seen.groupBy("file_id", "stmt").agg(F.max_by(F.struct("in", "role"), F.struct(F.coalesce("from", F.lit(-1)), F.coalesce("in", F.lit(-1)))).alias("d"))
-    fields = N.declarations(files).where("kind IN ('field', 'property') AND parent_kind = 'class'").select("file_id", F.col("name").alias("root")).distinct().withColumn("field", F.lit(True))
+    fields = declared.where("kind IN ('field', 'property') AND parent_kind = 'class'").select("file_id", F.col("name").alias("root")).distinct().withColumn("field", F.lit(True))
     found = writes.join(near, ["file_id", "stmt"], "left").join(fields, ["file_id", "root"], "left")
     whole = F.col("parts") == ""
     effect = (
@@ -110,7 +113,8 @@ def facts(files: DataFrame) -> DataFrame:
 def masks(files: DataFrame) -> DataFrame:
     """file_id, fn, name, mask: the effects of each function, 0 for none; the bits are those of measures.EFFECTS."""
     scratch = Scratch(files.sparkSession, "masks")
-    own = scratch.write(facts(files), "facts")
+    declared = scratch.write(N.declarations(files), "declared")
+    own = scratch.write(facts(files, declared), "facts")
     bits = F.element_at(F.create_map(*[F.lit(x) for kv in EFFECTS.items() for x in kv]), F.col("effect"))
     per = own.groupBy("file_id", "fn").agg(F.bit_or(bits).alias("mask"))
-    return functions(files).select("file_id", "fn", "name").join(per, ["file_id", "fn"], "left").na.fill(0, ["mask"])
+    return functions(files, declared).select("file_id", "fn", "name").join(per, ["file_id", "fn"], "left").na.fill(0, ["mask"])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import paths as P
+from loomtext.operators import graph as G
 from loomtext.runtime import first_rows
 
 #: Edge types of a type hierarchy.
@@ -48,6 +49,19 @@ def call_evidence(edges: DataFrame, least: float = 0.0) -> DataFrame:
     return rows.groupBy("source", "implementor").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") >= least)
 
 
+def expanded_calls(refs: DataFrame, edges: DataFrame, why: str, depth: int) -> DataFrame:
+    """ref_id, symbol_id, why, depth: callers (or callees) of a manifest's symbols over up to `depth` calls, each
+    once a reference at its least depth. A symbol of the reference itself is left out.
+
+    A symbol that many references name is followed once; the references are joined to what it reached at the end.
+    """
+    calls = _of(edges, ("call",), why == "callers").select(F.col("symbol_id").alias("source"), F.col("other").alias("target")).where("target is not null")
+    at = refs.select("ref_id", "symbol_id").where("ref_id is not null and symbol_id is not null").distinct()
+    far = G.closure(calls, at.select(F.col("symbol_id").alias("id")), depth).where("depth > 0")
+    rows = at.join(far, F.col("symbol_id") == F.col("seed")).groupBy("ref_id", F.col("id").alias("symbol_id")).agg(F.min("depth").alias("depth"))
+    return rows.join(at, ["ref_id", "symbol_id"], "left_anti").select("ref_id", "symbol_id", F.lit(why).alias("why"), "depth")
+
+
 def expanded(refs: DataFrame, symbols: DataFrame, edges: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
     """ref_id, symbol_id, why, depth 1: symbols that a manifest's symbols bring in.
 

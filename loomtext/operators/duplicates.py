@@ -105,8 +105,30 @@ def severity(similarity: Column, n_lines: Column) -> Column:
     return F.when((similarity >= 0.95) & (n_lines >= 20), "critical").when((similarity >= 0.9) | (n_lines >= 30), "warning").otherwise("info")
 
 
+# More lines or more files than these make a grade.
+GRADES = (("critical", 200, 5), ("high", 100, 3), ("medium", 50, 2))
+
+
+def group_impact(blocks: DataFrame) -> DataFrame:
+    """hash, n, n_lines, n_files, severity, maintainability, refactorable of each group of two copies or more.
+
+    blocks: hash, path, n_lines, cc (complexity), kind. maintainability: 1 / (1 + cc / 10 + lines / 1000) of the
+    mean complexity, rounded down, and all copies' lines. refactorable: functions and methods alone, none with a
+    complexity over 15. Nulls count as no lines, no complexity, no file and another kind. Groups are pre-aggregated
+    by file, so a group with very many copies stays small.
+    """
+    fits = F.coalesce(F.col("kind").isin("function", "method"), F.lit(False)) & (F.coalesce("cc", F.lit(0)) <= 15)
+    per = blocks.where("hash is not null").groupBy("hash", "path").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_lines", F.lit(0)).cast("long")).alias("n_lines"), F.sum(F.coalesce("cc", F.lit(0)).cast("long")).alias("cc"), F.every(fits).alias("fits"))
+    rows = per.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("n_lines").alias("n_lines"), F.count("path").alias("n_files"), F.sum("cc").alias("cc"), F.every("fits").alias("refactorable")).where("n > 1")
+    grade = F.lit("low")
+    for name, lines, files in reversed(GRADES):
+        grade = F.when((F.col("n_lines") > lines) | (F.col("n_files") > files), name).otherwise(grade)
+    keeps = F.round(1 / (1 + F.floor(F.col("cc") / F.col("n")) / 10 + F.col("n_lines") / 1000), 6)
+    return rows.select("hash", "n", "n_lines", "n_files", grade.alias("severity"), keeps.alias("maintainability"), "refactorable")
+
+
 def impact(rows: DataFrame) -> DataFrame:
-    """n groups, copies, and a maintainability of 1 / (1 + copies / 10 + lines / 1000)."""
+    """n groups, copies, and a maintainability of 1 / (1 + copies / 10)."""
     return rows.agg(F.count("*").alias("n_groups"), F.sum(F.col("n") - 1).alias("n_copies")).withColumn("maintainability", F.round(1 / (1 + F.col("n_copies") / 10), 6))
 
 

@@ -152,6 +152,36 @@ def dependency_counts(edges: DataFrame, max_depth: int | None = None) -> DataFra
     return nodes.join(far, "id", "left").join(own, "id", "left").select("id", F.coalesce("n_direct", F.lit(0)).alias("n_direct"), (F.coalesce("n_transitive", F.lit(0)) + F.coalesce("again", F.lit(0))).alias("n_transitive"))
 
 
+def reach_estimates(edges: DataFrame, lg_k: int = 12, max_depth: int | None = None) -> DataFrame:
+    """id, n_transitive: about how many nodes each node reaches in at most max_depth steps (None: any number);
+    itself only counts if it is on a cycle. Ids are whole numbers or strings; edges with a null end are left out.
+
+    State is one HyperLogLog sketch a node: each round unites the successors' sketches, which may hold a node
+    twice, so cycles need no care. It ends when no estimate moves. The relative standard error is about
+    1.04 / sqrt(2^lg_k), 1.6 % for 12; numbers up to some 2^lg_k / 11 are exact but for colliding 26-bit hashes.
+    `dependency_counts` is the exact way, with pairs as state.
+    """
+    scratch = Scratch(edges.sparkSession, "reach")
+    edges = scratch.write(edges.where("source is not null and target is not null").select("source", "target").distinct(), "edges")
+    # what a node hands on: itself, and what it reached a round ago
+    own = scratch.write(edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().groupBy("id").agg(F.hll_sketch_agg("id", lg_k).alias("own")), "own")
+    reach = seen = None
+    for step in count(1) if max_depth is None else range(1, max_depth + 1):
+        hands = own if reach is None else own.join(reach.select("id", "far"), "id", "left").select("id", F.coalesce(F.hll_union("own", "far"), "own").alias("own"))
+        got = edges.join(hands, F.col("target") == F.col("id")).groupBy(F.col("source").alias("id")).agg(F.hll_union_agg("own").alias("far"))
+        reach = scratch.write(got.withColumn("n_transitive", F.hll_sketch_estimate("far")), f"r{step}")
+        if step > 1:
+            scratch.drop(f"r{step - 1}")
+        # estimates only grow, so their sum stands still when all do
+        now = reach.agg(F.sum("n_transitive")).first()[0]
+        if now == seen:
+            break
+        seen = now
+    if reach is None:
+        return own.limit(0).select("id", F.lit(0).cast("long").alias("n_transitive"))
+    return reach.select("id", "n_transitive")
+
+
 def reached_files(edges: DataFrame, files: DataFrame) -> DataFrame:
     """source_file, n_files: other files that a file's symbols refer to. files: id, file_id."""
     a, b = files.select(F.col("id").alias("source"), F.col("file_id").alias("source_file")), files.select(F.col("id").alias("target"), F.col("file_id").alias("target_file"))

@@ -97,6 +97,18 @@ def manifest_expand_siblings(spark, sf_dir):
     return _expanded(spark, sf_dir, "siblings", "type_deps", "tests")
 
 
+def _deep(why: str) -> tuple[str, str]:
+    a, b = ("target", "source") if why == "callers" else ("source", "target")
+    return f"SELECT ref_id, symbol_id, '{why}' AS why, CAST(min(d) AS INTEGER) AS depth FROM {why} WHERE d > 0 AND symbol_id <> ref_id GROUP BY ALL", f"{why}(ref_id, symbol_id, d) AS (SELECT ref_id, symbol_id, 0 FROM r UNION SELECT ref_id, c.{b}, d + 1 FROM {why} JOIN c ON c.{a} = symbol_id WHERE d < 3)"
+
+
+@query(f"WITH RECURSIVE {SYM}, {EDGE}, {_REFS}, c AS (SELECT DISTINCT source, target FROM e WHERE type = 'call'), {_deep('callers')[1]}, {_deep('callees')[1]} {_deep('callers')[0]} UNION ALL {_deep('callees')[0]}")
+def manifest_expand_deep(spark, sf_dir):
+    s, calls = symbols(spark, sf_dir), edges(spark, sf_dir)
+    refs = s.where("symbol_id % 7 = 0").select(F.col("symbol_id").alias("ref_id"), "symbol_id")
+    return X.expanded_calls(refs, calls, "callers", 3).union(X.expanded_calls(refs, calls, "callees", 3))
+
+
 @query(f"WITH {SYM}, {EDGE}, {_REFS}, x AS (SELECT DISTINCT ref_id, o AS symbol_id FROM ({_STEP['callers']}) t(ref_id, o) WHERE o <> ref_id), n AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY symbol_id) AS k FROM x) SELECT ref_id, symbol_id, 'callers' AS why, 1 AS depth FROM n WHERE k <= 2")
 def manifest_expand_bounded(spark, sf_dir):
     return _expanded(spark, sf_dir, "callers", most=2)

@@ -84,6 +84,14 @@ def graph_dependency_counts(spark, sf_dir):
     return G.dependency_counts(up_edges(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {_BOTH}, w(seed, id) AS (SELECT source, target FROM g UNION SELECT w.seed, g.target FROM w JOIN g ON g.source = w.id) SELECT seed AS id, count(*) AS n_transitive FROM w GROUP BY seed")
+def graph_reach_estimates(spark, sf_dir):
+    """On the graph with cycles. Sketches of this size are exact up to some 1,500 nodes."""
+    w = Window.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("ts", "event_id")
+    edges = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.lead("user_id").over(w).alias("target"))
+    return G.reach_estimates(edges, lg_k=14)
+
+
 @query(f"WITH {RING} SELECT source AS id FROM r WHERE n_regionkey < 3")
 def graph_cycles(spark, sf_dir):
     return G.on_cycle(ring_edges(spark, sf_dir))

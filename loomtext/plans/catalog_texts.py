@@ -38,6 +38,17 @@ def duplicate_impact(spark, sf_dir):
     return D.impact(D.clusters(texts(spark, sf_dir), D.exact_hash(F.col("text"))))
 
 
+@query("""WITH b AS (SELECT md5(trim(text, ' ')) AS hash, source || '/' || lang AS path, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines, n_chars % 40 AS cc, CASE WHEN n_chars % 3 = 0 THEN 'class' ELSE 'function' END AS kind FROM documents),
+g AS (SELECT hash, count(*) AS n, CAST(sum(n_lines) AS BIGINT) AS n_lines, count(DISTINCT path) AS n_files, CAST(sum(cc) AS BIGINT) AS cc, bool_and(kind = 'function' AND cc <= 15) AS refactorable FROM b WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1)
+SELECT hash, n, n_lines, n_files, CASE WHEN n_lines > 200 OR n_files > 5 THEN 'critical' WHEN n_lines > 100 OR n_files > 3 THEN 'high' WHEN n_lines > 50 OR n_files > 2 THEN 'medium' ELSE 'low' END AS severity, round(1 / (1 + (cc // n) / 10.0 + n_lines / 1000.0), 6)::DOUBLE AS maintainability, refactorable FROM g""")
+def duplicate_group_impact(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    n_lines = F.size(F.split("text", "\n")).cast("long")
+    kind = F.when(F.col("n_chars") % 3 == 0, "class").otherwise("function")
+    blocks = docs.select(D.exact_hash(F.col("text")).alias("hash"), F.concat("source", F.lit("/"), "lang").alias("path"), n_lines.alias("n_lines"), (F.col("n_chars") % 40).alias("cc"), kind.alias("kind"))
+    return D.group_impact(blocks)
+
+
 @query("WITH t AS (SELECT item_id AS id, list_distinct(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS t FROM benchmark) SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.t, y.t)) * 1.0 / greatest(1, len(list_distinct(x.t || y.t))), 6) AS similarity FROM t x JOIN t y ON y.id = x.id + 1")
 def token_jaccard(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("a"), D.tokens(F.col("text")).alias("ta"))

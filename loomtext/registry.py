@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-CATALOGS = ("search", "indexes", "names", "relations", "measures", "history", "graphs", "texts", "exploration", "code", "rules", "context", "planning", "grammars", "nesting", "segments", "streams", "effects")
+CATALOGS = ("search", "indexes", "names", "relations", "measures", "history", "graphs", "texts", "exploration", "code", "rules", "context", "planning", "grammars", "nesting", "segments", "streams", "effects", "trees")
 
 
 def query(sql: str | None = None):

@@ -22,6 +22,7 @@ doc_id is an integer of any width. Other columns are ignored by `classes` and ke
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -327,13 +328,17 @@ def classes(docs: DataFrame, params: Params = Params(), scratch: Scratch | None
     """doc_id, n_shingles, component_id, kept for each row."""
     scratch = scratch or Scratch(docs.sparkSession, "near")
     signed, of = link(docs, params, scratch)
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    rows = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(of.select("fp1", "fp2", "comp"), ["fp1", "fp2"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    worded = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    # all copies of a text have one key, so it may be hot; rows without words have none
+    linked = join_hot(signed.where(worded).select("doc_id", "n_shingles", "fp1", "fp2"), of.select("fp1", F.col("fp2").alias("other"), "comp"), "fp1", params.hot, "doc_id").where("fp2 = other")
+    bare = signed.where(~F.coalesce(worded, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = linked.select("doc_id", "n_shingles", F.col("comp").alias("component_id")).union(bare)
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The rows of each component's smallest doc_id, once, with all their columns."""
+    """The rows of each component's smallest doc_id, with all their columns; of rows that share a doc_id one, the
+    smallest by text, then by the other columns that have an order. Rows without doc_id stay."""
     scratch = Scratch(docs.sparkSession, "near-keep")
     judged = scratch.write(classes(docs, params, scratch), "judged")
     scratch.keep("judged")
@@ -343,5 +348,8 @@ def keep_first(docs: DataFrame, params: Params = Params()) -> DataFrame:
     if many.isEmpty():
         return rest
     n = many.count()
-    once = _semi(rest, many, "doc_id", n, params.broadcast_ids, "left_semi").dropDuplicates(["doc_id"])
+    column_of = {f.name: F.col(f"`{f.name}`") for f in docs.schema}
+    ordered = [column_of[f.name] for f in docs.schema if f.name != "text" and not re.search("map<|variant", f.dataType.simpleString())]
+    smallest = F.min_by(F.struct(*column_of.values()), F.struct("text", *ordered))
+    once = _semi(rest, many, "doc_id", n, params.broadcast_ids, "left_semi").groupBy("doc_id").agg(smallest.alias("_row")).select("_row.*")
     return _semi(rest, many, "doc_id", n, params.broadcast_ids, "left_anti").unionByName(once)

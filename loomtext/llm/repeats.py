@@ -254,8 +254,9 @@ def spans(docs: DataFrame, params: Params = Params()) -> DataFrame:
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     united = matches.distinct().withColumn("reach", reach).withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
-    copies = kept.select("doc_id", "fa", "fb").join(texts, ["fa", "fb"])
-    alone = copies.where(f"rep = most or n_words < {params.length}").select("doc_id", "rep")
-    part = united.withColumnRenamed("doc_id", "rep").join(alone.distinct(), "rep").select("doc_id", "start", "end")
-    whole = copies.where(f"rep != most and n_words >= {params.length}").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")).distinct()
+    part = united.join(texts.where(f"rep = most and n_words >= {params.length}").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "start", "end")
+    # a text that several documents have repeats whole; its copies share one key, so that may be hot
+    copied = texts.where(f"rep != most and n_words >= {params.length}").select("fa", F.col("fb").alias("other"), F.col("n_words").alias("end"))
+    copies = join_hot(kept.where(f"n_words >= {params.length}").select("doc_id", "fa", "fb"), copied, "fa", params.hot, "doc_id").where("fb = other")
+    whole = copies.select("doc_id", F.lit(0).cast("long").alias("start"), "end").distinct()
     return part.union(whole).select("doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"))

@@ -97,3 +97,17 @@ def test_keep_first_keeps_columns_and_one_of_each_group(spark):
     ids = sorted(r["doc_id"] for r in out.where("doc_id is not null").collect())
     assert ids == [1, 2, 3, 4, 6, 7, 9, 11, 12]  # 8 equals 7 in lower case, 10 is near 4
     assert out.where("doc_id is null").count() == 2
+
+
+def test_keys_of_most_rows_are_salted(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, base) for i in range(40)] + [(i, "") for i in range(40, 70)] + [(i, None) for i in range(70, 90)] + [(90, base.replace("w39", "other"))]
+    check(spark, rows, N.Params(shingle=4, hot=3))
+
+
+def test_of_rows_with_one_doc_id_the_smallest_stays(spark):
+    rows = [(1, "b c d e f g", "y", {"k": 1}), (1, "a b c d e f", "z", {"k": 2}), (1, "a b c d e f", "x", {"k": 3}), (2, None, "n", None), (2, "only two words", "m", None), (None, "t", "u", None), (None, "t", "u", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, extra map<string, int>")
+    for parts in (1, 3, 7):
+        out = N.keep_first(docs.repartition(parts)).collect()
+        assert sorted((str(r["doc_id"]), str(r["text"]), r["a.b"], str(r["extra"])) for r in out) == [("1", "a b c d e f", "x", "{'k': 3}"), ("2", "None", "n", "None"), ("None", "t", "u", "None"), ("None", "t", "u", "None")]

@@ -70,3 +70,11 @@ def test_hot_heads_and_small_blocks(spark):
 
 def test_empty(spark):
     assert got(spark, [], R.Params()) == {}
+
+
+def test_one_text_in_most_documents(spark):
+    """Whole copies, short texts and empty ones have hot keys."""
+    text = " ".join(f"t{i}" for i in range(70))
+    rows = [(i, text) for i in range(30)] + [(i, "") for i in range(30, 50)] + [(i, "a few words") for i in range(50, 70)] + [(70, "x " + text), (71, None), (None, text)]
+    rows += [(72, text), (72, "short")]
+    assert got(spark, rows, R.Params(hot=3)) == brute(rows, 50)

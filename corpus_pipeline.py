@@ -17,7 +17,7 @@ from loomtext.runtime import Scratch, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.keep_judged(docs, table(spark, sf_dir, "labels"))
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

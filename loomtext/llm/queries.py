@@ -16,8 +16,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return quality.measure(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

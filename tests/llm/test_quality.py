@@ -1,7 +1,7 @@
 from collections import Counter
 
 import numpy as np
-from common import documents, odd_rows, words
+from common import documents, multiset, odd_rows, words
 
 from loomtext.llm import quality as Q
 from loomtext.llm.vocabularies import byte_level, pieces
@@ -131,3 +131,36 @@ def test_frames(spark):
     kept = Q.keep_good(docs)
     assert kept.columns == docs.columns and kept.count() == out.where("kept").count()
     assert Q.measure(documents(spark, [])).count() == 0 and Q.keep_good(documents(spark, [])).count() == 0
+
+
+def test_every_good_text_is_fitted(spark):
+    """12,000 good texts, 30 of them, just enough, of a language of their own: bands come from every one."""
+    rng = __import__("random").Random(11)
+    words = "the house near river stands while people walk under old trees every morning before work and rain".split()
+    texts = [(i, " ".join(rng.sample(words, rng.randint(10, 16))), "xx" if i % 400 == 7 else "en") for i in range(12_000)]
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in texts], "doc_id long, quality int")
+    p = Q.fit(documents(spark, texts), labels)
+    assert "xx" in p.by_lang
+    for lang in ("en", "xx"):
+        own = [t for _, t, x in texts if x == lang]
+        judged = Q.judge_all(own, [lang] * len(own), Q.Params())
+        assert abs(p.by_lang[lang]["entropy"].typical - np.mean([j["n_tokens"] for j in judged])) < 1e-9
+
+
+def test_texts_measured_once_are_judged_alike(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in read("documents").collect()]
+    good = next(t for _, t, _ in rows if len(words(t)) > 50)
+    rows += [(*r, "en") for r in odd_rows()] + [(rows[0][0], good, "en"), (None, good, None), (None, good, "en"), (None, "short", "zz"), (-1, None, good)]
+    docs, labels = documents(spark, rows), read("labels")
+    fitted = Q.fit(docs, labels)
+    want, got = Q.measure(docs, fitted), Q.judge(docs, labels)
+    assert got.columns == want.columns and multiset(got.collect()) == multiset(want.collect())
+    kept = multiset(Q.keep_good(docs, fitted).collect())
+    assert 0 < sum(kept.values()) < len(rows)
+    for limit in (500_000, 0):
+        out = Q.keep_judged(docs, labels, Q.Params(broadcast_rows=limit))
+        assert out.columns == docs.columns and multiset(out.collect()) == kept
+    none = documents(spark, [])
+    assert Q.judge(none, labels).count() == 0 and Q.keep_judged(none, labels).count() == 0
+    assert Q.judge(docs, labels.limit(0)).where("kept").count() == Q.keep_good(docs).count()

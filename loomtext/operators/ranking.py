@@ -101,13 +101,15 @@ def block_context(lines: DataFrame, hits: DataFrame, symbols: DataFrame, k: int
     """file_id, path, line, symbol, start_line, end_line, text: the innermost function or type around each hit,
     and where there is none the k lines on either side.
 
-    symbols: file_id, symbol_no, name, line, end_line.
+    symbols: file_id, symbol_no, name, line, end_line. Lines and symbols are cut from texts, so there are far more of
+    them than their estimated size says: no side is broadcast by it.
     """
-    at = hits.select("file_id", "path", "line").distinct()
-    ranges = symbols.select("file_id", F.col("symbol_no").alias("range_id"), F.col("line").cast("long").alias("start"), F.col("end_line").cast("long").alias("end"))
-    held = at_position(at, ranges, "file_id", "line").join(symbols.select("file_id", F.col("symbol_no").alias("range_id"), F.col("name").alias("symbol"), F.col("line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line")), ["file_id", "range_id"]).drop("range_id", "path")
+    at = hits.select("file_id", "path", "line").distinct().hint("merge")
+    start, end = F.col("line").cast("long"), F.col("end_line").cast("long")
+    ranges = symbols.select("file_id", F.struct("symbol_no", F.col("name").alias("symbol"), start.alias("start_line"), end.alias("end_line")).alias("range_id"), start.alias("start"), end.alias("end")).hint("merge")
+    held = at_position(at, ranges, "file_id", "line").select("file_id", "line", "range_id.symbol", "range_id.start_line", "range_id.end_line")
     blocks = at.join(held, ["file_id", "line"], "left").withColumns({"start_line": F.coalesce("start_line", F.greatest(F.col("line") - k, F.lit(1))), "end_line": F.coalesce("end_line", F.col("line") + k)})
-    each = blocks.select("*", F.explode(F.sequence("start_line", "end_line")).alias("no")).join(lines.select("file_id", F.col("line").alias("no"), "text"), ["file_id", "no"])
+    each = blocks.select("*", F.explode(F.sequence("start_line", "end_line")).alias("no")).join(lines.select("file_id", F.col("line").alias("no"), "text").hint("merge"), ["file_id", "no"])
     return each.groupBy("file_id", "path", "line", "symbol", "start_line", "end_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 

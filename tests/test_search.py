@@ -120,3 +120,14 @@ def test_name_status(spark):
     rows = C.name_status(spark.createDataFrame([("M\ta.go",), ("R100\tx.go\ty.go",), ("A\tb",)], "value string")).collect()
     assert [tuple(r) for r in rows] == [("modified", "a.go", None), ("renamed", "y.go", "x.go"), ("added", "b", None)]
     assert [C.diff_size(n) for n in (9, 10, 50, 51)] == ["small", "medium", "medium", "large"]
+
+
+def test_blocks_are_not_broadcast_by_their_estimated_size(spark):
+    from loomtext.operators import extraction as X
+
+    files = spark.range(3).selectExpr("id AS file_id", "concat('p/f', id, '.py') AS path", "'def a(x):\\n    if x:\\n        say(x)\\nsay(1)\\n' AS content")
+    rows = R.block_context(C.lines(files), S.matching_lines(files, "say", ALL), X.symbols(files))
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = sorted((r["file_id"], r["line"], r["symbol"], r["start_line"], r["end_line"], r["text"]) for r in rows.collect())
+    body = "def a(x):\n    if x:\n        say(x)"
+    assert found == [x for i in range(3) for x in ((i, 3, "a", 1, 3, body), (i, 4, None, 2, 6, "    if x:\n        say(x)\nsay(1)\n"))]

@@ -30,7 +30,8 @@ def scored(matches: DataFrame, pattern: str, symbols: DataFrame | None = None, r
     """Adds score. symbols: file_id, line, type of definitions; ref_stats: file_id, line, n_in, n_out."""
     rows = matches
     if symbols is not None:
-        first = symbols.groupBy("file_id", "line").agg(F.min("type").alias("_type"))
+        # symbols read from sources are far more than their estimated size says, so they are not to be broadcast
+        first = symbols.groupBy("file_id", "line").agg(F.min("type").alias("_type")).hint("merge")
         rows = rows.join(first, ["file_id", "line"], "left")
     else:
         rows = rows.withColumn("_type", F.lit(None).cast("string"))

@@ -131,3 +131,13 @@ def test_blocks_are_not_broadcast_by_their_estimated_size(spark):
     found = sorted((r["file_id"], r["line"], r["symbol"], r["start_line"], r["end_line"], r["text"]) for r in rows.collect())
     body = "def a(x):\n    if x:\n        say(x)"
     assert found == [x for i in range(3) for x in ((i, 3, "a", 1, 3, body), (i, 4, None, 2, 6, "    if x:\n        say(x)\nsay(1)\n"))]
+
+
+def test_symbols_of_scores_are_not_broadcast_by_their_estimated_size(spark):
+    from loomtext.operators import extraction as X
+
+    files = spark.range(3).selectExpr("id AS file_id", "concat('p/f', id, '.go') AS path", "'package p\\nfunc Main() {\\n}\\n' AS content")
+    found = X.symbols(files).select("file_id", F.col("line").cast("long").alias("line"), F.col("kind").alias("type"))
+    rows = R.scored(S.matching_lines(files, "func Main", ALL), "func Main", found)
+    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["line"] for r in rows.collect()] == [2, 2, 2]

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.runtime import first_rows
+from loomtext.runtime import Scratch, first_rows
 
 # Words kept by the structural normal form.
 KEYWORDS = "if else for while do switch case break continue return func function def class struct interface import package var let const type new try catch finally throw async await yield in of not and or true false nil null none self this".split()
@@ -56,23 +56,55 @@ def jaccard(a: Column, b: Column) -> Column:
 def new_against_old(new: DataFrame, old: DataFrame, least: float = 0.8, k: int | None = None) -> DataFrame:
     """new_id, old_id, similarity: the k best (None: all); equal normal forms 1, else token Jaccard of `least` or more.
 
-    Candidates share one of a text's rarest tokens: a pair at Jaccard j of sets of n tokens shares one of
-    the n - ceil(j * n) + 1 rarest, so no pair is lost.
+    Texts of one token set are a class (texts without tokens: of one normal form). A class's pairs have similarity
+    1 and the pairs of two classes all have the same, so classes are compared, not texts, and of each class and side
+    only the first k ids can be among the k best pairs. Where equal sets alone give k pairs, no other pair can be
+    among them, and classes aren't compared.
     """
-    a = new.select(F.col("id").alias("new_id"), normalised(F.col("text")).alias("na")).withColumn("ta", tokens(F.col("na")))
-    b = old.select(F.col("id").alias("old_id"), normalised(F.col("text")).alias("nb")).withColumn("tb", tokens(F.col("nb")))
-    counts = a.select(F.explode("ta").alias("t")).union(b.select(F.explode("tb").alias("t"))).groupBy("t").agg(F.count("*").alias("c"))
-
-    def rarest(rows: DataFrame, key: str, toks: str) -> DataFrame:
-        each = rows.select(key, F.size(toks).alias("n"), F.explode(toks).alias("t")).join(counts, "t")
-        w = Window.partitionBy(key).orderBy("c", "t")
-        return each.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, "t")
-
-    pairs = rarest(a, "new_id", "ta").join(rarest(b, "old_id", "tb"), "t").select("new_id", "old_id").distinct()
-    rows = pairs.join(a, "new_id").join(b, "old_id")
-    sim = F.when(F.col("na") == F.col("nb"), 1.0).otherwise(jaccard(F.col("ta"), F.col("tb")))
-    rows = rows.select("new_id", "old_id", sim.alias("similarity")).where(F.col("similarity") >= least)
-    return first_rows(rows.orderBy(F.desc("similarity"), "new_id", "old_id"), k)
+    scratch = Scratch(new.sparkSession, "pairs")
+    side = lambda rows, is_new: rows.select("id", normalised(F.col("text")).alias("form"), F.lit(is_new).alias("new"))
+    forms = side(new, True).union(side(old, False)).where("id IS NOT NULL AND form IS NOT NULL").withColumn("toks", F.array_sort(tokens(F.col("form")))).withColumn("n", F.size("toks"))
+    # a token has no "=", so a text without tokens shares no class with one that has any
+    forms = forms.withColumn("class", F.sha2(F.when(F.col("n") > 0, F.array_join("toks", " ")).otherwise(F.concat(F.lit("="), "form")), 256))
+    held = members = scratch.write(forms.select("id", "new", "n", "class"), "members")
+    if k is not None:
+        held = members.withColumn("_r", F.row_number().over(Window.partitionBy("class", "new").orderBy("id"))).where(F.col("_r") <= k)
+    a, b = held.where("new").select("class", F.col("id").alias("new_id")), held.where("not new").select("class", F.col("id").alias("old_id"))
+    best = lambda rows: first_rows(rows.orderBy(F.desc("similarity"), "new_id", "old_id"), k)
+    equal = a.join(b, "class").select("new_id", "old_id", F.lit(1.0).alias("similarity"))
+    if k is not None:
+        equal = scratch.write(best(equal), "equal")
+        # unequal sets of up to a million tokens differ by more than the rounding of similarity
+        if equal.count() == k and (members.agg(F.max("n")).first()[0] or 0) <= 1_000_000:
+            return best(equal)
+    sides = members.where("n > 0").groupBy("class").agg(F.bool_or("new").alias("in_new"), F.bool_or(~F.col("new")).alias("in_old"))
+    sets = forms.where("n > 0").groupBy("class", "n").agg(F.first("toks").alias("toks")).join(sides, "class")
+    sets = scratch.write(sets.select(F.monotonically_increasing_id().alias("set"), "*"), "sets")
+    pairs = _alike(sets, least, scratch).join(sets.select(F.col("set").alias("x"), F.col("class").alias("x_class")), "x").join(sets.select(F.col("set").alias("y"), F.col("class").alias("y_class")), "y")
+    rows = pairs.join(a.withColumnRenamed("class", "x_class"), "x_class").join(b.withColumnRenamed("class", "y_class"), "y_class")
+    return best(equal.union(rows.select("new_id", "old_id", "similarity")))
+
+
+def _alike(sets: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """x, y, similarity: different sets, x in the new and y in the old snapshot, of Jaccard `least` or more.
+
+    Candidates share one of a set's rarest tokens: a pair at Jaccard j of sets of n tokens shares one of the
+    n - ceil(j * n) + 1 rarest, and behind the first one that they share there must be room for the common tokens
+    that j asks for, so no pair is lost.
+    """
+    each = sets.select("set", "n", "in_new", "in_old", F.explode("toks").alias("t"))
+    counts = each.groupBy("t").agg(F.count("*").alias("c"))
+    ranked = each.join(counts, "t").withColumn("r", F.row_number().over(Window.partitionBy("set").orderBy("c", "t")))
+    slack = 1e-9  # of products that are whole numbers
+    rare = scratch.write(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - slack) + 1).select("t", "set", "n", "r", "in_new", "in_old"), "rare")
+    x = rare.where("in_new").select("t", F.col("set").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"))
+    y = rare.where("in_old").select("t", F.col("set").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"))
+    near = (F.col("nx") >= F.col("ny") * least - slack) & (F.col("ny") >= F.col("nx") * least - slack)
+    room = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry")) + 1 >= (F.col("nx") + F.col("ny")) * (least / (1 + least)) - slack
+    pairs = scratch.write(x.join(y, "t").where((F.col("x") != F.col("y")) & near & room).select("x", "y").distinct(), "candidates")
+    rows = pairs.join(sets.select(F.col("set").alias("x"), F.col("toks").alias("tx")), "x").join(sets.select(F.col("set").alias("y"), F.col("toks").alias("ty")), "y")
+    share = F.size(F.array_intersect("tx", "ty")) / F.size(F.array_union("tx", "ty"))
+    return rows.select("x", "y", share.alias("share")).where(F.col("share") >= least).select("x", "y", F.round("share", 6).alias("similarity"))
 
 
 #: Token sets compared with each other in one row.

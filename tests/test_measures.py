@@ -92,3 +92,24 @@ def test_cluster_similarity_is_exact_for_large_groups(spark):
         sets = [set(t.split()) for _, t, h in texts if h == group]
         pairs = [len(a & b) / max(1, len(a | b)) for i, a in enumerate(sets) for b in sets[:i]]
         assert abs(got[group] - sum(pairs) / len(pairs)) < 1e-5
+
+
+def test_new_against_old_finds_every_pair(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[j % 7 :: 1 + j % 3][: 9 + j % 5]) for j in range(60)] + ["", "", "...", "...", "// x", "a b", "a  b", "b a"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    tok = {i: {x for x in t.split() if x[0] in "wab"} for i, t in rows}
+    form = {i: "" if t.startswith("//") else t for i, t in rows}
+    want = {}
+    for a in tok:
+        for b in tok:
+            if a % 2 == 0 and b % 2 == 1:
+                share = len(tok[a] & tok[b]) / max(1, len(tok[a] | tok[b]))
+                if form[a] == form[b] or share >= 0.8:
+                    want[a, b] = 1.0 if form[a] == form[b] else round(share, 6)
+    df = spark.createDataFrame(rows, "id long, text string")
+    new, old = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    assert {(r["new_id"], r["old_id"]): r["similarity"] for r in D.new_against_old(new, old).collect()} == want
+    first = sorted(want, key=lambda p: (-want[p], p))
+    for k in (5, len(want) - 1):
+        assert [(r["new_id"], r["old_id"]) for r in D.new_against_old(new, old, k=k).collect()] == first[:k]

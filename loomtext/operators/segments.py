@@ -8,7 +8,8 @@ literal, each moved back to where the literal would start, must meet in one plac
 written again, together with the ids of the files that it takes out of older ones. A manifest names the segments in
 order; it is written last, so a batch that fails leaves the index as it was, and readers hold on to what they opened.
 Neighbouring segments of one tier are merged into one of the next tier, without the rows that later segments took out.
-Segments are partitioned by a hash of the trigram, so a search reads the buckets of its own trigrams only.
+Segments are partitioned by a hash of the trigram, so a search reads the buckets of its own trigrams only. Each task
+sorts its own rows and writes a file a bucket, so neither a batch nor a merge shuffles postings.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from loomtext.operators.index import PIECE, strings
 from loomtext.runtime import ship_package
 
 COLUMNS = "trigram string, file_id {}, deltas array<int>"
+#: Ids of files that were taken out are broadcast up to so many, and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def _grouped(text: str, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +140,7 @@ class Segments:
     def _write(self, rows: DataFrame, gone: DataFrame) -> str:
         name = f"s{uuid.uuid4().hex}"
         bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("trigram"), F.lit(self.buckets)).cast("int"))
-        bucketed.repartition("bucket").sortWithinPartitions("trigram", "file_id").write.partitionBy("bucket").parquet(f"{self.root}/{name}/rows")
+        bucketed.sortWithinPartitions("bucket", "trigram", "file_id").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{name}/rows")
         gone.write.parquet(f"{self.root}/{name}/gone")
         return name
 
@@ -158,8 +161,14 @@ class Segments:
                 hashed = self.spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(self.buckets)).cast("int")).distinct().collect()
                 rows = rows.where(F.col("bucket").isin([r[0] for r in hashed]) & F.col("trigram").isin(grams))
             out = out.unionByName(rows.drop("bucket").withColumn("place", F.lit(s.place)))
-        last = self._gone(self.segments()).groupBy("file_id").agg(F.max("place").alias("last"))
-        return out.join(last, "file_id", "left").where("last IS NULL OR place >= last").drop("last")
+        dead = self._dead()
+        dead = F.broadcast(dead) if dead.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dead
+        return out.join(dead.withColumnRenamed("file_id", "_id"), (F.col("file_id") == F.col("_id")) & (F.col("place") < F.col("last")), "left_anti")
+
+    def _dead(self) -> DataFrame:
+        """file_id, last: files with rows in a segment that a later one, `last` at the latest, took out. A batch lists
+        its own files too, so a file that stands in one list alone has no older rows."""
+        return self._gone(self.segments()).groupBy("file_id").agg(F.max("place").alias("last"), F.count("*").alias("n")).where("n > 1").select("file_id", "last")
 
     def _gone(self, segments: list[Segment]) -> DataFrame:
         out = self.spark.createDataFrame([], self.ids + ", place int")
@@ -182,8 +191,7 @@ class Segments:
         for i in range(len(held) - self.fanout + 1):
             some = held[i : i + self.fanout]
             if len({s.tier for s in some}) == 1:
-                gone = self._gone(some).select("file_id").distinct() if i else self._gone([])
-                name = self._write(self._rows(some, None).drop("place"), gone.select("file_id"))
+                name = self._write(self._rows(some, None).drop("place"), self._gone(some).select("file_id").distinct())
                 self._commit([*held[:i], Segment(name, some[-1].place, some[0].tier + 1), *held[i + self.fanout :]])
                 return True
         return False

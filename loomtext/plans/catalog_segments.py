@@ -26,8 +26,10 @@ def index_segments(spark, sf_dir):
     for part in range(3):
         index.add(corpus.where(F.col("file_id") % 3 == part))
         index.merge()
+        index.clean()
     changed = corpus.where("file_id % 5 = 0").withColumn("content", F.concat(F.lit("x"), "content", F.lit("leau")))
     index.add(changed.where("file_id % 2 = 0"))
     index.add(changed.where("file_id % 2 = 1 AND file_id % 7 != 3"), corpus.where("file_id % 7 = 3"))
     index.merge()
+    index.clean()
     return index.find("leau")

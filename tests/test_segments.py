@@ -72,3 +72,36 @@ def test_a_batch_that_fails_leaves_the_index(spark, tmp_path):
     assert len(index.segments()) == 1 and index.read().count() == 2
     index.add(corpus(spark, {2: "bcde"}))
     assert sorted(r["file_id"] for r in index.find("bcd").collect()) == [1, 2]
+
+
+def test_postings_are_not_shuffled_and_merged_segments_go(spark, tmp_path):
+    from loomtext.plans import catalog_segments as Q
+
+    index = G.Segments(spark, str(tmp_path / "i"), buckets=2, fanout=2)
+    index.add(corpus(spark, {1: "abcd", 2: "bcde"}))
+    index.add(corpus(spark, {2: "xbcd"}), corpus(spark, {3: ""}))
+    rows = index.read()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert index.merge()
+    assert sorted(map(str, index.read().collect())) == rebuilt(spark, {1: "abcd", 2: "xbcd"})
+    index.add(corpus(spark, {}), corpus(spark, {1: ""}))
+    assert sorted(map(str, index.read().collect())) == rebuilt(spark, {2: "xbcd"})
+    index.clean()
+    assert len([x for x in (tmp_path / "i").iterdir() if x.name.startswith("s")]) == 2
+    made = []
+    real = Q.G.Segments.__init__
+
+    def seen(self, *args, **options):
+        real(self, *args, **options)
+        made.append(self)
+
+    Q.G.Segments.__init__ = seen
+    try:
+        from places import SF
+
+        Q.index_segments(spark, SF)
+    finally:
+        Q.G.Segments.__init__ = real
+    fs, path = made[0]._fs(made[0].root)
+    assert len([x for x in fs.listStatus(path) if x.getPath().getName().startswith("s")]) == len(made[0].segments())

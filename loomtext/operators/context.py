@@ -62,6 +62,35 @@ def expanded_calls(refs: DataFrame, edges: DataFrame, why: str, depth: int) -> D
     return rows.join(at, ["ref_id", "symbol_id"], "left_anti").select("ref_id", "symbol_id", F.lit(why).alias("why"), "depth")
 
 
+#: Methods of a receiver that stand in one row while references are joined to them.
+BLOCK = 1024
+
+
+def _siblings(at: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ref_id, symbol_id: methods of the receivers (file_id, receiver) of a reference's symbols, once each.
+
+    A reference's symbols are grouped by receiver before the join, and methods stand in blocks, so what is shuffled
+    grows with the symbols and the pairs are only written: a method of one receiver can't meet a reference twice.
+    Ids that stand under several receivers are made distinct behind the join.
+    """
+    named = symbols.where("file_id is not null and receiver is not null")
+    asked = at.join(named.select("symbol_id", "file_id", "receiver"), "symbol_id").groupBy("ref_id", "file_id", "receiver").agg(F.min("symbol_id").alias("least"), F.max("symbol_id").alias("most"))
+    methods = named.where("kind = 'method' and symbol_id is not null").select(F.col("symbol_id").alias("other"), "file_id", "receiver").distinct()
+    under = methods.groupBy("other").agg(F.count("*").alias("n"), F.min(F.struct("file_id", "receiver")).alias("m"))
+    own = under.where("n = 1").select("other", "m.file_id", "m.receiver")
+    again = methods.join(under.where("n > 1").select("other"), "other", "left_semi").select("other", "file_id", "receiver")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("file_id", "receiver").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+        dealt = rows.join(sizes, ["file_id", "receiver"]).withColumn("block", F.pmod(F.xxhash64("other"), F.col("n")))
+        held = dealt.groupBy("file_id", "receiver", "block").agg(F.collect_list("other").alias("others")).hint("merge")
+        each = asked.join(held, ["file_id", "receiver"]).select("ref_id", "least", "most", F.explode("others").alias("symbol_id"))
+        # a symbol doesn't bring in itself, but another symbol of the reference does
+        return each.where("symbol_id != least or symbol_id != most").select("ref_id", "symbol_id")
+
+    return pairs(own).union(pairs(again).distinct())
+
+
 def expanded(refs: DataFrame, symbols: DataFrame, edges: DataFrame, by: list[str], most: int | None = None) -> DataFrame:
     """ref_id, symbol_id, why, depth 1: symbols that a manifest's symbols bring in.
 
@@ -77,12 +106,12 @@ def expanded(refs: DataFrame, symbols: DataFrame, edges: DataFrame, by: list[str
         "implementations": lambda: step(("implements",), True),
         "interface": lambda: step(("implements",), False),
         "type_deps": lambda: step(("type",), False),
-        "siblings": lambda: at.join(symbols.where("receiver is not null").select("symbol_id", "file_id", "receiver"), "symbol_id").join(symbols.where("kind = 'method'").select(F.col("symbol_id").alias("other"), "file_id", "receiver"), ["file_id", "receiver"]).select("ref_id", "symbol_id", "other"),
         "tests": lambda: step(("call",), True).join(symbols.where(P.is_test(F.col("path"))).select(F.col("symbol_id").alias("other")), "other", "left_semi").select("ref_id", "symbol_id", "other"),
     }
     out = None
     for why in by:
-        got = rows[why]().where("other != symbol_id").select("ref_id", F.col("other").alias("symbol_id"), F.lit(why).alias("why")).distinct()
+        got = _siblings(at, symbols) if why == "siblings" else rows[why]().where("other != symbol_id").select("ref_id", F.col("other").alias("symbol_id")).distinct()
+        got = got.withColumn("why", F.lit(why))
         out = got if out is None else out.union(got)
     if most is not None:
         w = Window.partitionBy("ref_id", "why").orderBy("symbol_id")

@@ -116,3 +116,35 @@ def test_custom_rules(spark):
     for bad in ("a: x -> add_strength(1)", "a: hops > 1 -> explode(1)", "a: type > 'x' -> add_strength(1)", "no rule"):
         with pytest.raises(ValueError):
             X.applied(state, X.parse(bad), labels, none)
+
+
+def test_siblings_come_once_without_a_shuffle_of_pairs(spark):
+    from loomtext.operators import context as X
+
+    # 9 is a method of two receivers; reference r names two methods of one receiver, which bring in each other
+    rows = [(1, 1, "A", "method"), (2, 1, "A", "method"), (3, 1, "A", "method"), (4, 1, "A", "class"), (5, 2, "A", "method"), (6, 1, None, "method"), (9, 1, "A", "method"), (9, 2, "A", "method")]
+    symbols = spark.createDataFrame([(i, f, r, k, "x.go") for i, f, r, k in rows], "symbol_id long, file_id long, receiver string, kind string, path string")
+    edges = spark.createDataFrame([], "source long, target long, type string")
+    refs = spark.createDataFrame([("q", 1), ("r", 1), ("r", 2), ("r", 5), ("s", 4), ("t", 6)], "ref_id string, symbol_id long")
+    got = X.expanded(refs, symbols, edges, ["siblings"])
+    assert sorted((r["ref_id"], r["symbol_id"]) for r in got.collect()) == [("q", 2), ("q", 3), ("q", 9), ("r", 1), ("r", 2), ("r", 3), ("r", 9), ("s", 1), ("s", 2), ("s", 3), ("s", 9)]
+    many = spark.range(6000).selectExpr("id AS symbol_id", "1L AS file_id", "'A' AS receiver", "'method' AS kind", "'x.go' AS path")
+    got = X.expanded(many.selectExpr("symbol_id AS ref_id", "symbol_id").where("ref_id < 50"), many, edges, ["siblings"])
+    assert got.count() == got.distinct().count() == 50 * 5999
+
+    def records(plan):
+        nodes, total = [plan], 0
+        while nodes:
+            p = nodes.pop()
+            if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+                nodes.append(p.executedPlan())
+            elif p.getClass().getSimpleName().endswith("QueryStageExec"):
+                nodes.append(p.plan())
+            else:
+                m = p.metrics().get("shuffleRecordsWritten")
+                total += m.get().value() if m.isDefined() else 0
+                nodes += [p.children().apply(i) for i in range(p.children().size())]
+        return total
+
+    got.collect()
+    assert records(got._jdf.queryExecution().executedPlan()) < 50_000

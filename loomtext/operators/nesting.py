@@ -1,8 +1,9 @@
-"""Source structure from a token table, in DataFrame functions: tokens, brackets, statements, declarations.
+"""Source structure: tokens, brackets, statements, declarations.
 
 `tokens` cuts a file with one regex a language family, in which comments and strings are tokens of their own, so
 nothing inside them counts later. `brackets` pairs brackets by running depth: on one level of a file openings and
-closings alternate, so a `lead` finds the partner. `statements` joins tokens to the end of a logical line: line
+closings alternate, so a `lead` finds the partner. `statements` cuts each file by the same rules in one pass, without a
+token table, and joins tokens to the end of a logical line: line
 breaks inside parentheses, before a continuation and after an operator don't end one, so a signature over many lines
 is one statement; blocks (braces, and Go's `const (`) nest statements. In languages that nest by indentation a
 statement's block ends before the next one that is not deeper. `declarations` reads statements with rules of plain
@@ -15,11 +16,17 @@ tokens of the C family.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomtext.runtime import Scratch
+from loomtext.runtime import Scratch, ship_package
 
+#: Files whose statements are held at once.
+FILES_A_SLICE = 64
 #: Languages that nest by indentation and comment with `#`.
 INDENTED = ("python",)
 _STRING = r"\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"?"
@@ -83,69 +90,128 @@ def brackets(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.col("_group") | bracket & F.col("text").isin("{", "}") & (F.col("inner") <= 0)).drop("_group")
 
 
+_SPACE = " \\t\\n\\x0b\\f\\r"
+#: The lexers for Python's `re`: kinds as groups; what is none of the others is a mark.
+_CUT = {
+    name: re.compile(
+        rf"(?P<comment>{comment})|(?P<string>{string})|(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<number>[0-9][0-9A-Za-z_.]*)|(?P<newline>\n)|(?P<space>{space}[ \t\x0b\f\r]+)|(?P<mark>\+\+|--|[\s\S])"
+    )
+    for name, comment, string, space in (
+        ("c", r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)", rf"{_STRING}|{_QUOTE}|`[^`]*+`?", ""),
+        ("rust", r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)", rf"{_STRING}|'(?:[^'\\\n]|\\[^\n']{{1,10}}|\\')'", ""),
+        ("python", r"#[^\n]*", rf"[rRbBuUfF]{{0,2}}\"\"\"[\s\S]*?(?:\"\"\"|\Z)|[rRbBuUfF]{{0,2}}'''[\s\S]*?(?:'''|\Z)|{_STRING}|{_QUOTE}", r"\\\n|"),
+    )
+}
+_WHITE = re.compile(rf"(?:\\\n|[{_SPACE}])+")
+_ALONE = ("}", ")", "};", ";")
+
+
+def _cut_statements(content: str, language: str) -> list[dict]:
+    """The statements of one file in order, without parent and end_line."""
+    indented, depth, inner, level, line, before = language in INDENTED, 0, 0, 0, 1, None
+    rows: list[list] = []  # kind, text, line, block, level behind it, outside, before
+    openers: dict[int, list] = {}  # the last bracket of each depth, if it opens: [row, whether it groups]
+    closes: dict[int, int] = {}
+    for m in _CUT[FAMILY.get(language, "c")].finditer(content):
+        kind, text = m.lastgroup, m[0]
+        here, line = line, line + text.count("\n")
+        if kind == "comment":
+            continue
+        block = False
+        if kind == "mark" and text in "()[]{}":
+            opens = text in "([{"
+            if opens:
+                grouping = language == "go" and text == "(" and before in ("const", "var", "type", "import")
+                openers[depth] = [len(rows), grouping]
+                depth += 1
+            else:
+                depth -= 1
+                at, grouping = openers.pop(depth, (None, False))
+                if at is not None:
+                    closes[at] = here
+            if text in "()[]" and not grouping:
+                inner += 1 if opens else -1
+            block = not indented and (grouping or text in "{}" and inner <= 0)
+            if block:
+                level += 1 if opens else -1
+        rows.append([kind, text, here, block, level, (depth if indented else inner) <= 0, before])
+        if kind not in ("space", "newline"):
+            before = text
+    out, after, ends = [], None, [False] * len(rows)
+    for i in range(len(rows) - 1, -1, -1):
+        kind, text, _, block, _, outside, before = rows[i]
+        goes_on = after in GOES_ON or after in ("{", ".") or before in OPEN_END
+        ends[i] = block or outside and (text == ";" or kind == "newline" and (indented or not goes_on))
+        if kind not in ("space", "newline"):
+            after = text
+    start = 0
+    for i in range(len(rows)):
+        if not ends[i] and i + 1 < len(rows):
+            continue
+        own = rows[start : i + 1]
+        said = [r[2] for r in own if r[0] not in ("space", "newline")]
+        if said and (text := _WHITE.sub(" ", "".join(r[1] for r in own)).strip(" ")) not in _ALONE:
+            opener = [start + j for j, r in enumerate(own) if r[3] and r[1] in "([{"]
+            # a statement that is a brace alone was counted inside its own block
+            on = own[0][4] - bool(opener and text in ("{", "("))
+            out.append({"text": text, "line": said[0], "last_line": said[-1], "level": on, "opens": bool(opener), "end_line": max((closes[j] for j in opener if j in closes), default=said[-1]), "indent": len(own[0][1]) if own[0][0] == "space" else 0})
+        start = i + 1
+    return out
+
+
+def _statements_of(content: str, language: str) -> list[dict]:
+    """The statements of one file with stmt, parent and end_line."""
+    rows = _cut_statements(content, language)
+    if language not in INDENTED:
+        opened: dict[int, int] = {}  # the last statement that opened a level
+        for no, r in enumerate(rows):
+            r["stmt"], r["parent"] = no, opened.get(r["level"]) if r["level"] > 0 else None
+            if r["opens"]:
+                opened[r["level"] + 1] = no
+        return rows
+    widths = {w: i for i, w in enumerate(sorted({r["indent"] for r in rows}))}
+    last: dict[int, int] = {}  # the last statement of each width
+    waiting: list[dict] = []  # blocks that may go on
+    for no, r in enumerate(rows):
+        r["stmt"], r["level"], r["opens"] = no, widths[r["indent"]], r["text"].endswith(":")
+        r["parent"] = max((at for w, at in last.items() if w < r["indent"]), default=None)
+        last[r["indent"]] = no
+        while waiting and waiting[-1]["indent"] >= r["indent"]:
+            waiting.pop()["end_line"] = rows[no - 1]["last_line"]
+        waiting.append(r)
+    for r in waiting:
+        r["end_line"] = rows[-1]["last_line"]
+    return rows
+
+
+_COLUMNS = {"stmt": (T.LongType(), pa.int64()), "text": (T.StringType(), pa.string()), "line": (T.IntegerType(), pa.int32()), "last_line": (T.IntegerType(), pa.int32()), "end_line": (T.IntegerType(), pa.int32()), "level": (T.LongType(), pa.int64()), "parent": (T.LongType(), pa.int64()), "opens": (T.BooleanType(), pa.bool_())}
+
+
 def statements(files: DataFrame) -> DataFrame:
     """file_id, language, stmt (number in the file), text (comments left out, white space as one space), line,
     last_line (of its own text), end_line (of its block, else last_line), level (blocks around it), parent (stmt
-    whose block it stands in), opens (whether it has a block)."""
-    rows = brackets(tokens(files)).where("kind != 'comment'")
-    order = Window.partitionBy("file_id").orderBy("no")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    indented = F.col("language").isin(*INDENTED)
-    block = F.col("block") & ~indented
-    step = F.when(block & (F.col("kind") == "open"), 1).when(block, -1).otherwise(0)
-    rows = rows.withColumn("level", F.sum(step).over(upto))
-    seen = F.when(~F.col("kind").isin("space", "newline"), F.col("text"))
-    after = F.last(seen, True).over(Window.partitionBy("file_id").orderBy(F.desc("no")).rowsBetween(Window.unboundedPreceding, -1))
-    goes_on = F.coalesce(after.isin(*GOES_ON, "{", "."), F.lit(False)) | F.coalesce(F.col("before").isin(*OPEN_END), F.lit(False))
-    outside = F.when(indented, F.expr("depth") <= 0).otherwise(F.col("inner") <= 0)
-    ends = block | (F.col("text") == ";") & outside | (F.col("kind") == "newline") & outside & (indented | ~goes_on)
-    rows = rows.withColumn("_ends", ends)
-    number = F.coalesce(F.sum(F.col("_ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("stmt", number).withColumn("_block", block)
-    said = ~F.col("kind").isin("space", "newline")
-    opener = F.col("_block") & (F.col("kind") == "open")
-    per = rows.groupBy("file_id", "language", "stmt").agg(
-        F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), ""), r"(\\\n|\s)+", " ")).alias("text"),
-        F.min(F.when(said, F.col("line"))).alias("line"), F.max(F.when(said, F.col("line"))).alias("last_line"),
-        F.min_by("level", "no").alias("level"), F.bool_or(opener).alias("opens"), F.max(F.when(opener, F.col("close_line"))).alias("_close_line"),
-        F.min_by("text", "no").alias("_first"), F.min_by("kind", "no").alias("_kind"),
-    )
-    indent = F.when(F.col("_kind") == "space", F.char_length("_first")).otherwise(0)
-    per = per.where("line IS NOT NULL AND text NOT IN ('}', ')', '};', ';')").withColumn("indent", indent)
-    # a statement that is a brace alone was counted inside its own block
-    per = per.withColumn("level", F.when(F.col("opens") & (F.col("text").rlike(r"^[{(]$")), F.col("level") - 1).otherwise(F.col("level")))
-    per = Scratch(files.sparkSession, "statements").write(per, "all")
-    return _indented(_braced(per.where(~indented)), per.where(indented))
-
-
-_COLUMNS = ("file_id", "language", "stmt", "text", "line", "last_line", "end_line", "level", "parent", "opens")
-
-
-def _braced(per: DataFrame) -> DataFrame:
-    """parent: the last statement before it that opened the level it stands on."""
-    child = F.col("level") + F.when(F.col("opens"), 1).otherwise(0)
-    marks = per.where("opens").select("file_id", child.alias("level"), "stmt", F.col("stmt").alias("_opener"))
-    rows = per.unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy("file_id", "level").orderBy("stmt", F.col("_opener").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("parent", F.when(F.col("level") > 0, F.last("_opener", True).over(order))).where("_opener IS NULL")
-    return rows.withColumn("end_line", F.coalesce("_close_line", "last_line")).select(*_COLUMNS)
-
-
-def _indented(braced: DataFrame, per: DataFrame) -> DataFrame:
-    """Statements of languages that nest by indentation: each is put beside those of every deeper width of its file."""
-    widths = per.groupBy("file_id").agg(F.collect_set("indent").alias("widths"))  # as many as a file nests
-    rows = per.join(widths, "file_id").withColumn("width", F.explode(F.filter("widths", lambda w: w >= F.col("indent"))))
-    order = Window.partitionBy("file_id", "width").orderBy("stmt")
-    own = F.col("width") == F.col("indent")
-    parent = F.last(F.when(~own, F.col("stmt")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    stop = F.lead("stmt").over(order)
-    rows = rows.withColumn("parent", parent).withColumn("_stop", F.coalesce(stop, F.lit(1 << 30))).where(own)
-    rows = rows.withColumn("opens", F.col("text").endswith(":")).withColumn("level", F.size(F.filter("widths", lambda w: w < F.col("indent"))))
-    # the block's last line: that of the last statement before the one it stops at
-    lines = per.select("file_id", F.col("stmt").alias("_at"), F.col("last_line").alias("_line"))
-    before = lines.withColumn("_next", F.coalesce(F.lead("_at").over(Window.partitionBy("file_id").orderBy("_at")), F.lit(1 << 30)))
-    rows = rows.join(before.select("file_id", F.col("_next").alias("_stop"), F.col("_line").alias("end_line")), ["file_id", "_stop"], "left")
-    return braced.unionByName(rows.select(*_COLUMNS))
+    whose block it stands in), opens (whether it has a block). Files of no language have none.
+
+    Files are cut one by one in Arrow batches, dealt by file_id, as a table of few partitions may hold very many:
+    a file's tokens are far more than its statements, and are neither rows nor shuffled.
+    """
+    ship_package(files.sparkSession)
+    schema = T.StructType([files.schema["file_id"], T.StructField("language", T.StringType()), *[T.StructField(c, t) for c, (t, _) in _COLUMNS.items()]])
+    arrow = pa.schema([(c, t) for c, (_, t) in _COLUMNS.items()])
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FILES_A_SLICE):
+                some, found, owners = batch.slice(lo, FILES_A_SLICE), [], []
+                for i in range(some.num_rows):
+                    own = _statements_of(some.column(2)[i].as_py(), some.column(1)[i].as_py())
+                    found += own
+                    owners += [i] * len(own)
+                at = pa.array(owners, pa.int32())
+                columns = pa.Table.from_pylist(found, arrow).combine_chunks().columns
+                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), *[x.chunk(0) if x.num_chunks else pa.array([], x.type) for x in columns]], names=schema.names)
+
+    return files.where("language IS NOT NULL AND content IS NOT NULL").select("file_id", "language", "content").repartition("file_id").mapInArrow(run, schema)
 
 
 _MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|sealed|readonly|partial|export|default|declare|pub(?:\([a-z]+\))?|unsafe|const|extern|open|data|inline)\s+)*"
@@ -203,10 +269,10 @@ NOT_NAMES = ("if", "for", "while", "switch", "catch", "return", "new", "throw",
 _DECORATED = r"^(?:(?:@[\p{L}_][\p{L}\p{N}_.]*(?:\((?:[^()]|\([^()]*\))*\))?|#!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\[[\p{L}_](?:[^\[\]]|\[[^\[\]]*\])*\])\s*)+"
 
 
-def declarations(files: DataFrame) -> DataFrame:
+def declarations(files: DataFrame, said: DataFrame | None = None) -> DataFrame:
     """file_id, stmt, name, kind, line, end_line, level, parent_name, parent_kind, signature, generics,
-    decorators, exported of every declaration."""
-    rows = statements(files)
+    decorators, exported of every declaration. said: the statements of the files, if they are at hand."""
+    rows = statements(files) if said is None else said
     first = F.regexp_extract("text", _DECORATED, 0)
     first = F.when(F.col("language") == "go", "").otherwise(first)
     rows = rows.withColumn("_own", F.trim(first)).withColumn("body", F.expr("substring(text, char_length(_own) + 1)")).withColumn("body", F.trim("body"))
@@ -216,10 +282,11 @@ def declarations(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("_run", run)
     inside = Window.partitionBy("file_id", "_run").orderBy("stmt").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("decorators", F.array_join(F.filter(F.collect_list("_own").over(inside), lambda x: x != ""), " ")).where("body != ''")
-    kinds = [F.when(F.col("language").isin(*langs) & F.col("body").rlike(rx), F.lit(kind)) for langs, kind, rx in RULES]
-    names = [F.when(F.col("language").isin(*langs) & F.col("body").rlike(rx), F.regexp_extract("body", rx, 1)) for langs, _, rx in RULES]
+    named = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
     grouped = [F.when((F.col("language") == "go") & F.col("body").rlike(rx), F.lit(kind)) for kind, rx in GROUPS]
-    rows = rows.withColumn("kind", F.coalesce(*grouped, *kinds)).withColumn("name", F.when(F.coalesce(*grouped).isNull(), F.coalesce(*names)))
+    read = [F.when(g.isNotNull(), named(kind, F.lit(None).cast("string"))) for g, (kind, _) in zip(grouped, GROUPS, strict=True)]
+    read += [F.when(F.col("language").isin(*langs) & F.col("body").rlike(rx), named(kind, F.regexp_extract("body", rx, 1))) for langs, kind, rx in RULES]
+    rows = rows.withColumn("_read", F.coalesce(*read)).withColumns({"kind": F.col("_read.kind"), "name": F.col("_read.name")}).drop("_read")
     scratch = Scratch(files.sparkSession, "declarations")
     rows = scratch.write(rows, "read")
     around = rows.select("file_id", F.col("stmt").alias("parent"), F.col("kind").alias("parent_kind"), F.col("name").alias("parent_name"))
@@ -228,7 +295,9 @@ def declarations(files: DataFrame) -> DataFrame:
     member = [F.when(fits(langs, near, rx), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("body", rx, 1).alias("name"))) for langs, near, kind, rx in MEMBERS]
     own = F.when(F.col("name").isNotNull(), F.struct("kind", "name"))
     method = F.when((F.col("parent_kind").isin("class", "impl", "trait")) & (own["kind"] == "function") & F.col("language").isin("python", "rust", "kotlin"), F.struct(F.lit("method").alias("kind"), own["name"].alias("name")))
-    rows = rows.withColumn("found", F.coalesce(method, F.when(F.coalesce(*grouped).isNull(), F.coalesce(own, *member)))).where("found IS NOT NULL")
+    # exploded, so that conditions on what was found don't read the statement again
+    found = F.coalesce(method, F.when(F.coalesce(*grouped).isNull(), F.coalesce(own, *member)))
+    rows = rows.withColumn("found", F.explode(F.array_compact(F.array(found))))
     local = F.col("parent").isNotNull() & F.coalesce(~F.col("parent_kind").isin("class", "interface", "trait", "impl", "struct", "enum", *[k for k, _ in GROUPS]), F.lit(True))
     rows = scratch.write(rows.where(~(F.col("found.kind").isin("constant", "variable") & local)).drop("parent_kind", "parent_name"), "found")
     scratch.drop("read")

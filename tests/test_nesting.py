@@ -70,3 +70,14 @@ def test_nothing_inside_comments_or_strings(spark):
 @pytest.mark.parametrize("rows", [[], [("go", None)], [("go", "")], [("nothing", "a b c")]])
 def test_defined_cases(spark, rows):
     assert N.declarations(files(spark, *rows)).count() == 0
+
+
+def test_tokens_of_statements_are_no_rows(spark):
+    rows = N.statements(files(spark, ("go", "func F(\n\ta int,\n) {\n\tx := \"}\" // {\n}\n"), ("python", "def f():\n  if a:\n    b\n  c\n"), (None, "a")))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+    got = [(r["file_id"], r["text"], r["line"], r["last_line"], r["end_line"], r["level"], r["parent"], r["opens"]) for r in rows.orderBy("file_id", "stmt").collect()]
+    assert got == [
+        (0, "func F( a int, ) {", 1, 3, 5, 0, None, True), (0, 'x := "}"', 4, 4, 4, 1, 0, False),
+        (1, "def f():", 1, 1, 4, 0, None, True), (1, "if a:", 2, 2, 3, 1, 0, True), (1, "b", 3, 3, 3, 2, 1, False), (1, "c", 4, 4, 4, 1, 0, False),
+    ]

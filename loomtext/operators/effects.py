@@ -74,13 +74,15 @@ def _placed(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     return rows.join(inner, ["file_id", "stmt"])
 
 
-def facts(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """file_id, fn, line, effect, target: one row for each effect of a function's own statements."""
+def facts(files: DataFrame, declared: DataFrame | None = None, said: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
+    """file_id, fn, line, effect, target: one row for each effect of a function's own statements. said, scopes: the
+    statements and the functions of the files, if they are at hand."""
     scratch = Scratch(files.sparkSession, "effects")
-    declared = scratch.write(N.declarations(files), "declared") if declared is None else declared
-    scopes = scratch.write(functions(files, declared), "functions")
+    said = scratch.write(N.statements(files), "all") if said is None else said
+    declared = scratch.write(N.declarations(files, said), "declared") if declared is None else declared
+    scopes = scratch.write(functions(files, declared), "functions") if scopes is None else scopes
     body = F.trim(F.regexp_replace("text", r"\s*[;}]+$", ""))
-    rows = scratch.write(_placed(N.statements(files).select("file_id", "language", "stmt", "line", body.alias("text")), scopes), "statements")
+    rows = scratch.write(_placed(said.select("file_id", "language", "stmt", "line", body.alias("text")), scopes), "statements")
     of = lambda langs: F.col("language").isin(*langs) if langs else F.lit(True)
     shared = F.col("text").rlike(r"^(?:global|nonlocal)\b")
     outer = rows.where(shared).select("file_id", "fn", F.explode(F.split(F.regexp_replace("text", r"^\w+\s+", ""), r"\s*,\s*")).alias("name"))
@@ -113,8 +115,10 @@ def facts(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
 def masks(files: DataFrame) -> DataFrame:
     """file_id, fn, name, mask: the effects of each function, 0 for none; the bits are those of measures.EFFECTS."""
     scratch = Scratch(files.sparkSession, "masks")
-    declared = scratch.write(N.declarations(files), "declared")
-    own = scratch.write(facts(files, declared), "facts")
+    said = scratch.write(N.statements(files), "all")
+    declared = scratch.write(N.declarations(files, said), "declared")
+    scopes = scratch.write(functions(files, declared), "functions")
+    own = facts(files, declared, said, scopes)
     bits = F.element_at(F.create_map(*[F.lit(x) for kv in EFFECTS.items() for x in kv]), F.col("effect"))
     per = own.groupBy("file_id", "fn").agg(F.bit_or(bits).alias("mask"))
-    return functions(files, declared).select("file_id", "fn", "name").join(per, ["file_id", "fn"], "left").na.fill(0, ["mask"])
+    return scopes.select("file_id", "fn", "name").join(per, ["file_id", "fn"], "left").na.fill(0, ["mask"])

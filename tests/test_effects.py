@@ -24,3 +24,10 @@ def test_shadowing_and_globals(spark):
 def test_defined_cases(spark):
     assert masks(spark, "go", "") == {} and masks(spark, "go", None) == {}
     assert masks(spark, "go", "func f() {\n\t// x = 1\n\ts := \"y = 2\"\n\tif s == \"a\" {\n\t\tg(s)\n\t}\n}\n") == {"f": set()}
+
+
+def test_sources_are_cut_once(spark, monkeypatch):
+    calls, real = [], X.N.statements
+    monkeypatch.setattr(X.N, "statements", lambda files: calls.append(1) or real(files))
+    assert masks(spark, "go", "func f(a *int) {\n\t*a = 1\n}\n") == {"f": {"param_write"}}
+    assert len(calls) == 1
